@@ -55,6 +55,10 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def strip_left(c: Column) -> Column:
+    return F.ltrim(c, F.lit(SPACE_CHARS))
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 

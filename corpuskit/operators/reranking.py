@@ -117,7 +117,9 @@ def mmr(
             picks.append(left.pop(at))
         out = group.iloc[picks][["query_id", "chunk_id", "score"]].rename(columns={"score": "original_score"})
         out["rank"] = range(1, len(picks) + 1)
-        out["score"] = [1.0 - i / len(picks) for i in range(len(picks))]
+        # A lone candidate is returned as it came.
+        out["score"] = out["original_score"] if len(group) == 1 else [
+            1.0 - i / len(picks) for i in range(len(picks))]
         return out[[f.name for f in schema]]
 
     narrow = hits.select("query_id", "chunk_id", "score", "rank", value.alias("value"))

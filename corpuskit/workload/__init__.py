@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vectors", "retrieval")
+MODULES = ("vectors", "retrieval", "text", "chunks")
 
 
 def load() -> tuple[dict, dict]:
