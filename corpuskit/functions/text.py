@@ -167,12 +167,12 @@ def collapse_blank_lines(c: Column) -> Column:
     return strip(collapse_newlines(emptied))
 
 
-def _repeated(values: Column) -> Column:
+def repeated(values: Column) -> Column:
     """Values that occur at least twice: equal neighbours after sorting."""
     ordered = F.array_sort(F.array_remove(values, ""))
-    return F.array_distinct(
-        F.filter(ordered, lambda v, i: (i > 0) & (v == F.get(ordered, i - 1)))
-    )
+    return F.array_distinct(F.array_compact(F.zip_with(
+        ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))),
+        lambda a, b: F.when(a == b, a))))
 
 
 def split_blocks(c: Column) -> Column:
@@ -180,50 +180,6 @@ def split_blocks(c: Column) -> Column:
     return F.when(F.instr(c, "\f") > 0, F.split(c, "\f")).otherwise(F.split(c, r"\n\n\n+"))
 
 
-def drop_repeated_headers_footers(
-    c: Column, min_block: int = 80, keep_short: bool = True
-) -> Column:
-    """Remove first (last) lines shared by two or more page blocks.
-
-    Only blocks of at least ``min_block`` characters and more than two lines
-    vote.  Short blocks pass through unchanged with ``keep_short`` (default);
-    ``keep_short=False`` deletes them whenever something was removed.
-    """
-    parts = F.transform(
-        split_blocks(c),
-        lambda b: F.struct(
-            lines(b).alias("rows"),
-            ((F.length(b) >= min_block) & (F.size(lines(b)) > 2)).alias("votes"),
-        ),
-    )
-    voting = F.filter(parts, lambda p: p["votes"])
-    headers = _repeated(F.transform(voting, lambda p: strip(F.get(p["rows"], F.lit(0)))))
-    footers = _repeated(F.transform(voting, lambda p: strip(F.element_at(p["rows"], -1))))
-
-    def trimmed(p: Column) -> Column:
-        rows = p["rows"]
-        numbered = F.transform(rows, lambda r, i: F.struct(i.alias("i"), strip(r).alias("s")))
-        last = F.array_max(F.transform(
-            F.filter(numbered, lambda r: ~F.array_contains(footers, r["s"])), lambda r: r["i"]))
-        first = F.array_min(F.transform(
-            F.filter(numbered, lambda r: ~F.array_contains(headers, r["s"])), lambda r: r["i"]))
-        body = F.when(
-            last.isNotNull() & first.isNotNull() & (first <= last),
-            F.array_join(F.slice(rows, first + 1, last - first + 1), "\n"),
-        )
-        if keep_short:
-            return F.when(p["votes"], body).otherwise(F.array_join(rows, "\n"))
-        return F.when(p["votes"], body)
-
-    rebuilt = F.array_join(F.array_compact(F.transform(parts, trimmed)), "\n\n")
-    fires = (F.size(headers) > 0) | (F.size(footers) > 0)
-    return F.when(fires, rebuilt).otherwise(c)
-
-
-def clean_page_artifacts(c: Column) -> Column:
-    return collapse_blank_lines(drop_repeated_headers_footers(drop_page_lines(c)))
-
-
 def detect_language_en(c: Column) -> Column:
     """``'en'`` when the share of common English words passes the limit, else null.
 

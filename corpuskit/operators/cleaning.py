@@ -9,10 +9,60 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
 
-STEPS: dict[str, Callable[[Column], Column]] = {
-    "whitespace": tx.clean_whitespace,
-    "unicode": tx.clean_unicode,
-    "page_artifacts": tx.clean_page_artifacts,
+MIN_BLOCK = 80  # fixed value: shorter blocks do not vote on headers and footers
+
+
+def drop_repeated_headers_footers(
+    df: DataFrame, column: str = "text", min_block: int = MIN_BLOCK, keep_short: bool = True
+) -> DataFrame:
+    """Remove first (last) lines shared by two or more page blocks of a text.
+
+    Only blocks of at least ``min_block`` characters and more than two lines
+    vote.  Short blocks pass through unchanged with ``keep_short`` (default);
+    ``keep_short=False`` deletes them whenever something was removed.
+    """
+    names = df.columns
+    lines = F.transform(tx.split_blocks(F.col(column)), lambda b: F.struct(
+        tx.lines(b).alias("rows"), F.length(b).alias("n")))
+    df = df.withColumn("_blocks", F.transform(lines, lambda b: F.struct(
+        b["rows"].alias("rows"), F.transform(b["rows"], tx.strip).alias("bare"),
+        ((b["n"] >= min_block) & (F.size(b["rows"]) > 2)).alias("votes"))))
+    voting = F.filter("_blocks", lambda b: b["votes"])
+    df = df.withColumn("_voting", F.transform(voting, lambda b: b["bare"]))
+    df = df.withColumn("_headers", tx.repeated(F.transform("_voting", lambda r: F.element_at(r, 1))))
+    df = df.withColumn("_footers", tx.repeated(F.transform("_voting", lambda r: F.element_at(r, -1))))
+
+    def first_kept(bare: Column, listed: str) -> Column:
+        return F.array_min(F.array_compact(F.transform(
+            bare, lambda r, i: F.when(~F.array_contains(listed, r), i + 1))))
+
+    def last_kept(bare: Column, listed: str) -> Column:
+        return F.array_max(F.array_compact(F.transform(
+            bare, lambda r, i: F.when(~F.array_contains(listed, r), i + 1))))
+
+    bounds = F.transform("_blocks", lambda b: F.struct(
+        b["rows"].alias("rows"), b["votes"].alias("votes"),
+        first_kept(b["bare"], "_headers").alias("first"), last_kept(b["bare"], "_footers").alias("last")))
+    short = (lambda b: F.array_join(b["rows"], "\n")) if keep_short else (lambda b: F.lit(None).cast("string"))
+    kept = F.transform(bounds, lambda b: F.when(~b["votes"], short(b)).when(
+        b["first"] <= b["last"],
+        F.array_join(F.slice(b["rows"], b["first"], b["last"] - b["first"] + 1), "\n")))
+    fires = (F.size("_headers") > 0) | (F.size("_footers") > 0)
+    out = F.when(fires, F.array_join(F.array_compact(kept), "\n\n")).otherwise(F.col(column))
+    return df.withColumn(column, out).select(*names)
+
+
+def page_artifacts(df: DataFrame, column: str) -> DataFrame:
+    """Page lines, then repeated headers and footers, then leftover blank lines."""
+    df = df.withColumn(column, tx.drop_page_lines(F.col(column)))
+    df = drop_repeated_headers_footers(df, column)
+    return df.withColumn(column, tx.collapse_blank_lines(F.col(column)))
+
+
+STEPS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "whitespace": lambda df, c: df.withColumn(c, tx.clean_whitespace(F.col(c))),
+    "unicode": lambda df, c: df.withColumn(c, tx.clean_unicode(F.col(c))),
+    "page_artifacts": page_artifacts,
 }
 DEFAULT_ORDER = ("whitespace", "unicode", "page_artifacts")
 
@@ -20,9 +70,8 @@ DEFAULT_ORDER = ("whitespace", "unicode", "page_artifacts")
 def clean(
     df: DataFrame, steps: Sequence[str] = DEFAULT_ORDER, source: str = "text", out: str = "clean_text"
 ) -> DataFrame:
-    """Run the named steps in order.  Each step is its own column, so that a
-    later step reads a value rather than repeating the earlier expressions."""
+    """Run the named steps in order, into column ``out``."""
     df = df.withColumn(out, F.col(source))
     for step in steps:
-        df = df.withColumn(out, STEPS[step](F.col(out)))
+        df = STEPS[step](df, out)
     return df

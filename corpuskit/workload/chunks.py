@@ -67,7 +67,7 @@ def chunk_overlap(t: Tables) -> DataFrame:
       WITH RECURSIVE {FIXED}, {PAGED},
       ends AS (SELECT doc_id, page, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY page) AS upto FROM pg)
       SELECT doc_id, chunk_index, coalesce(
-        (SELECT min(page) FROM ends e WHERE e.doc_id = c.doc_id AND c.start_offset < e.upto), 3) AS page_number
+        (SELECT min(page) FROM ends e WHERE e.doc_id = c.doc_id AND c.start_offset < e.upto), 3)::BIGINT AS page_number
       FROM chunks c""")
 def chunk_pages(t: Tables) -> DataFrame:
     """Pages are longer than the clean text; the estimate compares the two as they are."""

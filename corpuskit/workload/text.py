@@ -141,10 +141,10 @@ PAGED = """
       b AS (SELECT doc_id, page, body,
               string_split(body, chr(10)) AS rows FROM pg),
       v AS (SELECT *, length(body) >= 80 AND len(rows) > 2 AS votes FROM b),
-      h AS (SELECT doc_id, {_STRIP.format('rows[1]')} AS line FROM v WHERE votes GROUP BY ALL
-            HAVING count(*) >= 2 AND line <> ''),
-      f AS (SELECT doc_id, {_STRIP.format('rows[len(rows)]')} AS line FROM v WHERE votes GROUP BY ALL
-            HAVING count(*) >= 2 AND line <> ''),
+      h AS (SELECT doc_id, line FROM (SELECT doc_id, {_STRIP.format('rows[1]')} AS line FROM v WHERE votes)
+            WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 2),
+      f AS (SELECT doc_id, line FROM (SELECT doc_id, {_STRIP.format('rows[len(rows)]')} AS line FROM v WHERE votes)
+            WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 2),
       hs AS (SELECT doc_id, list(line) AS hl FROM h GROUP BY doc_id),
       fs AS (SELECT doc_id, list(line) AS fl FROM f GROUP BY doc_id),
       j AS (SELECT v.*, coalesce(hl, []) AS hl, coalesce(fl, []) AS fl
@@ -161,7 +161,7 @@ PAGED = """
               ELSE string_agg(body, chr(12) ORDER BY page) END AS out FROM y GROUP BY doc_id)
       {_OUT}""")
 def repeated_headers(t: Tables) -> DataFrame:
-    return digest(paged(t), tx.drop_repeated_headers_footers(F.col("text")))
+    return digest(cleaning.drop_repeated_headers_footers(paged(t)), F.col("text"))
 
 
 @BOOK.add("clean_default_order")
@@ -245,7 +245,7 @@ def processing_stats(t: Tables) -> DataFrame:
 
 @BOOK.add("documents_to_pages", rf"""
       WITH {PAGED}
-      SELECT doc_id, page AS page_number, md5(body) AS digest, length(body) AS char_count,
+      SELECT doc_id, page::BIGINT AS page_number, md5(body) AS digest, length(body) AS char_count,
              len({_WORDS.format('body')}) AS word_count FROM pg""")
 def documents_to_pages(t: Tables) -> DataFrame:
     pages = files.documents_to_pages(paged(t))
