@@ -126,40 +126,12 @@ def clean_unicode(c: Column) -> Column:
     return strip_invisible(replace_typographic(nfkc(c)))
 
 
-def _is_number(line: Column) -> Column:
+def is_number_line(line: Column) -> Column:
     return F.coalesce(line.rlike(NUMBER_LINE), F.lit(False))
 
 
-def drop_page_number_lines(c: Column) -> Column:
-    """Drop number-only lines that do not sit next to another number line."""
-    rows = lines(c)
-
-    def keep(line: Column, i: Column) -> Column:
-        beside = (
-            ((i > 0) & _is_number(F.get(rows, i - 1))) | _is_number(F.get(rows, i + 1))
-        )
-        return ~_is_number(line) | beside
-
-    return F.array_join(F.filter(rows, keep), "\n")
-
-
-def drop_page_markers(c: Column) -> Column:
-    kept = F.filter(lines(c), lambda line: ~strip(line).rlike(PAGE_MARKER))
-    return F.array_join(kept, "\n")
-
-
-def drop_page_lines(c: Column) -> Column:
-    """Number lines and page markers in one pass over the original lines."""
-    rows = lines(c)
-
-    def keep(line: Column, i: Column) -> Column:
-        beside = (
-            ((i > 0) & _is_number(F.get(rows, i - 1))) | _is_number(F.get(rows, i + 1))
-        )
-        number = _is_number(line) & ~beside
-        return ~number & ~strip(line).rlike(PAGE_MARKER)
-
-    return F.array_join(F.filter(rows, keep), "\n")
+def is_page_marker(line: Column) -> Column:
+    return F.coalesce(strip(line).rlike(PAGE_MARKER), F.lit(False))
 
 
 def collapse_blank_lines(c: Column) -> Column:

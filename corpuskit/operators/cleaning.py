@@ -52,9 +52,41 @@ def drop_repeated_headers_footers(
     return df.withColumn(column, out).select(*names)
 
 
+def drop_page_lines(
+    df: DataFrame, column: str = "text", numbers: bool = True, markers: bool = True
+) -> DataFrame:
+    """Drop number-only lines that have no number line directly above or below
+    (those look like table data), and ``Page 3 of 10`` lines.
+
+    Neighbours are taken from the original lines, as shifted arrays: no shuffle,
+    and every array is computed once per document.
+    """
+    names = df.columns
+    df = df.withColumn("_lines", tx.lines(F.col(column)))
+    df = df.withColumn("_number", F.transform("_lines", tx.is_number_line))
+    edge = F.array(F.lit(False))
+    rest = F.greatest(F.size("_number") - 1, F.lit(0))
+    above = F.concat(edge, F.slice("_number", 1, rest))
+    below = F.concat(F.slice("_number", 2, rest), edge)
+    df = df.withColumn("_rows", F.arrays_zip(
+        F.col("_lines").alias("line"), F.col("_number").alias("number"),
+        F.zip_with(above, below, lambda a, b: a | b).alias("beside")))
+
+    def keep(r: Column) -> Column:
+        kept = F.lit(True)
+        if numbers:
+            kept = kept & (~r["number"] | r["beside"])
+        if markers:
+            kept = kept & ~tx.is_page_marker(r["line"])
+        return kept
+
+    rows = F.transform(F.filter(F.filter("_rows", lambda r: r["line"].isNotNull()), keep), lambda r: r["line"])
+    return df.withColumn(column, F.array_join(rows, "\n")).select(*names)
+
+
 def page_artifacts(df: DataFrame, column: str) -> DataFrame:
     """Page lines, then repeated headers and footers, then leftover blank lines."""
-    df = df.withColumn(column, tx.drop_page_lines(F.col(column)))
+    df = drop_page_lines(df, column)
     df = drop_repeated_headers_footers(df, column)
     return df.withColumn(column, tx.collapse_blank_lines(F.col(column)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vectors", "retrieval", "text", "chunks")
+MODULES = ("vectors", "retrieval", "text", "chunks", "context")
 
 
 def load() -> tuple[dict, dict]:

@@ -99,7 +99,7 @@ _KEEP_NUM = f"""
 
 @BOOK.add("drop_page_numbers", f"WITH {DECORATED}, {_KEEP_NUM} {_OUT}")
 def drop_page_numbers(t: Tables) -> DataFrame:
-    return digest(decorated(t), tx.drop_page_number_lines(F.col("text")))
+    return digest(cleaning.drop_page_lines(decorated(t), markers=False), F.col("text"))
 
 
 @BOOK.add("drop_page_markers", f"""WITH {DECORATED},
@@ -107,7 +107,7 @@ def drop_page_numbers(t: Tables) -> DataFrame:
       o AS (SELECT doc_id, array_to_string(list_filter(rows, lambda r:
               NOT regexp_matches({_STRIP.format('r')}, '{_MARK}')), chr(10)) AS out FROM l) {_OUT}""")
 def drop_page_markers(t: Tables) -> DataFrame:
-    return digest(decorated(t), tx.drop_page_markers(F.col("text")))
+    return digest(cleaning.drop_page_lines(decorated(t), numbers=False), F.col("text"))
 
 
 @BOOK.add("collapse_blank_lines", rf"""WITH {DECORATED},
