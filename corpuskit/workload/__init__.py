@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vectors", "retrieval", "text", "chunks", "context")
+MODULES = ("vectors", "retrieval", "text", "chunks", "context", "catalog", "traces", "streams")
 
 
 def load() -> tuple[dict, dict]:
