@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
+from corpuskit.functions.settle import settle
 from corpuskit.operators.ordered import with_neighbour
 
 # --- fixed values -----------------------------------------------------------
@@ -83,20 +84,16 @@ def _spans(text: str, size: int, overlap: int, separators: Sequence[str]) -> lis
 def fixed_chunks(
     df: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS
 ) -> DataFrame:
-    @F.pandas_udf("array<struct<start_offset:int,end_offset:int,text:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            rows = []
-            for a, b in _spans(text or "", size, overlap, separators):
-                body = text[a:b].strip()
-                if body:
-                    rows.append({"start_offset": a, "end_offset": b, "text": body})
-            return rows
+    """Only the cut positions come from Python; the JVM takes the texts."""
 
-        return texts.map(one)
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def cuts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: [
+            {"a": a, "b": b} for a, b in _spans(text or "", size, overlap, separators)])
 
-    return df.withColumn("_spans", run("text")).withColumn("_c", F.transform(
-        "_spans", lambda c: _chunk(c["start_offset"], c["end_offset"], c["text"])))
+    chunks = F.transform(cuts("text"), lambda c: _chunk(
+        c["a"], c["b"], tx.strip(F.substring("text", c["a"] + 1, c["b"] - c["a"]))))
+    return settle(df.withColumn("_c", F.filter(chunks, lambda c: c["text"] != "")), "_c")
 
 
 # --- recursive splitting ----------------------------------------------------
@@ -389,11 +386,14 @@ def page_of(offset: Column, ends: Column) -> Column:
 def chunk(
     df: DataFrame, strategy: str = "heading_aware", max_chunks: int = 0, **options
 ) -> DataFrame:
-    """Chunk every non-empty document with one of the three strategies."""
+    """Chunk every non-empty document with one of the three strategies.
+
+    An empty document gives no chunks.
+    """
     builders = {"fixed": fixed_chunks, "recursive": recursive_chunks, "heading_aware": heading_aware_chunks}
     inherited = [c for c in df.columns if c not in ("text", "pages")]
     pages = F.col("pages") if "pages" in df.columns else F.array().cast("array<string>")
-    built = builders[strategy](df.filter(F.length("text") > 0), **options)
+    built = builders[strategy](settle(df, "text"), **options)
     listed = built.select(*inherited, "_c", page_ends(pages).alias("_p"))
     if max_chunks > 0:
         listed = listed.withColumn("_c", F.slice("_c", 1, max_chunks))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
+from corpuskit.functions.settle import settle
 
 MIN_BLOCK = 80  # fixed value: shorter blocks do not vote on headers and footers
 
@@ -105,5 +106,5 @@ def clean(
     """Run the named steps in order, into column ``out``."""
     df = df.withColumn(out, F.col(source))
     for step in steps:
-        df = STEPS[step](df, out)
+        df = settle(STEPS[step](df, out), out)
     return df
