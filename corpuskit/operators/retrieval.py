@@ -27,6 +27,8 @@ from corpuskit.operators.ordered import top_rows
 BROADCAST_NUMBERS = 8_000_000
 # A query vocabulary up to this many terms filters tokens before the shuffle.
 BROADCAST_TERMS = 500_000
+# Hits up to this many rows (queries x k) are broadcast to the corpus they point into.
+BROADCAST_HITS = 1_000_000
 # Rows per side of one block product in the block join.
 BLOCK_QUERIES = 4096
 BLOCK_ROWS = 32768
@@ -373,11 +375,31 @@ def bm25_topk(
     return top_rows(bm25_scores(queries, corpus, k1, b, postings), ["query_id"], best_first(), k)
 
 
+def small_side(df: DataFrame, most_rows: int | None) -> DataFrame:
+    """Mark ``df`` for broadcast if the caller can prove it has few rows
+    (number of queries times k); otherwise leave the join to Spark."""
+    return F.broadcast(df) if most_rows is not None and most_rows <= BROADCAST_HITS else df
+
+
+def attach_content(hits: DataFrame, corpus: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Corpus columns onto hits.  A provably short hit list goes to the corpus,
+    so that no text is shuffled."""
+    return corpus.join(small_side(hits, most_rows), "chunk_id")
+
+
 # --- fusion -----------------------------------------------------------------
 
 FLAT_RANGE = 1e-9  # fixed value: score ranges below this count as constant
 
 
+def score_bounds(hits: DataFrame, corpus_size: Column | None = None) -> DataFrame:
+    """query_id, _lo, _hi: the range of a query's scores, pre-aggregated map-side."""
+    low = F.min("score")
+    if corpus_size is not None:
+        low = F.when(F.count(F.lit(1)) < corpus_size, F.least(low, F.lit(0.0))).otherwise(low)
+    return hits.groupBy("query_id").agg(low.alias("_lo"), F.max("score").alias("_hi"))
+
+
 def minmax_normalise(
     hits: DataFrame,
     corpus_size: Column | None = None,
@@ -390,11 +412,8 @@ def minmax_normalise(
     them are absent from ``hits`` because they score zero, zero is the minimum.
     Bounds are pre-aggregated per query, not taken from a window.
     """
-    low = F.min("score")
-    if corpus_size is not None:
-        low = F.when(F.count(F.lit(1)) < corpus_size, F.least(low, F.lit(0.0))).otherwise(low)
     if bounds is None:
-        bounds = hits.groupBy("query_id").agg(low.alias("_lo"), F.max("score").alias("_hi"))
+        bounds = score_bounds(hits, corpus_size)
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span < FLAT_RANGE, F.lit(constant_value)).otherwise(
         (F.col("score") - F.col("_lo")) / span)
@@ -442,15 +461,26 @@ def hybrid_topk(
     the same BM25 score and so gets ``constant_value``; it is added to the dense
     rows, which lead the ranking in that case.
     """
+    n_queries = queries.count()
     dense = minmax_normalise(
         dense_topk(queries, index, 2 * k, metric).drop("rank"), constant_value=constant_value)
     postings = bm25_index(corpus, small_vocabulary(queries))
     raw = bm25_scores(queries, corpus, k1, b, postings)
     n_docs = bm25_stats(postings).select("n_docs").scalar()
-    sparse = minmax_normalise(raw, n_docs, constant_value)
+    bounds = score_bounds(raw, n_docs)
+    # What can reach the result: the dense rows, and of the others the k best by
+    # BM25.  Dense rows are ranked first, so 3k rows per query hold both.
+    marked = raw.join(
+        small_side(dense.select("query_id", "chunk_id", F.lit(1).alias("_dense")), 2 * k * n_queries),
+        ["query_id", "chunk_id"], "left")
+    order = [F.col("_dense").desc_nulls_last(), *best_first()]
+    candidates = top_rows(marked, ["query_id"], order, 3 * k, "_r").drop("_r", "_dense")
+    sparse = minmax_normalise(candidates, constant_value=constant_value, bounds=bounds)
     w = normalised_weights(weights or {"dense": 0.5, "sparse": 0.5})
     unmatched = (
-        dense.join(raw.select("query_id").distinct(), "query_id", "left_anti")
+        # The whole bounds row is asked for, as in the normalisation above, so
+        # that Spark reuses that exchange instead of scoring again.
+        dense.join(bounds, "query_id", "left").filter(F.col("_lo").isNull() & F.col("_hi").isNull())
         .select("query_id", "chunk_id", F.lit(constant_value).alias("score"))
     )
     fused = weighted_fusion(dense, sparse.unionByName(unmatched), w)
@@ -518,14 +548,21 @@ def multi_query_topk(
 
 
 def bm25_fill(
-    dense: DataFrame, sparse_scores: DataFrame, n: int = 5, scope: tuple[str, ...] = ("query_id",)
+    dense: DataFrame, sparse_scores: DataFrame, n: int = 5, scope: tuple[str, ...] = ("query_id",),
+    most_dense: int | None = None,
 ) -> DataFrame:
     """Append, with score 0, the ``n`` best BM25 chunks the dense hits lack.
 
     ``scope`` is ("query_id",) or ("query_id", "collection"): where n counts.
+    ``most_dense``: the largest number of dense hits a query has (its k; counted
+    when not given).  The n best missing chunks are then among the n + most_dense
+    best, and only those take part in the join.
     """
-    missing = sparse_scores.join(
-        dense.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    if most_dense is None:
+        sizes = dense.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        most_dense = sizes.agg(F.max("n")).first()[0] or 0
+    best = top_rows(sparse_scores, list(scope), best_first(), n + most_dense, "_r").drop("_r")
+    missing = best.join(dense.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     added = top_rows(missing, list(scope), best_first(), n, "_r")
     origin = dense.select("query_id", "chunk_id", "score", F.lit("dense").alias("origin"))
     return origin.unionByName(

@@ -28,11 +28,13 @@ def retrieve(
     """
     dense = rt.dense_topk(queries, index, k)
     sparse = rt.bm25_scores(queries.select("query_id", "text"), corpus.select("chunk_id", "text"))
-    merged = rt.bm25_fill(dense, sparse, fill).drop("origin")
+    merged = rt.bm25_fill(dense, sparse, fill, most_dense=k).drop("origin")
     ranked = rt.top_rows(merged, ["query_id"], rt.best_first(), k + fill)
     content = corpus.withColumnRenamed("text", "content")
-    picked = rr.mmr(content.join(ranked, "chunk_id"), lambda_, keep)
-    return content.join(picked, "chunk_id").withColumn("pos", F.col("rank"))
+    n = queries.count()
+    candidates = rt.attach_content(ranked, content, n * (k + fill))
+    picked = rr.mmr(candidates, lambda_, keep)
+    return rt.attach_content(picked, content, n * keep).withColumn("pos", F.col("rank"))
 
 
 def prompts(hits: DataFrame, queries: DataFrame, strategy: str = "single_document") -> tuple[DataFrame, DataFrame]:

@@ -173,7 +173,7 @@ def multi_query_topk(t: Tables) -> DataFrame:
 def bm25_fill(t: Tables) -> DataFrame:
     queries = _query_vectors(t)
     dense = rt.dense_topk(queries, _index(t), 10)
-    return rt.bm25_fill(dense, rt.bm25_scores(queries.select("query_id", "text"), t.corpus()), 5)
+    return rt.bm25_fill(dense, rt.bm25_scores(queries.select("query_id", "text"), t.corpus()), 5, most_dense=10)
 
 
 # --- reranking --------------------------------------------------------------
@@ -183,7 +183,7 @@ def hits_with_text(t: Tables, k: int) -> DataFrame:
     """BM25 hits with the document's text: query_id, chunk_id, score, rank, content, source."""
     hits = rt.bm25_topk(t.text_queries(), t.corpus(), k)
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
-    return docs.join(hits, "chunk_id")
+    return rt.attach_content(hits, docs, k * t.benchmark.count())
 
 
 _BAG = rf"list_distinct({words_sql('text')})"
