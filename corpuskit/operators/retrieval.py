@@ -323,10 +323,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def few_terms(queries: DataFrame, most: int = BROADCAST_TERMS) -> bool:
+    """Whether the queries have at most ``most`` (query, term) pairs together."""
+    return query_terms(queries).limit(most + 1).count() <= most
+
+
 def small_vocabulary(queries: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame | None:
-    """The distinct query terms if there are at most ``most`` of them, else None."""
-    vocabulary = query_terms(queries).select("term").distinct()
-    return vocabulary if vocabulary.limit(most + 1).count() <= most else None
+    """The distinct query terms if there are few enough to broadcast, else None."""
+    return query_terms(queries).select("term").distinct() if few_terms(queries, most) else None
 
 
 def bm25_scores(
@@ -341,8 +345,10 @@ def bm25_scores(
     idf = ln((N - df + 0.5) / (df + 0.5) + 1); query terms count once.
     Pass ``postings`` to reuse a stored index.
     """
+    few = few_terms(queries)
     if postings is None:
-        postings = bm25_index(corpus, small_vocabulary(queries))
+        vocabulary = query_terms(queries).select("term").distinct() if few else None
+        postings = bm25_index(corpus, vocabulary)
     stats = bm25_stats(postings)
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
@@ -354,6 +360,8 @@ def bm25_scores(
             F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"),
         )
     )
+    # Left to estimates, Spark may broadcast the postings instead.
+    weighted = F.broadcast(weighted) if few else weighted
     saturation = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len)
     )

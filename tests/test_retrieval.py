@@ -49,7 +49,7 @@ def test_bm25_order_and_large_vocabulary_path(spark, monkeypatch):
     q = spark.createDataFrame([(1, "cat mat"), (2, "zebra")], "query_id long, text string")
     hits = rt.bm25_topk(q, corpus(spark), 5).orderBy("query_id", "rank").collect()
     assert [(h.query_id, h.chunk_id) for h in hits] == [(1, 1), (1, 2)]
-    monkeypatch.setattr(rt, "small_vocabulary", lambda *a, **k: None)
+    monkeypatch.setattr(rt, "few_terms", lambda *a, **k: False)
     again = rt.bm25_topk(q, corpus(spark), 5).orderBy("query_id", "rank").collect()
     assert [(round(h.score, 9), h.chunk_id) for h in again] == [(round(h.score, 9), h.chunk_id) for h in hits]
 
