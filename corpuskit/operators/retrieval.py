@@ -296,8 +296,8 @@ def bm25_index(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFr
         F.explode(F.concat(F.array(F.lit(MARK)), "_terms")).alias("term"),
     )
     if vocabulary is not None:
-        keep = vocabulary.select("term").union(
-            vocabulary.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
+        mark = vocabulary.sparkSession.range(0, 1, 1, 1).select(F.lit(MARK).alias("term"))
+        keep = vocabulary.select("term").union(mark)
         tokens = tokens.join(F.broadcast(keep), "term", "left_semi")
     return (
         tokens.repartition("chunk_id")
