@@ -117,14 +117,22 @@ def chunk_heading_aware(t: Tables) -> DataFrame:
     return ch.chunk(decorated(t), "heading_aware").drop("text", "source")
 
 
-@BOOK.add("extract_headings", f"""
+# Headings line by line: the sample texts bring some of their own.
+@BOOK.add("extract_headings", rf"""
       WITH {DECORATED},
-      p AS (SELECT doc_id, unnest(['1. Intro', '1.1 Detail', '2. End']) AS line, unnest([0, 1, 2]) AS heading_index,
-              unnest(['1.', '1.1', '2.']) AS title, unnest([1, 2, 1]) AS level, text FROM d),
-      s AS (SELECT doc_id, heading_index, level, title, length(text) AS n,
-              CASE heading_index WHEN 0 THEN 0 ELSE instr(text, chr(10) || line) END AS start_offset FROM p)
-      SELECT doc_id, heading_index::BIGINT AS heading_index, level::BIGINT AS level, title, start_offset,
-             coalesce(lead(start_offset) OVER (PARTITION BY doc_id ORDER BY heading_index), n) AS end_offset FROM s""")
+      ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i, length(text) AS n FROM d),
+      o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM ln),
+      h AS (SELECT doc_id, n, start_offset,
+              regexp_replace(regexp_extract(line || chr(10), '{ch.HEADING}', 0), '\s+$', '') AS title
+            FROM o WHERE regexp_matches(line || chr(10), '{ch.HEADING}'))
+      SELECT doc_id, row_number() OVER w - 1 AS heading_index, title, start_offset,
+             CASE WHEN title LIKE '#%' THEN length(regexp_extract(title, '^#+', 0))
+                  WHEN lower(title) LIKE 'chapter%' THEN 1
+                  ELSE len(string_split(regexp_extract(title, '^\d+(\.\d+)*', 0), '.')) END AS level,
+             coalesce(lead(start_offset) OVER w, n) AS end_offset
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY start_offset)""")
 def extract_headings(t: Tables) -> DataFrame:
     return ch.extract_headings(decorated(t))
 
