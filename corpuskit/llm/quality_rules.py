@@ -6,6 +6,9 @@ shuffled, so neither a hot source nor a group of copies matters.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS = 50
 WINDOW = 3
+RUN = 6
+SPACE = " \t\n\x0b\x0c\r"
 
 # Phrases of page furniture, looked for in short lines only.
 FURNITURE = (
@@ -31,21 +36,24 @@ def _count(line: Column, characters: str) -> Column:
     return F.char_length(line) - F.char_length(F.translate(line, characters, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """True where any rule rejects the line.
+def line_fails(line: Column, words: Column, symbols: Column, shouts: Column, runs: Column) -> Column:
+    """True where any rule rejects the line of so many words.
 
     * navigation and symbols: more than one symbol for every four words;
     * shouting: more than one doubled exclamation or question mark for every five words;
     * repetition: one word six times in a row;
     * punctuation: sixty words or more without a single mark of punctuation;
     * boilerplate: a phrase of page furniture in a line of up to fifteen words.
+
+    ``symbols``, ``shouts`` and ``runs`` say whether the document has any symbol,
+    doubled mark or run of a word; where not, those rules need no look at the line.
     """
-    words = F.char_length(F.regexp_replace(line, r"[^\x20\x09-\x0D]+", "x")) \
-        - F.char_length(F.regexp_replace(line, r"[^\x20\x09-\x0D]+", ""))
+    doubled = F.char_length(line) - F.char_length(F.regexp_replace(line, r"[!?]{2}", "x"))
     return (
-        (_count(line, SYMBOLS) * 4 > words)
-        | ((F.char_length(line) - F.char_length(F.regexp_replace(line, r"[!?]{2}", "x"))) * 5 > words)
-        | line.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){5}(?![^\x20\x09-\x0D])")
+        (symbols & (_count(line, SYMBOLS) * 4 > words))
+        | (shouts & (doubled * 5 > words))
+        | (runs & line.rlike(
+            r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){5}(?![^\x20\x09-\x0D])"))
         | ((words >= 60) & ~line.rlike(r"[.,;:!?…。，]"))
         | ((words <= SHORT_LINE_WORDS) & F.lower(line).rlike("|".join(FURNITURE)))
     )
@@ -68,8 +76,15 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = 0.3) ->
         F.sequence(F.lit(0), n - WINDOW),
         lambda i: F.struct(
             F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))))
-    df = df.withColumn("word_chars", F.char_length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long"))
-    df = settle(df.withColumn("_sorted", F.sort_array(windows)).drop("_words"), "_sorted")
+    runs = F.exists(
+        F.when(n >= RUN, F.sequence(F.lit(0), n - RUN)),
+        lambda i: reduce(and_, [F.get("_words", i) == F.get("_words", i + k) for k in range(1, RUN)]))
+    df = df.withColumns({
+        "word_chars": F.char_length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": _count(F.col("_text"), SYMBOLS).cast("long"),
+        "_shouts": F.col("_text").rlike(r"[!?]{2}"), "_runs": F.coalesce(runs, F.lit(False)),
+        "_sorted": F.sort_array(windows)}).drop("_words")
+    df = settle(df, "_sorted", "n_symbols", "_shouts", "_runs")
     repeated = F.filter(
         "_sorted", lambda x, i: (x["h"] == F.get("_sorted", i - 1)["h"]) | (x["h"] == F.get("_sorted", i + 1)["h"]))
     df = settle(df.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"]))).drop("_sorted"), "_at")
@@ -78,13 +93,14 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = 0.3) ->
         F.lit(0), lambda acc, x: acc + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
 
-    df = settle(df.withColumn("_lines", F.transform(
-        F.split("_text", "\n"),
-        lambda line: F.struct(
-            line.alias("line"), line.rlike(r"[^\x20\x09-\x0D]").alias("worded")))), "_lines")
+    df = settle(df.withColumn("_lines", F.transform(F.split("_text", "\n"), lambda line: F.struct(
+        line.alias("line"),
+        F.size(F.split(F.trim(F.lit(SPACE), line), r"[\x20\x09-\x0D]+")).alias("words"),
+        line.rlike(r"[^\x20\x09-\x0D]").alias("worded")))), "_lines")
     judged = F.transform("_lines", lambda x: F.struct(
         x["line"].alias("line"), x["worded"].alias("worded"),
-        (x["worded"] & line_fails(x["line"])).alias("fails")))
+        (x["worded"] & line_fails(
+            x["line"], x["words"], F.col("n_symbols") > 0, F.col("_shouts"), F.col("_runs"))).alias("fails")))
     df = settle(df.withColumn("_lines", judged), "_lines")
     with_word = F.transform(F.filter("_lines", lambda x: x["worded"]), lambda x: x["line"])
 
@@ -93,7 +109,6 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = 0.3) ->
             F.filter("_lines", test), F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x["line"]))
 
     df = settle(df.withColumns({
-        "n_symbols": _count(F.col("_text"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long"),
         "_all": chars(lambda x: x["worded"]), "_lost": chars(lambda x: x["fails"]),
         "clean_text": F.array_join(F.transform(

@@ -53,8 +53,12 @@ def _(t):
     return quality_rules(t.documents.select("doc_id", "text")).drop("text", "clean_text")
 
 
+def _of(*kinds: str):
+    return F.filter("secrets", lambda x: x["kind"].isin(*kinds))
+
+
 def _digest(kinds: tuple[str, ...] | None):
-    spans = F.col("secrets") if kinds is None else F.filter("secrets", lambda x: x["kind"].isin(*kinds))
+    spans = F.col("secrets") if kinds is None else _of(*kinds)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -64,6 +68,6 @@ def _(t):
     kinds = tuple(kind for kind, *_ in BASE)
     return secret_scan(t.documents).select(
         "doc_id",
-        *[F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[F.size(_of(k)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(_digest(kinds), 256).alias("base_sha256"), _digest(None).alias("spans"),
         "n_live", "n_shared", "n_example")
