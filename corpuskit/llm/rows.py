@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.session import fresh_path
+
 ROW = "_row"
 
 
+def kept_table(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, read again: computed once, whatever is lost."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def packed(docs: DataFrame, **named: Column) -> DataFrame:
     """The input row as one struct, and the named columns beside it.
 

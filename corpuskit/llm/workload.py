@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.llm.mixing import mix
+from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
 from corpuskit.llm.secret_scan import BASE, secret_scan
+from corpuskit.llm.token_counts import token_counts
 from corpuskit.workload.common import Book
 
 BOOK = Book()
 
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 QUALITY_SQL = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
@@ -71,3 +80,44 @@ def _(t):
         *[F.size(_of(k)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(_digest(kinds), 256).alias("base_sha256"), _digest(None).alias("spans"),
         "n_live", "n_shared", "n_example")
+
+
+@BOOK.add("op4_best_fit_packing")
+def _(t):
+    return best_fit_packing(t.documents, tokenizer_file("word_bpe_49k.json"))
+
+
+@BOOK.add("op8_token_counts")
+def _(t):
+    return token_counts(t.documents.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json")).drop("text")
+
+
+MIX_SQL = """
+WITH sizes AS (
+  SELECT coalesce(source, '') AS source, sum(greatest(length(coalesce(text, '')), 1))::DOUBLE AS size
+  FROM documents GROUP BY 1),
+rates AS (
+  SELECT source, sqrt(size) * ((SELECT sum(size) FROM sizes) / (SELECT sum(sqrt(size)) FROM sizes)) / size AS rate
+  FROM sizes),
+steps AS (
+  SELECT source, rate, unnest(range(0, ceil(rate + 10 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates),
+logs AS (
+  SELECT source, k, -rate + k * ln(rate) - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END)
+    OVER (PARTITION BY source ORDER BY k) AS log FROM steps),
+cdf AS (SELECT source, k, sum(exp(log)) OVER (PARTITION BY source ORDER BY k) AS p FROM logs),
+drawn AS (
+  SELECT d.*, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0) AS u
+  FROM documents d),
+counted AS (
+  SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
+    any_value(d.n_chars) AS n_chars, count(*) AS copies
+  FROM drawn d JOIN cdf c ON coalesce(d.source, '') = c.source AND c.p <= d.u GROUP BY d.doc_id)
+SELECT doc_id, text, lang, source, n_chars, copy, copies,
+  ('0x' || substr(md5('mix:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT AS mix_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+"""
+
+
+@BOOK.add("op9_poisson_mixing", MIX_SQL)
+def _(t):
+    return mix(t.documents)
