@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.llm.fingerprints import document_fingerprints
 from corpuskit.llm.mixing import mix
 from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
@@ -121,3 +122,8 @@ FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
 @BOOK.add("op9_poisson_mixing", MIX_SQL)
 def _(t):
     return mix(t.documents)
+
+
+@BOOK.add("op3_document_fingerprints")
+def _(t):
+    return document_fingerprints(t.documents)
