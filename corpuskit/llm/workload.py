@@ -10,6 +10,7 @@ from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
 from corpuskit.llm.secret_scan import BASE, secret_scan
 from corpuskit.llm.token_counts import token_counts
+from corpuskit.llm.toxicity import toxicity
 from corpuskit.workload.common import Book
 
 BOOK = Book()
@@ -127,3 +128,10 @@ def _(t):
 @BOOK.add("op3_document_fingerprints")
 def _(t):
     return document_fingerprints(t.documents)
+
+
+@BOOK.add("op10_toxicity")
+def _(t):
+    scored = toxicity(t.documents.select("doc_id", "text"), t.labels).drop("text")
+    # Rounding must not carry a score over the threshold.
+    return scored.withColumn("score", F.floor(F.col("score") * 1e6) / 1e6)
