@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.llm.fingerprints import document_fingerprints
+from corpuskit.llm.license_scan import NOTICES, PHRASES, license_scan
 from corpuskit.llm.mixing import mix
 from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
@@ -135,3 +136,53 @@ def _(t):
     scored = toxicity(t.documents.select("doc_id", "text"), t.labels).drop("text")
     # Rounding must not carry a score over the threshold.
     return scored.withColumn("score", F.floor(F.col("score") * 1e6) / 1e6)
+
+
+def _license_sql() -> str:
+    rows = ",\n".join(
+        f"('{label}/{i}', '{label}', {base}, '{text}')"
+        for base, group in (("true", PHRASES), ("false", NOTICES)) for i, (label, text) in enumerate(group))
+    return rf"""
+WITH templates(template, label, base, text) AS (VALUES {rows}),
+template_words AS (
+  SELECT *, string_split(text, ' ') AS w, CASE WHEN len(string_split(text, ' ')) <= 6 THEN 2 ELSE 3 END AS k
+  FROM templates),
+grams AS (
+  SELECT template, label, base, k, len(w) - k + 1 AS grams, place - 1 AS place, w[place:place + k - 1] AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS place FROM template_words)),
+worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rolled AS (
+  SELECT doc_id, k, p - 1 AS position, w[p:p + k - 1] AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS p
+        FROM worded, (SELECT unnest([2, 3]) AS k))),
+votes AS (
+  SELECT doc_id, template, label, base, g.k, grams, position - place AS diagonal,
+    count(DISTINCT place) AS votes, min(position) AS start
+  FROM rolled r JOIN grams g ON r.k = g.k AND r.gram = g.gram GROUP BY ALL),
+marked AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal)
+    > CASE WHEN base THEN 0 ELSE 2 END, true)::INT AS apart FROM votes),
+islands AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM marked),
+placed AS (
+  SELECT doc_id, template, label, base, least(1.0, sum(votes) / any_value(grams)) AS coverage, min(start) AS start
+  FROM islands GROUP BY doc_id, template, label, base, island),
+scored AS (
+  SELECT doc_id, count(*) FILTER (base AND coverage = 1) AS n_base,
+    min(start) FILTER (base AND coverage = 1) AS first_word, max(start) FILTER (base AND coverage = 1) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage = 1) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN base THEN coverage = 1 ELSE coverage >= 0.8 END)
+      AS labels,
+    max(coverage) FILTER (NOT base OR coverage = 1) AS score
+  FROM placed GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
+FROM worded LEFT JOIN scored USING (doc_id)
+"""
+
+
+@BOOK.add("op5_license_scan", _license_sql())
+def _(t):
+    return license_scan(t.documents).drop("spans")
