@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.rows import kept_table, whole_text
+from corpuskit.llm.rows import kept_table, small_batches, whole_text
 from corpuskit.llm.tokenizing import word_ids
 
 # Pieces that one part, and so one task, packs.
@@ -31,6 +31,7 @@ def cut_documents(docs: DataFrame, file: str, key: str = "doc_id", text: str = "
 
     Null and empty texts give one piece with the end id alone.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

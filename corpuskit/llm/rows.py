@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.session import fresh_path
@@ -17,6 +17,11 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the Arrow batches that reach Python by bytes: a batch of very long texts must fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def packed(docs: DataFrame, **named: Column) -> DataFrame:
     """The input row as one struct, and the named columns beside it.
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.rows import packed, unpacked, whole_text
+from corpuskit.llm.rows import packed, small_batches, unpacked, whole_text
 from corpuskit.llm.tokenizing import Cache
 
 TOKEN = re.compile(r"\w+")
@@ -228,6 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Only the text decides a score; null and empty texts get that of a text
     without toxic evidence.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, train_rows))
 
     @F.pandas_udf("score double, n_passages long, start long, end long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm.fingerprints import document_fingerprints
 from corpuskit.llm.license_scan import NOTICES, PHRASES, license_scan
 from corpuskit.llm.mixing import mix
+from corpuskit.llm.order_minhash import near_duplicates
 from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
 from corpuskit.llm.secret_scan import BASE, secret_scan
@@ -186,3 +187,8 @@ FROM worded LEFT JOIN scored USING (doc_id)
 @BOOK.add("op5_license_scan", _license_sql())
 def _(t):
     return license_scan(t.documents).drop("spans")
+
+
+@BOOK.add("op7_order_minhash")
+def _(t):
+    return near_duplicates(t.documents)
