@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.alignment import within
 from corpuskit.llm.components import components, linked
-from corpuskit.llm.rows import kept_table, small_batches, whole_text
+from corpuskit.llm.rows import counted_hint, kept_table, small_batches, whole_text
 from corpuskit.llm.tokenizing import Cache
 
 WORDS = 5
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        some = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        some = texts.join(counted_hint(wanted), "id", "left_semi").dropDuplicates(["id"])
         some = kept_table(some, "texts")
         both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
             some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -17,6 +17,15 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Rows of a few numbers that are broadcast at most: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def counted_hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Ask for a broadcast of narrow rows if there are at most ``most``; else leave the join to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def small_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bound the Arrow batches that reach Python by bytes: a batch of very long texts must fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.fingerprints import document_fingerprints
 from corpuskit.llm.license_scan import NOTICES, PHRASES, license_scan
+from corpuskit.llm.line_dedup import line_dedup
 from corpuskit.llm.mixing import mix
 from corpuskit.llm.order_minhash import near_duplicates
 from corpuskit.llm.packing import best_fit_packing
@@ -192,3 +193,10 @@ def _(t):
 @BOOK.add("op7_order_minhash")
 def _(t):
     return near_duplicates(t.documents)
+
+
+@BOOK.add("op2_line_dedup")
+def _(t):
+    cleaned = line_dedup(t.documents.select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias(
+        "text_sha256"))
