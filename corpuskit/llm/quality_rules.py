@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = 0.3) ->
 
     df = settle(df.withColumn("_lines", F.transform(F.split("_text", "\n"), lambda line: F.struct(
         line.alias("line"),
-        F.size(F.split(F.trim(F.lit(SPACE), line), r"[\x20\x09-\x0D]+")).alias("words"),
+        F.size(F.split(F.trim(line, F.lit(SPACE)), r"[\x20\x09-\x0D]+")).alias("words"),
         line.rlike(r"[^\x20\x09-\x0D]").alias("worded")))), "_lines")
     judged = F.transform("_lines", lambda x: F.struct(
         x["line"].alias("line"), x["worded"].alias("worded"),
