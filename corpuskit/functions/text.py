@@ -182,5 +182,10 @@ def parse_pdf_date(c: Column) -> Column:
 
 
 def parse_iso_or_epoch(c: Column) -> Column:
-    """ISO text or a number of seconds as a timestamp, else null."""
-    return F.coalesce(c.try_cast("timestamp"), F.timestamp_seconds(c.try_cast("double")))
+    """Text that starts with an ISO date, or a number of seconds, as a timestamp, else null.
+
+    A bare year is a number, and a time without a date is neither.
+    """
+    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
+    seconds = F.when(c.rlike(r"^[+-]?\d+(\.\d+)?$"), F.timestamp_seconds(c.try_cast("double")))
+    return F.coalesce(iso, seconds)

@@ -110,15 +110,16 @@ def message_counts(messages: DataFrame) -> DataFrame:
 
 
 def recent_sessions(
-    sessions: DataFrame, messages: DataFrame, n: int = 50, include_archived: bool = False
+    sessions: DataFrame, messages: DataFrame, n: int = 50, include_archived: bool = False, offset: int = 0
 ) -> DataFrame:
-    """The newest ``n`` sessions per user with their message counts.
+    """Of each user's sessions, newest first, ``n`` after ``offset``, with their message counts.
 
     The list is cut before the count, so that only listed sessions are joined.
     """
     shown = sessions if include_archived else sessions.filter(~F.col("archived"))
     newest = top_rows(
-        shown, ["user_id"], [F.col("updated_at").desc(), F.col("session_id").asc()], n, "recency")
+        shown, ["user_id"], [F.col("updated_at").desc(), F.col("session_id").asc()], offset + n, "recency")
+    newest = newest.filter(F.col("recency") > offset)
     return newest.join(message_counts(messages), "session_id", "left").withColumn(
         "message_count", F.coalesce("message_count", F.lit(0)))
 
@@ -128,7 +129,8 @@ def message_page(
 ) -> DataFrame:
     """Oldest messages first; with ``anchors`` (session_id, before) only earlier ones."""
     if anchors is not None:
-        messages = messages.join(anchors, "session_id").filter(
+        counted = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("copies"))
+        messages = join_copies(messages, anchors, ["session_id"], counted).filter(
             F.col("position") < F.col("before")).drop("before")
     rows = top_rows(messages, ["session_id"], [F.col("position").asc()], offset + limit, "n")
     return rows.filter(F.col("n") > offset)

@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 KEY = ["collection", "chunk_id"]
 
 
-def insert_ignore(index: DataFrame, new: DataFrame) -> DataFrame:
-    """Add rows whose key is new; of equal new keys one row is kept."""
-    fresh = new.dropDuplicates(KEY).join(index.select(*KEY), KEY, "left_anti")
+def _one_per_key(rows: DataFrame, order: list[str] | None) -> DataFrame:
+    """Of rows with equal keys the one that is smallest by ``order``, then by everything else.
+
+    A retry therefore keeps the same row.  Maps have no order and decide nothing.
+    """
+    kinds = dict(rows.dtypes)
+    others = [c for c in rows.columns if c not in KEY and "map<" not in kinds[c]]
+    by = F.struct(*dict.fromkeys([*(order or []), *others])) if others or order else F.lit(0)
+    kept = rows.groupBy(*KEY).agg(F.min_by(F.struct(*rows.columns), by).alias("_kept"))
+    return kept.select("_kept.*")
+
+
+def insert_ignore(index: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Add rows whose key is new; of equal new keys the first by ``order`` is kept."""
+    fresh = _one_per_key(new, order).join(index.select(*KEY), KEY, "left_anti")
     return index.unionByName(fresh.select(*index.columns))
 
 
@@ -31,10 +43,13 @@ def insert_outcome(index: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def update_by_id(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the columns given in ``changes`` on existing rows; unknown ids are dropped."""
+def update_by_id(index: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Replace the columns given in ``changes`` on existing rows; unknown ids are dropped.
+
+    Of several changes to one key the first by ``order`` counts.
+    """
     fields = [c for c in changes.columns if c not in KEY]
-    renamed = changes.dropDuplicates(KEY).select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in fields])
+    renamed = _one_per_key(changes, order).select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in fields])
     merged = index.join(renamed, KEY, "left")
     return merged.select(*[
         F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in index.columns])
@@ -45,10 +60,15 @@ def delete_by_id(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def delete_by_filter(index: DataFrame, equals: dict) -> DataFrame:
-    """Drop rows that match every equality; a null never matches."""
+    """Drop rows that match every equality.
+
+    A null on either side never matches, and without any equality nothing is dropped.
+    """
+    if not equals:
+        return index
     match = F.lit(True)
     for name, value in equals.items():
-        match = match & F.col(name).eqNullSafe(F.lit(value))
+        match = match & F.coalesce(F.col(name) == F.lit(value), F.lit(False))
     return index.filter(~match)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
 from corpuskit.operators.ordered import row_position, running_total
+from corpuskit.operators.skew import join_copies
 
 # --- fixed values -----------------------------------------------------------
 MAX_TOKENS, SYSTEM_TOKENS, RESERVED_TOKENS = 8192, 150, 256
@@ -351,8 +352,9 @@ def mean_context_stats(stats: DataFrame) -> DataFrame:
 
 
 def _counted(messages: DataFrame) -> DataFrame:
-    totals = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_total"))
-    return messages.join(totals, "session_id")
+    totals = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("copies"))
+    return join_copies(
+        messages, totals.withColumnRenamed("copies", "_total"), ["session_id"], totals)
 
 
 def trim_history(messages: DataFrame, max_messages: int = MAX_MESSAGES, max_tokens: int = HISTORY_TOKENS) -> DataFrame:
@@ -370,24 +372,26 @@ def trim_history(messages: DataFrame, max_messages: int = MAX_MESSAGES, max_toke
     return short.unionByName(kept.drop("_sum"))
 
 
-def history_summary(
-    messages: DataFrame, max_messages: int = MAX_MESSAGES, segment: int = 10_000
-) -> DataFrame:
-    """All but the newest messages, shortened and joined: session_id, segment,
-    text, token_count, message_count.
+def history_pieces(messages: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFrame:
+    """All but the newest messages, shortened: session_id, number (from 1), piece.
+
+    Every second piece carries its role.  One row per message, so a session of
+    any length is spread over tasks.
+    """
+    numbered = row_position(_counted(messages), ["session_id"], "position", "number")
+    old = numbered.filter(F.col("number") <= F.col("_total") - max_messages)
+    prefix = F.when((F.col("number") - 1) % 2 == 0, F.concat("role", F.lit(": "))).otherwise("")
+    return old.select("session_id", "number", F.concat(prefix, F.substring("content", 1, SUMMARY_CHARS)).alias("piece"))
+
+
+def history_summary(messages: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFrame:
+    """One row per session with older messages: session_id, text, token_count, message_count.
 
-    Every second piece carries its role.  A segment joins up to ``segment``
-    pieces, so an endless session becomes several rows, and no task ever holds
-    more than one segment.
+    The text joins the pieces of ``history_pieces``; take those themselves where
+    a session is too long for one text.
     """
-    numbered = row_position(_counted(messages), ["session_id"], "position", "_n")
-    old = numbered.filter(F.col("_n") <= F.col("_total") - max_messages)
-    prefix = F.when((F.col("_n") - 1) % 2 == 0, F.concat("role", F.lit(": "))).otherwise("")
-    piece = F.concat(prefix, F.substring("content", 1, SUMMARY_CHARS))
-    pieces = old.select(
-        "session_id", "_n", piece.alias("_piece"), F.floor((F.col("_n") - 1) / segment).alias("segment"))
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "_piece")))
-    return pieces.groupBy("session_id", "segment").agg(
-        F.array_join(F.transform(ordered, lambda p: p["_piece"]), " | ").alias("text"),
-        F.sum(F.floor(F.length("_piece") / 4)).alias("token_count"),
+    ordered = F.array_sort(F.collect_list(F.struct("number", "piece")))
+    return history_pieces(messages, max_messages).groupBy("session_id").agg(
+        F.array_join(F.transform(ordered, lambda p: p["piece"]), " | ").alias("text"),
+        F.sum(F.floor(F.length("piece") / 4)).alias("token_count"),
         F.count(F.lit(1)).alias("message_count"))

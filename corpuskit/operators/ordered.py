@@ -133,14 +133,15 @@ def top_rows(
 
 
 def rank_select(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], bins: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], bins: int = 200
 ) -> DataFrame:
     """Exact order statistics per group without sorting a group in one task.
 
     ``ranks`` maps an output name to a zero-based rank written over the column
     ``n`` (rows in the group).  Equal values are counted first, map-side; the
-    distinct values are then cut into equal-width bins, and running counts over
-    (group, bin) locate each rank.
+    distinct values are then cut at their own approximate quantiles, so bins are
+    about equally full however the values lie, and running counts over (group,
+    bin) locate each rank.
     """
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
@@ -152,13 +153,13 @@ def rank_select(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     spans = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n")
+        F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10 * bins).alias("_cuts"),
+        F.sum("_c").alias("n"),
     )
-    width = (F.col("_hi") - F.col("_lo")) / bins
     binned = counts.join(spans, keys)
     running = running_total(
         binned, keys, "_v", F.col("_c"), "_upto",
-        block=F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(0),
+        block=F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))),
     )
     picks = [
         F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")), F.col("_v")))

@@ -150,7 +150,8 @@ def embedding_duplicates(df: DataFrame, key: str, tolerance: float = 1e-6) -> Da
     id of its cell, and only what that leaves open is compared within the cell.
     """
     # The last candidate bound of a cell is inclusive of float error at the rim.
-    rows = df.filter(F.size("embedding") > 0).select(
+    # NaN is not within any tolerance of anything, itself included.
+    rows = df.filter((F.size("embedding") > 0) & ~F.coalesce(vx.has_nan(F.col("embedding")), F.lit(False))).select(
         F.col(key).alias("entity_id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     folded = rows.groupBy("vector").agg(
@@ -205,8 +206,12 @@ def index_findings(df: DataFrame, dims: int | None = None, strict: bool = False)
 # --- hits, contexts, messages, answers --------------------------------------
 
 
-def retrieval_findings(hits: DataFrame, strict: bool = False) -> DataFrame:
-    """query_id, chunk_id, rank, check_name, severity for ranked hits (k rows per query)."""
+def retrieval_findings(hits: DataFrame, strict: bool = False, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, rank, check_name, severity for ranked hits (k rows per query).
+
+    With ``queries`` (query_id) those without any hit are found too, with a null
+    chunk and rank.
+    """
     from pyspark.sql import Window
 
     by_rank = Window.partitionBy("query_id").orderBy("rank")
@@ -215,7 +220,7 @@ def retrieval_findings(hits: DataFrame, strict: bool = False) -> DataFrame:
         "_copy", F.row_number().over(same_chunk))
     s = F.col("score")
     chunk = F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))
-    return promote(_rows(seen, [F.col("query_id"), F.col("chunk_id"), F.col("rank")], [
+    found = _rows(seen, [F.col("query_id"), F.col("chunk_id"), F.col("rank")], [
         ("duplicate_id", "error", F.col("_copy") > 1),
         ("nan_score", "error", F.isnan(s)),
         ("inf_score", "error", F.abs(s) == float("inf")),
@@ -223,7 +228,15 @@ def retrieval_findings(hits: DataFrame, strict: bool = False) -> DataFrame:
         ("order", "error", s > F.col("_before") + 1e-9),
         ("empty_id", "warning", chunk == ""),
         ("empty_content", "warning", F.coalesce("content", F.lit("")) == ""),
-    ]), strict)
+    ])
+    if queries is not None:
+        kinds = dict(hits.dtypes)
+        found = found.unionByName(
+            queries.select("query_id").distinct().join(hits.select("query_id"), "query_id", "left_anti").select(
+                "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"),
+                F.lit(None).cast(kinds["rank"]).alias("rank"), F.lit("empty_result").alias("check_name"),
+                F.lit("warning").alias("severity")))
+    return promote(found, strict)
 
 
 def context_findings(contexts: DataFrame, totals: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,10 +15,6 @@ from corpuskit.operators.retrieval import TIE_DIGITS
 
 Scorer = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
 
-# More candidates than this per query are refused: the greedy loop is meant for
-# the short list a first stage returns.
-MOST_CANDIDATES = 1000
-
 
 def identity(hits: DataFrame) -> DataFrame:
     return hits
@@ -72,8 +69,23 @@ def overlap_scorer() -> Scorer:
     return score
 
 
-def _overlap(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+class Overlap:
+    """Word overlap (Jaccard) of one candidate with all: an array of word numbers and their owners."""
+
+    def __init__(self, words: Sequence[Sequence[str]]) -> None:
+        number: dict[str, int] = {}
+        self.words = [np.array([number.setdefault(w, len(number)) for w in own], np.int64) for own in words]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(self.words)), self.sizes)
+        self.marked = np.zeros(len(number), dtype=bool)
+
+    def to(self, pick: int) -> np.ndarray:
+        self.marked[self.words[pick]] = True
+        shared = np.bincount(self.owner, weights=self.marked[self.flat], minlength=len(self.sizes))
+        self.marked[self.words[pick]] = False
+        union = self.sizes + self.sizes[pick] - shared
+        return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
 
 
 def mmr(
@@ -85,10 +97,10 @@ def mmr(
     The first candidate (rank 1) is taken as given; each further pick maximises
     lambda * score - (1 - lambda) * (largest similarity to a pick), ties to the
     earlier candidate.  Similarity defaults to word overlap of ``content``;
-    ``similarity`` compares values of the column ``feature`` instead.
+    ``similarity`` compares values of the column ``feature`` instead.  A pick
+    costs one pass over the candidates' words, however many there are.
     """
     value = F.array_distinct(tx.terms(F.col("content"))) if feature is None else F.col(feature)
-    compare = similarity or _overlap
     as_set = feature is None
     ids = {f.name: f.dataType for f in hits.schema.fields}
     schema = T.StructType([
@@ -99,22 +111,23 @@ def mmr(
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
-        if len(group) > MOST_CANDIDATES:
-            raise ValueError(f"{len(group)} candidates for one query; retrieve fewer before MMR")
-        values = [frozenset(v) if as_set else v for v in group["value"]]
-        relevance = group["score"].to_numpy()
-        closest = [0.0] * len(group)
-        left, picks = list(range(len(group))), []
-        limit = k if k > 0 else len(group)
-        while left and len(picks) < limit:
+        values = group["value"].tolist()
+        overlap = Overlap(values) if as_set else None
+        relevance = group["score"].to_numpy(dtype=float)
+        closest, left = np.zeros(len(group)), np.ones(len(group), dtype=bool)
+        limit = min(k, len(group)) if k > 0 else len(group)
+        picks: list[int] = []
+        while len(picks) < limit:
+            at = 0
             if picks:
-                for i in left:
-                    closest[i] = max(closest[i], compare(values[i], values[picks[-1]]))
-                gain = [round(lambda_ * relevance[i] - (1 - lambda_) * closest[i], TIE_DIGITS) for i in left]
-                at = max(range(len(left)), key=lambda j: (gain[j], -j))
-            else:
-                at = 0
-            picks.append(left.pop(at))
+                last = picks[-1]
+                near = overlap.to(last) if as_set else np.array(
+                    [similarity(v, values[last]) if left[i] else 0.0 for i, v in enumerate(values)])
+                closest = np.maximum(closest, near)
+                gain = np.round(lambda_ * relevance - (1 - lambda_) * closest, TIE_DIGITS)
+                at = int(np.argmax(np.where(left, gain, -np.inf)))
+            left[at] = False
+            picks.append(at)
         out = group.iloc[picks][["query_id", "chunk_id", "score"]].rename(columns={"score": "original_score"})
         out["rank"] = range(1, len(picks) + 1)
         # A lone candidate is returned as it came.

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +22,12 @@ from corpuskit.functions import text as tx
 from corpuskit.operators.ordered import top_rows
 
 # Query vectors up to this many numbers (64 MB of doubles) travel to every
-# worker as one broadcast; more of them go through the block join.
+# worker as one broadcast; more of them go in blocks.
 BROADCAST_NUMBERS = 8_000_000
 # A query vocabulary up to this many terms filters tokens before the shuffle.
 BROADCAST_TERMS = 500_000
 # Hits up to this many rows (queries x k) are broadcast to the corpus they point into.
 BROADCAST_HITS = 1_000_000
-# Rows per side of one block product in the block join.
-BLOCK_QUERIES = 4096
-BLOCK_ROWS = 32768
 # Scores are compared after rounding, so that summation order decides no tie.
 TIE_DIGITS = 9
 
@@ -64,38 +60,72 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric: {metric}")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the k best columns, ties by smaller id; flattened pairs."""
-    rows, cols = [], []
-    scores = np.round(scores, TIE_DIGITS)
-    for r in range(scores.shape[0]):
-        line = scores[r]
-        pick = np.arange(line.size)
-        if line.size > k:
-            limit = np.partition(line, line.size - k)[line.size - k]
-            pick = np.flatnonzero(line >= limit)
-        order = np.lexsort((ids[pick], -line[pick]))[:k]
-        cols.append(pick[order])
-        rows.append(np.full(order.size, r))
-    if not rows:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _product_topk(
-    q_ids: np.ndarray,
-    q_mat: np.ndarray,
-    ids: np.ndarray,
-    mat: np.ndarray,
-    k: int,
-    metric: str,
-    step: int = 1024,
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Local top-k of a block of queries against a block of rows."""
-    for at in range(0, len(q_ids), step):
-        scores = _scores(q_mat[at:at + step], mat, metric)
-        r, c = _best(scores, ids, k)
-        yield q_ids[at:at + step][r], ids[c], np.round(scores[r, c], TIE_DIGITS)
+class Running:
+    """The k best rows seen so far for each of some queries, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), None, dtype=object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """Merge a block of scores (queries from ``first`` on x rows)."""
+        here = slice(first, first + len(scores))
+        scores = np.where(np.isnan(scores), -np.inf, np.round(scores, TIE_DIGITS))
+        worst = self.scores[here].min(axis=1)
+        # Equal scores can still win by id; an empty place is -inf.
+        rows = np.flatnonzero((scores >= worst[:, None]).any(axis=1))
+        if not len(rows):
+            return
+        both = np.concatenate([self.scores[here][rows], scores[rows]], axis=1)
+        limit = -np.partition(-both, self.k - 1, axis=1)[:, self.k - 1]
+        keep = (both >= limit[:, None]) & (both > -np.inf)
+        exact = keep.sum(axis=1) == self.k
+        columns = np.nonzero(keep[exact])[1].reshape(-1, self.k)
+        self._put(first + rows[exact], columns, both[exact], ids)
+        for at in np.flatnonzero(~exact):  # ties at the limit, or fewer than k rows so far
+            columns = np.flatnonzero(keep[at])
+            names = self._names(np.full(len(columns), first + rows[at]), columns, ids)
+            order = sorted(range(len(columns)), key=lambda j: (-both[at, columns[j]], names[j]))[:self.k]
+            self.scores[first + rows[at]] = -np.inf
+            self.scores[first + rows[at], :len(order)] = both[at, columns[order]]
+            self.ids[first + rows[at], :len(order)] = names[order]
+
+    def _names(self, queries: np.ndarray, columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Ids behind columns: the first k are those kept, the others the block's."""
+        out = np.empty(len(columns), dtype=object)
+        old = columns < self.k
+        out[old] = self.ids[queries[old], columns[old]]
+        out[~old] = ids[columns[~old] - self.k]
+        return out
+
+    def _put(self, queries: np.ndarray, columns: np.ndarray, both: np.ndarray, ids: np.ndarray) -> None:
+        if len(queries):
+            names = self._names(np.repeat(queries, self.k), columns.ravel(), ids)
+            self.scores[queries] = np.take_along_axis(both, columns, axis=1)
+            self.ids[queries] = names.reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and scores of all kept rows."""
+        query, place = np.nonzero(self.scores > -np.inf)
+        return query, self.ids[query, place], self.scores[query, place]
+
+
+def _sizes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.unique(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def dense_mismatches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, dims: queries that no index vector can be compared with.
+
+    ``dims`` is the vector's size, 0 where it is empty or null.
+    """
+    size = F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0))
+    known = index.select(size.alias("dims")).filter("dims > 0").distinct()
+    return queries.select("query_id", size.alias("dims")).join(F.broadcast(known), "dims", "left_anti").select(
+        "query_id", "dims")
 
 
 def dense_topk(
@@ -111,12 +141,15 @@ def dense_topk(
     ``metric``: ``cosine`` and ``dot`` similarity, or ``l2`` scored 1/(1+d).
     With ``per_collection`` the queries carry ``collections`` (an array) and the
     index a ``collection``; each query sees only its collections and gets k rows
-    from each, ranked together (``collection`` is part of the result).
-
-    Index rows never shuffle while the query vectors fit ``broadcast_numbers``:
-    each task multiplies its batches by the broadcast query matrix and keeps k
-    rows per query.  A larger query set is cut into blocks on both sides and
-    joined block by block.  Either way only local top-k rows are shuffled.
+    from each, ranked together (``collection`` is part of the result).  A query
+    is compared with the index vectors of its own size; ``dense_mismatches``
+    lists those that have none.
+
+    Index rows never shuffle.  Queries are broadcast in blocks of at most
+    ``broadcast_numbers`` numbers (vectors, ids and collection names counted),
+    and the index is scanned once for each block.  A task keeps the k best rows
+    of every query while it runs through its batches and emits them at its end,
+    so k rows per query and task are shuffled.
     """
     spark = index.sparkSession
     id_type = index.schema["chunk_id"].dataType
@@ -129,60 +162,19 @@ def dense_topk(
 
     q_cols = ["query_id", "embedding"] + (["collections"] if per_collection else [])
     x_cols = ["chunk_id", "embedding"] + (["collection"] if per_collection else [])
-    queries, index = queries.select(*q_cols), index.select(*x_cols)
+    queries = queries.select(*q_cols).filter(F.size("embedding") > 0)
+    index = index.select(*x_cols)
 
-    head = queries.select(F.size("embedding").alias("d")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
-    n_queries, dims = head["n"], head["d"]
-    if not n_queries or not dims or dims <= 0:
+    names = F.coalesce(F.size("collections"), F.lit(0)) if per_collection else F.lit(0)
+    numbers = queries.agg(F.sum(F.size("embedding") + 4 * names + 4)).first()[0]
+    if not numbers:
         return spark.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
-
-    if n_queries * dims <= broadcast_numbers:
-        table = queries.toArrow()
-        q_mat, rows = _matrix(table.column("embedding"), dims)
-        q_ids = np.asarray(table.column("query_id").to_pylist(), dtype=object)[rows]
-        targets: dict = {}
-        if per_collection:
-            wanted = table.column("collections").to_pylist()
-            for at, r in enumerate(rows):
-                for name in set(wanted[r] or ()):
-                    targets.setdefault(name, []).append(at)
-        shared = spark.sparkContext.broadcast((q_ids, q_mat, targets))
-        arrow_schema = pa.schema([
-            pa.field(f.name, t.type) for f, t in zip(fields, _arrow_types(spark, schema))])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_q, mat_q, wanted_by = shared.value
-            for batch in batches:
-                mat, good = _matrix(batch.column("embedding"), dims)
-                ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)[good]
-                if not len(ids):
-                    continue
-                # Row order by id lets ties compare plain integers.
-                rank_of = np.argsort(ids, kind="stable")
-                ids, mat = ids[rank_of], mat[rank_of]
-                if per_collection:
-                    names = np.asarray(batch.column("collection").to_pylist(), dtype=object)
-                    names = names[good][rank_of]
-                    groups = [(c, np.flatnonzero(names == c), np.asarray(wanted_by[c]))
-                              for c in set(names) if c in wanted_by]
-                else:
-                    groups = [(None, np.arange(len(ids)), np.arange(len(ids_q)))]
-                for name, at, qs in groups:
-                    positions = np.arange(len(at))
-                    for q, p, s in _product_topk(
-                        np.arange(len(qs)), mat_q[qs], positions, mat[at], k, metric
-                    ):
-                        cols = {"query_id": ids_q[qs[q]], "chunk_id": ids[at[p]], "score": s}
-                        if per_collection:
-                            cols["collection"] = [name] * len(s)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(list(cols[f.name]), type=f.type) for f in arrow_schema],
-                            schema=arrow_schema)
-
-        local = index.mapInArrow(scan, schema)
-    else:
-        local = _block_join(queries, index, k, metric, dims, n_queries, schema, per_collection)
+    blocks = -(-numbers // broadcast_numbers)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    local = None
+    for at in range(blocks):
+        part = _scan(queries if blocks == 1 else queries.filter(block == at), index, k, metric, schema, per_collection)
+        local = part if local is None else local.unionByName(part)
 
     if per_collection:
         kept = top_rows(local, ["query_id", "collection"], best_first(), k, "_r").drop("_r")
@@ -195,55 +187,52 @@ def _arrow_types(spark, schema):
     return list(spark.createDataFrame([], schema).toArrow().schema)
 
 
-def _block_join(queries, index, k, metric, dims, n_queries, schema, per_collection):
-    """Every query block meets every index block once, in its own task."""
-    n_rows = index.count()
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    x_blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-        "xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1)))
-    )
-    right = index.withColumn("xb", F.pmod(F.xxhash64("chunk_id"), F.lit(x_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    left = left.withColumn("qb", F.col("qb").cast("int")).withColumn("xb", F.col("xb").cast("int"))
-    right = right.withColumn("qb", F.col("qb").cast("int")).withColumn("xb", F.col("xb").cast("int"))
-    # Fresh column ids: both sides may come from the same table.
-    left = left.toDF(*left.columns)
-    right = right.withColumnRenamed("embedding", "vector").toDF(
-        *["vector" if c == "embedding" else c for c in right.columns])
-    names = [f.name for f in schema]
-
-    def product(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(xs):
-            return pd.DataFrame(columns=names)
-        qs = qs[qs["embedding"].map(lambda v: v is not None and len(v) == dims)]
-        xs = xs[xs["vector"].map(lambda v: v is not None and len(v) == dims)]
-        out = []
-        if len(qs) and len(xs):
-            xs = xs.sort_values("chunk_id").reset_index(drop=True)
-            qs = qs.reset_index(drop=True)
-            mat = np.stack(xs["vector"].to_numpy()).astype(np.float64)
-            q_mat = np.stack(qs["embedding"].to_numpy()).astype(np.float64)
-            if per_collection:
-                members = qs["collections"].map(lambda v: set(v) if v is not None else set())
-                groups = [(c, np.asarray(at), np.flatnonzero(members.map(lambda m, c=c: c in m)))
-                          for c, at in xs.groupby("collection").indices.items()]
-            else:
-                groups = [(None, np.arange(len(xs)), np.arange(len(qs)))]
-            for name, at, sel in groups:
-                for q, p, s in _product_topk(
-                    np.arange(len(sel)), q_mat[sel], np.arange(len(at)), mat[at], k, metric
-                ):
-                    part = pd.DataFrame({
-                        "query_id": qs["query_id"].to_numpy()[sel[q]],
-                        "chunk_id": xs["chunk_id"].to_numpy()[at[p]], "score": s})
-                    if per_collection:
-                        part["collection"] = name
-                    out.append(part)
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
-
-    return left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(product, schema)
+def _scan(queries, index, k, metric, schema, per_collection, step: int = 1024) -> DataFrame:
+    """Local top-k of one block of queries in every task of the index."""
+    spark = index.sparkSession
+    table = queries.toArrow()
+    all_ids = np.asarray(table.column("query_id").to_pylist(), dtype=object)
+    # By vector size: query ids, their matrix, and by collection the queries that want it.
+    by_size = {}
+    for dims in _sizes(table.column("embedding")):
+        matrix, rows = _matrix(table.column("embedding"), dims)
+        targets: dict = {}
+        if per_collection:
+            wanted = table.column("collections").to_pylist()
+            for number, row in enumerate(rows):
+                for name in set(wanted[row] or ()):
+                    targets.setdefault(name, []).append(number)
+        by_size[int(dims)] = (all_ids[rows], matrix, {name: np.asarray(at) for name, at in targets.items()})
+    shared = spark.sparkContext.broadcast(by_size)
+    arrow_schema = pa.schema([pa.field(f.name, t.type) for f, t in zip(schema, _arrow_types(spark, schema))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for dims in _sizes(batch.column("embedding")):
+                if dims not in shared.value:
+                    continue
+                _, q_mat, targets = shared.value[dims]
+                mat, good = _matrix(batch.column("embedding"), dims)
+                ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)[good]
+                groups = [(None, np.arange(len(ids)), np.arange(len(q_mat)))]
+                if per_collection:
+                    names = np.asarray(batch.column("collection").to_pylist(), dtype=object)[good]
+                    groups = [(c, np.flatnonzero(names == c), targets[c]) for c in set(names) if c in targets]
+                for name, at, asked in groups:
+                    running = best.setdefault((dims, name), Running(len(asked), k))
+                    for first in range(0, len(asked), step):
+                        scores = _scores(q_mat[asked[first:first + step]], mat[at], metric)
+                        running.add(scores, ids[at], first)
+        for (dims, name), running in best.items():
+            q_ids, _, targets = shared.value[dims]
+            query, ids, scores = running.rows()
+            cols = {"query_id": (q_ids[targets[name]] if per_collection else q_ids)[query], "chunk_id": ids,
+                    "score": scores, "collection": [name] * len(ids)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(cols[f.name]), type=f.type) for f in arrow_schema], schema=arrow_schema)
+
+    return index.mapInArrow(scan, schema)
 
 
 def best_first() -> list[Column]:

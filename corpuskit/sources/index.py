@@ -29,3 +29,9 @@ def read_index(spark: SparkSession, path: str, collection: str | None = None) ->
     """The whole table, or one collection (partition pruning)."""
     df = spark.read.parquet(path)
     return df if collection is None else df.filter(F.col("collection") == collection)
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table's folder is there, asked of the file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

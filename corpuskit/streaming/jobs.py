@@ -7,14 +7,19 @@ shared storage.  All of them run to the end of the input with
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.operators import traces as tr
-from corpuskit.sources.index import read_index
+from corpuskit.sources.index import index_exists, read_index, write_index
+
+
+# Collections of one batch up to this number are named in the filter on the index.
+MOST_PRUNED = 10_000
 
 
 def _start(writer, trigger: dict | None) -> StreamingQuery:
@@ -33,27 +38,55 @@ def stream_ingest(
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        rows = transform(batch).dropDuplicates(["collection", "chunk_id"])
-        try:
-            known = read_index(batch.sparkSession, index_path)
-        except Exception as exc:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        else:
-            keys = ["collection", "chunk_id"]
+        spark, keys = batch.sparkSession, ["collection", "chunk_id"]
+        rows = transform(batch).dropDuplicates(keys)
+        if index_exists(spark, index_path):
+            known = read_index(spark, index_path)
+            # Only the partitions that this batch writes to.
+            names = [r[0] for r in rows.select("collection").distinct().limit(MOST_PRUNED + 1).collect()]
+            if len(names) <= MOST_PRUNED:
+                known = known.filter(F.col("collection").isin(names))
             rows = rows.join(known.select(*keys), keys, "left_anti")
-        rows.write.mode("append").partitionBy("collection").parquet(index_path)
+        write_index(rows, index_path)
 
     return _start(
         documents.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint), trigger)
 
 
-def suppress_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "1 hour") -> DataFrame:
-    """Pass the first row of a key and hold back repeats for ``ttl``.
+def suppress_repeats(
+    stream: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "1 hour", idle: str | None = None,
+) -> DataFrame:
+    """Pass a row of a key and hold back those less than ``ttl`` after the last one passed.
 
-    Expiry follows event time (the watermark), not the wall clock.
+    The state is one timestamp per key, kept for good unless ``idle`` is given:
+    then rows later than that by event time are dropped, as with any watermark,
+    and a key without rows for so long is forgotten.  Otherwise no row is dropped
+    for being late; one that lies before the last passed row counts as its repeat.
     """
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+    gap = int(pd.Timedelta(ttl).total_seconds() * 1e6)
+    rest = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    columns = stream.columns
+
+    def choose(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
+        last, kept = state.get[0] if state.exists else None, []
+        for at, value in zip(rows.index, rows[ts].astype("datetime64[us]").astype("int64")):
+            if last is None or value - last >= gap:
+                last = int(value)
+                kept.append(at)
+        state.update((last,))
+        if rest is not None:
+            state.setTimeoutTimestamp(max(last // 1000 + rest, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[kept, columns]
+
+    rows = stream.filter(F.col(ts).isNotNull())
+    if idle is not None:
+        rows = rows.withWatermark(ts, idle)
+    return rows.groupBy(*keys).applyInPandasWithState(
+        choose, stream.schema, "last long", "append", "NoTimeout" if idle is None else "EventTimeTimeout")
 
 
 def trace_windows(stream: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:

@@ -405,12 +405,21 @@ def trim_history(t: Tables) -> DataFrame:
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
       p AS (SELECT conv_id, i, CASE WHEN i % 2 = 1 THEN role || ': ' ELSE '' END || left(text, 200) AS piece
             FROM m WHERE i <= n - 3)
-      SELECT conv_id AS session_id, 0::BIGINT AS segment, string_agg(piece, ' | ' ORDER BY i) AS text,
+      SELECT conv_id AS session_id, string_agg(piece, ' | ' ORDER BY i) AS text,
              sum(length(piece) // 4)::BIGINT AS token_count, count(*) AS message_count FROM p GROUP BY conv_id""")
 def history_summary(t: Tables) -> DataFrame:
     return cx.history_summary(messages(t), 3)
 
 
+@BOOK.add("history_pieces", """
+      WITH m AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+      SELECT conv_id AS session_id, i AS number,
+        CASE WHEN i % 2 = 1 THEN role || ': ' ELSE '' END || left(text, 200) AS piece FROM m WHERE i <= n - 3""")
+def history_pieces(t: Tables) -> DataFrame:
+    return cx.history_pieces(messages(t), 3)
+
+
 @BOOK.add("message_findings", """
       SELECT conv_id || '/' || turn AS entity_id, 'empty_message' AS check_name, 'error' AS severity
       FROM conversations WHERE turn = 3

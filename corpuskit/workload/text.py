@@ -291,14 +291,18 @@ def parse_pdf_date(t: Tables) -> DataFrame:
 
 
 @BOOK.add("parse_iso_or_epoch", """
-      SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts)
-        WHEN 1 THEN date_trunc('second', ts) END AS parsed FROM events""")
+      SELECT event_id, CASE event_id % 8 WHEN 0 THEN date_trunc('second', ts)
+        WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN make_timestamp(2024 * 1000000)
+        WHEN 3 THEN make_timestamp(86400 * 1000000::BIGINT) WHEN 4 THEN date_trunc('day', ts)
+        WHEN 5 THEN make_timestamp(event_id * 500000) END AS parsed FROM events""")
 def parse_iso_or_epoch(t: Tables) -> DataFrame:
-    second = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    second, kind = F.date_trunc("second", F.col("ts").cast("timestamp")), F.col("event_id") % 8
     raw = (
-        F.when(F.col("event_id") % 3 == 0, F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(F.col("event_id") % 3 == 1, F.unix_timestamp(second).cast("string"))
-        .otherwise("not a date"))
+        F.when(kind == 0, F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(kind == 1, F.unix_timestamp(second).cast("string")).when(kind == 2, "2024").when(kind == 3, "86400")
+        .when(kind == 4, F.date_format(second, "yyyy-MM-dd"))
+        .when(kind == 5, (F.col("event_id") * 0.5).cast("decimal(20,1)").cast("string"))
+        .when(kind == 6, "10:30:00").otherwise("not a date"))
     return t.events.select("event_id", tx.parse_iso_or_epoch(raw).alias("parsed"))
 
 

