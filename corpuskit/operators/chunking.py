@@ -11,7 +11,8 @@ page_number, section, heading, strategy, and the inherited columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,8 @@ SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 # Multi-line with \n as the only line end, Unicode classes.
 _FLAGS = "(?mdU)"
 
-CHUNK_FIELDS = ("start_offset", "end_offset", "text", "section", "heading")
+# ``page_at`` is the offset whose page the chunk is said to stand on.
+CHUNK_TYPE = "struct<start_offset:int,end_offset:int,text:string,section:string,heading:string,page_at:int>"
 
 
 def _chunk(start: Column, end: Column, text: Column, section: Column | None = None,
@@ -47,7 +49,7 @@ def _chunk(start: Column, end: Column, text: Column, section: Column | None = No
     return F.struct(
         start.cast("int").alias("start_offset"), end.cast("int").alias("end_offset"), text.alias("text"),
         (none if section is None else section).alias("section"),
-        (none if heading is None else heading).alias("heading"))
+        (none if heading is None else heading).alias("heading"), start.cast("int").alias("page_at"))
 
 
 def _nonblank(pieces: Column) -> Column:
@@ -111,23 +113,24 @@ def _runs(pieces: Column, heads: Column) -> Column:
         pieces, h, F.coalesce(F.get(heads, j + 1), F.size(pieces) + 1) - h))
 
 
-def _or_whole(parts: Column, piece: Column) -> Column:
-    kept = _nonblank(parts)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(piece))
-
-
 # How a piece over the size is split, level by level.
 LEVELS: tuple[Callable[[Column], Column], ...] = (
-    lambda p: _nonblank(_cut_before(p, RECURSIVE_HEADING)),
-    lambda p: _or_whole(F.split(p, "\n\n"), p),
+    lambda p: _cut_before(p, RECURSIVE_HEADING),
+    lambda p: F.split(p, "\n\n"),
     lambda p: F.split(p, SENTENCE_GAP),
-    lambda p: _or_whole(F.split(p, " "), p),
+    lambda p: F.split(p, " "),
     lambda p: F.split(p, ""),
 )
 
 
 def _when_over(size: int, split: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda s: F.when(F.length(s) > size, split(s)).otherwise(F.array(s))
+    """Two or more pieces replace a segment over ``size``; otherwise it goes on unsplit."""
+    def step(s: Column) -> Column:
+        several = F.transform(
+            F.array(_nonblank(split(s))), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array(s)))
+        return F.when(F.length(s) > size, F.get(several, F.lit(0))).otherwise(F.array(s))
+
+    return step
 
 
 def recursive_chunks(df: DataFrame, size: int = CHUNK_SIZE, min_size: int = MIN_SIZE) -> DataFrame:
@@ -143,7 +146,7 @@ def recursive_chunks(df: DataFrame, size: int = CHUNK_SIZE, min_size: int = MIN_
     runs = F.transform(_runs(F.col("_seg"), F.col("_heads")), lambda r: F.struct(
         F.aggregate(r, F.lit(0), lambda n, s: n + F.length(s)).alias("n"),
         F.array_join(F.transform(r, tx.strip), "\n").alias("t")))
-    kind = "array<struct<start_offset:int,end_offset:int,text:string,section:string,heading:string>>"
+    kind = f"array<{CHUNK_TYPE}>"
     return df.withColumn("_c", F.aggregate(
         runs,
         F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
@@ -213,82 +216,74 @@ def extract_headings(df: DataFrame, pattern: str = HEADING, heading_text: str =
     )
 
 
-def _with_paths(sections: Column) -> Column:
-    """Add the path of enclosing titles, from a stack of rising levels."""
-    kind = "array<struct<start:int,end:int,level:int,title:string,path:array<string>>>"
-    return F.aggregate(
-        sections,
-        F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("stack"),
-                 F.array().cast(kind).alias("out")),
-        lambda acc, s: F.struct(
-            F.concat(F.filter(acc["stack"], lambda h: h["level"] < s["level"]),
-                     F.array(F.struct(s["level"].alias("level"), s["title"].alias("title")))).alias("stack"),
-            F.concat(acc["out"], F.array(F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), s["level"].alias("level"),
-                s["title"].alias("title"),
-                F.concat(
-                    F.transform(F.filter(acc["stack"], lambda h: h["level"] < s["level"]), lambda h: h["title"]),
-                    F.array(s["title"])).alias("path")))).alias("out")),
-        lambda acc: acc["out"])
-
-
-def pack(pieces: Column, glue: Column, size: int, extra: Column) -> Column:
-    """Greedy packing: pieces join with ``glue`` until the next one would pass
-    ``size``; each counts its length plus ``extra``.  Gives the joined texts.  A piece over ``size`` stays whole."""
-    packed = F.aggregate(
-        pieces,
-        F.struct(F.array().cast("array<string>").alias("done"),
-                 F.array().cast("array<string>").alias("open"), F.lit(0).alias("held")),
-        lambda acc, p: F.when(
-            (acc["held"] + F.length(p) + extra > size) & (F.size(acc["open"]) > 0),
-            F.struct(
-                F.concat(acc["done"], F.array(F.call_function("array_join", acc["open"], glue))).alias("done"),
-                F.array(p).alias("open"), (F.length(p) + extra).alias("held")),
-        ).otherwise(F.struct(
-            acc["done"].alias("done"), F.concat(acc["open"], F.array(p)).alias("open"),
-            (acc["held"] + F.length(p) + extra).alias("held"))),
-        lambda acc: F.when(
-            F.size(acc["open"]) > 0,
-            F.concat(acc["done"], F.array(F.call_function("array_join", acc["open"], glue)))).otherwise(acc["done"]))
-    return packed
-
-
-def section_pieces(body: Column, size: int = CHUNK_SIZE) -> Column:
-    """struct(glue, extra, parts): what to pack a section over ``size`` from:
-    its paragraphs if it has several, else its sentences, else plain slices."""
-    paragraphs = _nonblank(F.split(body, "\n\n"))
-    sentences = F.split(body, SENTENCE_GAP)
-    slices = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(body) - 1) / size).cast("int")),
-        lambda i: F.substring(body, i * size + 1, F.lit(size)))
-
-    def option(glue: str, extra: int, parts: Column) -> Column:
-        return F.struct(F.lit(glue).alias("glue"), F.lit(extra).alias("extra"), parts.alias("parts"))
-
-    return (
-        F.when(F.size(paragraphs) > 1, option("\n\n", 2, paragraphs))
-        .when(F.size(sentences) > 1, option(" ", 0, sentences))
-        .otherwise(option("", 0, slices))
-    )
-
-
-def _located(texts: Column, body: Column, base: Column) -> Column:
-    """Offsets of packed texts, found by their opening characters in order."""
-    kind = "array<struct<a:int,b:int,t:string>>"
-    opening = 24
-
-    def step(acc: Column, t: Column) -> Column:
-        found = F.call_function("locate", F.substring(t, 1, opening), body, acc["at"] + 1)
-        start = F.when(found > 0, found - 1).otherwise(acc["at"])
-        end = F.least(start + F.length(t), F.length(body))
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (base + start).cast("int").alias("a"), (base + end).cast("int").alias("b"),
-                t.alias("t")))).alias("out"))
-
-    return F.aggregate(
-        texts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+def _leaves(text: str, cut: re.Pattern, prefix: re.Pattern, line_titles: bool, keep_parent_text: bool):
+    """(start, end, title, path) of the sections to chunk, in order."""
+    starts = [m.start() for m in cut.finditer(text)]
+    edges = [*([0] if not starts or starts[0] else []), *starts, len(text)]
+    sections = []
+    for start, end in zip(edges, edges[1:]):
+        found = prefix.match(text, start)
+        if start == end:
+            continue
+        if found is None:
+            sections.append((start, end, 1, "(document)" if len(edges) == 2 else "(preamble)"))
+        else:
+            stop = text.find("\n", start)
+            title = text[start:stop if stop >= 0 else None] if line_titles else found.group()
+            sections.append((start, end, title_level(found.group()), title.strip()))
+    stack: list[tuple[int, str]] = []
+    for at, (start, end, level, title) in enumerate(sections):
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, title))
+        if keep_parent_text or at + 1 == len(sections) or sections[at + 1][2] <= level:
+            yield start, end, title, " > ".join(name for _, name in stack)
+
+
+def title_level(prefix: str) -> int:
+    """1 for #, chapter, ``1.``; 2 for ``1.2``; and so on; 2 when unclear."""
+    if marks := re.match(r"(#+)\s", prefix):
+        return len(marks.group(1))
+    if re.match(r"chapter\s+\d+", prefix, re.IGNORECASE):
+        return 1
+    if number := re.match(r"\d+(?:\.\d+)*", prefix):
+        return number.group().count(".") + 1
+    return 1 if re.match(r"[A-Z]\s*\.\s", prefix) else 2
+
+
+def _pieces(body: str, size: int) -> tuple[str, int, list[tuple[int, int]]]:
+    """Glue, what it counts, and the places of what a body over ``size`` is packed
+    from: its paragraphs if it has several, else its sentences, else plain slices."""
+    def between(gaps) -> list[tuple[int, int]]:
+        edges = [0]
+        for gap in gaps:
+            edges += [gap.start(), gap.end()]
+        edges.append(len(body))
+        return list(zip(edges[::2], edges[1::2]))
+
+    paragraphs = [(a, b) for a, b in between(re.finditer("\n\n", body)) if body[a:b].strip()]
+    if len(paragraphs) > 1:
+        return "\n\n", 2, paragraphs
+    sentences = between(_GAP.finditer(body))
+    if len(sentences) > 1:
+        return " ", 0, sentences
+    return "", 0, [(a, min(a + size, len(body))) for a in range(0, len(body), size)]
+
+
+def _packed(body: str, size: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of the pieces joined until the next one would pass ``size``."""
+    glue, extra, pieces = _pieces(body, size)
+    held, group = 0, []
+    for a, b in [*pieces, (0, 0)]:
+        last = len(group) and (a, b) == (0, 0)
+        if group and (last or held + b - a + extra > size):
+            yield group[0][0], group[-1][1], glue.join(body[x:y] for x, y in group).strip()
+            held, group = 0, []
+        group.append((a, b))
+        held += b - a + extra
+
+
+_GAP = re.compile(r"(?<=[.!?])\s+")
 
 
 def heading_aware_chunks(
@@ -300,49 +295,42 @@ def heading_aware_chunks(
     ``overlap`` characters of the next.
 
     A section followed by a deeper heading is no leaf and its own text is left
-    out, unless ``keep_parent_text``.
+    out, unless ``keep_parent_text``.  Offsets are the places of the first and
+    last piece, carried along from the split.  A chunk that took in a tiny
+    section stands on the page of its new end.  One pass over the text.
     """
-    df = with_sections(df, pattern, heading_text).withColumn("_paths", _with_paths(F.col("_sections")))
-    leaves = F.col("_paths") if keep_parent_text else F.filter("_paths", lambda s, i: F.coalesce(
-        F.get("_paths", i + 1)["level"] <= s["level"], F.lit(True)))
-    df = df.withColumn("_leaves", leaves)
-    # Everything about a section travels in its own struct: a lambda that looked
-    # up another computed array would evaluate that array once per element.
-    keep = ("start", "end", "title", "section", "body", "lead")
-
-    def grow(s: Column, **more: Column) -> Column:
-        fields = [s[k].alias(k) for k in keep]
-        return F.struct(*fields, *[c.alias(n) for n, c in more.items()])
-
-    raw = F.transform("_leaves", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title"),
-        F.array_join(s["path"], " > ").alias("section"),
-        F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("raw")))
-    bodies = F.filter(F.transform(raw, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title"),
-        s["section"].alias("section"), tx.strip(s["raw"]).alias("body"),
-        (F.length(s["raw"]) - F.length(tx.strip_left(s["raw"]))).alias("lead"))),
-        lambda s: s["body"] != "")
-    plans = F.transform(bodies, lambda s: grow(s, plan=F.when(
-        F.length(s["body"]) > size, section_pieces(s["body"], size))))
-    packed = F.transform(plans, lambda s: grow(s, texts=F.when(
-        s["plan"].isNotNull(),
-        pack(s["plan"]["parts"], s["plan"]["glue"], size, s["plan"]["extra"]),
-    ).otherwise(F.array(s["body"]))))
-    spots = F.transform(packed, lambda s: grow(
-        s, spots=_located(s["texts"], s["body"], s["start"] + s["lead"])))
-    flat = F.flatten(F.transform(spots, lambda s: F.transform(s["spots"], lambda p: F.struct(
-        F.when(F.size(s["spots"]) == 1, s["start"]).otherwise(p["a"]).alias("a"),
-        F.when(F.size(s["spots"]) == 1, s["end"]).otherwise(p["b"]).alias("b"),
-        tx.strip(p["t"]).alias("t"), s["section"].alias("section"), s["title"].alias("title"),
-        (F.length(s["body"]) <= tiny).alias("tiny")))))
-    df = df.withColumn("_flat", flat)
-    df = df.withColumn("_heads", _heads(F.col("_flat"), lambda p: ~p["tiny"]))
-    df = df.withColumn("_runs", _runs(F.col("_flat"), F.col("_heads")))
-    df = df.withColumn("_merged", F.transform("_runs", lambda r: _chunk(
-        F.element_at(r, 1)["a"], F.element_at(r, -1)["b"],
-        F.array_join(F.transform(r, lambda p: p["t"]), "\n\n"),
-        F.element_at(r, 1)["section"], F.element_at(r, 1)["title"])))
+    bare = pattern.removeprefix("^")
+    cut, prefix = re.compile(f"^(?={bare})", re.MULTILINE), re.compile(bare)
+
+    def of(text: str | None) -> list[dict]:
+        out: list[dict] = []
+        for start, end, title, section in _leaves(
+                text or "", cut, prefix, heading_text == "line", keep_parent_text):
+            raw = text[start:end]
+            body = raw.strip()
+            base = start + len(raw) - len(raw.lstrip())
+            if not body:
+                continue
+            if len(body) <= tiny and out:
+                out[-1]["parts"].append(body)
+                out[-1].update(end_offset=end, page_at=end)
+                continue
+            parts = [(start, end, body)]
+            if len(body) > size:
+                parts = [(base + a, base + b, t) for a, b, t in _packed(body, size)]
+                if len(parts) == 1:
+                    parts = [(start, end, parts[0][2])]
+            out += [{"start_offset": a, "end_offset": b, "page_at": a, "parts": [t], "section": section,
+                     "heading": title} for a, b, t in parts]
+        for chunk_ in out:
+            chunk_["text"] = "\n\n".join(chunk_.pop("parts"))
+        return out
+
+    @F.pandas_udf(f"array<{CHUNK_TYPE}>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    df = settle(df.withColumn("_merged", cut_up("text")), "_merged")
     return df.withColumn("_c", forward_overlap(F.col("_merged"), overlap))
 
 
@@ -407,7 +395,7 @@ def chunk(
         F.col("_k.text").alias("text"), F.col("_k.start_offset").alias("start_offset"),
         F.col("_k.end_offset").alias("end_offset"),
         tx.tokens_estimate(F.col("_k.text")).alias("token_count"),
-        page_of(F.col("_k.start_offset"), F.col("_p")).alias("page_number"),
+        page_of(F.col("_k.page_at"), F.col("_p")).alias("page_number"),
         F.col("_k.section").alias("section"), F.col("_k.heading").alias("heading"),
         F.lit(strategy).alias("strategy"))
 

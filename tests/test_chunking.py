@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from corpuskit.operators import chunking as ch
@@ -49,8 +51,9 @@ def test_heading_tree(spark):
     assert got[1].text == "## Two\n\nleaf words of section two, long\n\n# Three\n\ntiny"
     assert "parent words" not in got[0].text + got[1].text
     kept = chunks(spark, DOC, "heading_aware", overlap=0, keep_parent_text=True, heading_text="line")
-    assert [c.section for c in kept] == ["(preamble)", "# One > ## Two"] or "parent words" in "".join(
-        c.text for c in kept)
+    assert [(c.section, c.text) for c in kept] == [
+        ("(preamble)", "intro text that is longer than thirty\n\n# One\n\nparent words"),
+        ("# One > ## Two", "## Two\n\nleaf words of section two, long\n\n# Three\n\ntiny")]
 
 
 def test_heading_overlap_and_pages(spark):
@@ -87,3 +90,52 @@ def test_levels(spark, prefix, level):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(ch.heading_level(F.lit(prefix))).first()[0] == level
+
+
+def test_offsets_are_the_places_of_the_pieces(spark):
+    """Double blanks, several blank lines and tiny sections move nothing."""
+    rng = random.Random(1)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for n in range(rng.randint(1, 6)):
+            parts.append(rng.choice(["# H\n\n", f"{n}. Title\n", "", "CHAPTER 2\n\n\n"]))
+            parts.append(rng.choice(["  ", "\n\n\n", " ", "\n\n"]).join(
+                f"Word{rng.randint(0, 9)} {'w' * rng.randint(1, 30)}." for _ in range(rng.randint(1, 9))) + "\n\n")
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ch.chunk(df, "heading_aware", size=70, overlap=0).orderBy("doc_id", "chunk_index").collect()
+    assert len(rows) > 200
+    for r in rows:
+        assert texts[r.doc_id][r.start_offset:r.end_offset].split() == r.text.split()
+
+
+def test_page_of_a_merged_chunk_is_that_of_its_end(spark):
+    text = "# A\n\n" + "a" * 45 + "\n\n# B\n\nshort"
+    got = chunks(spark, text, "heading_aware", overlap=0, pages=["p" * 20, "q" * 100])
+    assert [(c.start_offset, c.end_offset, c.page_number) for c in got] == [(0, len(text), 2)]
+
+
+def test_a_level_with_one_piece_leaves_the_segment_whole(spark):
+    text = "  \n\n" + "word " * 12
+    got = chunks(spark, text, "recursive", size=40, min_size=10)
+    assert got[0].start_offset == 0 and got[-1].end_offset <= len(text)
+    assert "".join(c.text for c in got).replace("\n", "") == "word" * 12
+
+
+def test_heading_aware_is_linear(spark):
+    """Eight times the text must not take far more than eight times as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = []
+    for n in (1, 8):
+        df = spark.createDataFrame([(1, "Some plain words end here. " * 20_000 * n)], "doc_id long, text string")
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            ch.chunk(df, "heading_aware").agg(F.sum("end_offset")).collect()
+            best = min(best, time.time() - began)
+        took.append(best)
+    assert took[1] < 20 * took[0] + 2
