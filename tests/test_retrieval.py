@@ -118,3 +118,31 @@ def test_embed_distinct_with_known_vectors(spark):
         F.sha2("text", 256).alias("text_key"), "embedding", F.lit(1).alias("dimensions"))
     got = {r.id: r.embedding[0] for r in emb.embed_distinct(df, emb.measure_encoder, known=known).collect()}
     assert got == {1: 7.0, 2: 7.0, 3: 3.0}
+
+
+def test_mmr_takes_any_number_of_candidates(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, i, 1.0 - i / 5000, i + 1, " ".join(rng.sample(words, 6))) for i in range(5000)]
+    hits = spark.createDataFrame(rows, "query_id int, chunk_id int, score double, rank int, content string")
+    got = [r.chunk_id for r in rr.mmr(hits, 0.5, 4).orderBy("rank").collect()]
+    sets = [set(r[4].split()) for r in rows]
+    picks = [0]
+    while len(picks) < 4:
+        def gain(i):
+            near = max(len(sets[i] & sets[p]) / len(sets[i] | sets[p]) for p in picks)
+            return round(0.5 * rows[i][2] - 0.5 * near, 9)
+
+        picks.append(max((i for i in range(5000) if i not in picks), key=lambda i: (gain(i), -i)))
+    assert got == picks
+
+
+def test_empty_filter_deletes_nothing_and_conflicts_are_ordered(spark):
+    from corpuskit.operators import collections as col
+
+    index = spark.createDataFrame([("a", 1, "x"), ("a", 2, None)], "collection string, chunk_id int, text string")
+    assert col.delete_by_filter(index, {}).count() == 2
+    assert col.delete_by_filter(index, {"text": None}).count() == 2
+    assert col.delete_by_filter(index, {"text": "x"}).count() == 1
+    new = spark.createDataFrame([("b", 1, "late"), ("b", 1, "early")], "collection string, chunk_id int, text string")
+    assert col.insert_ignore(index, new).filter("collection = 'b'").first().text == "early"

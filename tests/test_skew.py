@@ -89,3 +89,12 @@ def test_embedding_duplicates_against_all_pairs(spark):
     df = spark.createDataFrame(data, "id long, embedding array<double>")
     got = {r.entity_id: r.duplicate_of for r in ql.embedding_duplicates(df, "id").collect()}
     assert got == want
+
+
+def test_rank_select_with_a_far_outlier(spark):
+    """Bins follow the values' own quantiles, so one huge value does not empty the others."""
+    df = spark.range(20_001).select((F.col("id") % 2).alias("k"), F.when(
+        F.col("id") == 20_000, F.lit(1e12)).otherwise(F.col("id") / 7.0).alias("v"))
+    got = {r.k: (r.n, r.mid, r.top) for r in od.rank_select(
+        df, ["k"], "v", {"mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1}).collect()}
+    assert got[0] == (10_001, 10_000 / 7.0, 1e12) and got[1] == (10_000, 10_001 / 7.0, 19_999 / 7.0)
