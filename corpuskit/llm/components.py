@@ -45,21 +45,23 @@ def with_company(members: DataFrame) -> DataFrame:
     return members.join(leaders.filter("leader < _last").drop("_last"), "bucket")
 
 
-def linked(
-    members: DataFrame, traits: list[str], compatible: Callable[[str, str], Column],
+def grouped(
+    members: DataFrame, ids: DataFrame, compatible: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Verified links (``a``, ``b``) that join the same ids as all pairs of all buckets would.
-
-    First each id is tried against its buckets' leaders, one row a membership.
-    Ids that this joins need no further look at one another, so afterwards only
-    pairs from different components meet.  ``compatible(x, y)`` is a necessary
-    condition over the ``traits`` with these prefixes; ``verify`` keeps the
+    """(``id``, ``component``) of the ids with links: as if all pairs of all buckets had been verified.
+
+    ``members`` holds (``bucket``, ``id``), ``ids`` one row per ``id`` with its
+    traits.  First each id is tried against the leader of a bucket.  Ids that
+    this joins need no further look at one another, so afterwards only pairs
+    from different components meet.  ``compatible(x, y)`` is a necessary
+    condition over the traits, whose names have these prefixes; it decides
+    inside the join, so what it refuses is never a row.  ``verify`` keeps the
     pairs (a, b) that hold.  Every similar pair of a bucket therefore ends in
     one component, directly or through others.
     """
     members = kept_table(with_company(members), "buckets")
-    ids = members.select("id", *traits).distinct()
+    traits = [c for c in ids.columns if c != "id"]
 
     def side(df: DataFrame, id_: str, name: str) -> DataFrame:
         return df.select(F.col(id_).alias(name), *[F.col(t).alias(f"{name}_{t}") for t in traits])
@@ -68,13 +70,13 @@ def linked(
     stars = stars.join(side(ids, "id", "b"), F.col("id") == F.col("b")).join(
         side(ids, "id", "a"), F.col("leader") == F.col("a"))
     first = kept_table(verify(stars.filter(compatible("a", "b")).select("a", "b")), "verified")
-    found = components(first)
+    found = kept_table(components(first), "found")
     members = members.drop("leader").join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     # Buckets that have become one component are done.
     open_ = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     members = members.join(open_.filter("_low < _high").select("bucket"), "bucket")
-    members = kept_table(members.select("bucket", "id", "component", *traits), "open")
+    members = kept_table(members.select("bucket", "id", "component").join(ids, "id"), "open")
 
     def renamed(name: str) -> DataFrame:
         return members.select(
@@ -84,5 +86,11 @@ def linked(
     a, b = renamed("a"), renamed("b").withColumnRenamed("bucket", "_bucket")
     on = (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (
         F.col("a_component") != F.col("b_component")) & compatible("a", "b")
-    rest = a.join(b, on).select("a", "b").distinct()
-    return first.unionByName(verify(rest))
+    rest = verify(a.join(b, on).select("a", "b").distinct())
+    # Links between components are few, however many ids they hold.
+    between = rest.join(found.toDF("a", "_a"), "a", "left").join(found.toDF("b", "_b"), "b", "left").select(
+        F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+    merged = kept_table(components(between), "merged")
+    alone = merged.select("id", F.col("id").alias("component")).join(found, "id", "left_anti")
+    return found.unionByName(alone).join(merged.toDF("component", "_merged"), "component", "left").select(
+        "id", F.coalesce("_merged", "component").alias("component"))

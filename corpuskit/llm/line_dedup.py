@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.settle import settle
 from corpuskit.llm.alignment import within
-from corpuskit.llm.components import components, linked
+from corpuskit.llm.components import grouped
 from corpuskit.llm.order_minhash import hash_cache
 from corpuskit.llm.rows import counted_hint, kept_table, packed, small_batches, unpacked, whole_text
 
@@ -39,12 +39,32 @@ def normalised(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def voters(words: list[str]) -> list[str]:
+    """The distinct words in order, two at least: a separator or a word that fills a line votes once."""
+    distinct = list(dict.fromkeys(words))
+    return distinct if len(distinct) > 1 else distinct * 2
+
+
+def _votes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+
+
 def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of consecutive runs of word hashes; a bit needs more than half of a run's words."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    """64-bit fingerprints of consecutive runs of two or more word hashes.
+
+    Words and pairs of neighbours vote; a bit needs more than half of a run's
+    votes.  Pairs keep lines apart that share little but one frequent word.
+    """
     sizes = np.diff(np.r_[starts, len(words)])
-    return np.packbits(votes * 2 > sizes[:, None], axis=1).view(np.uint64).ravel()
+    inside = np.ones(len(words), dtype=bool)
+    inside[np.r_[starts[1:], len(words)] - 1] = False
+    first = np.flatnonzero(inside)
+    pairs = (words[first] * np.uint64(0x9E3779B97F4A7C15)) ^ words[first + 1]
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    pairs ^= pairs >> np.uint64(32)
+    votes = _votes(words, starts) + _votes(pairs, starts - np.arange(len(starts)))
+    return np.packbits(votes * 2 > (2 * sizes - 1)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def block_keys(fingerprint: str, radius: int, blocks: int) -> Column:
@@ -64,34 +84,40 @@ def _line_table(texts: DataFrame, kind: str, fewest: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = hash_cache()
-        columns = ["key", "version", "line_no", "high", "low", "print", "n_chars"]
-        for batch in batches:
-            rows, runs, size = [], [], 0
-
-            def flush() -> pd.DataFrame:
-                lengths = np.array([len(r) for r in runs])
-                prints = simhash(np.concatenate(runs), np.r_[0, np.cumsum(lengths)[:-1]]).view(np.int64)
-                done = pd.DataFrame(rows, columns=[c for c in columns if c != "print"])
-                done["print"] = prints
-                return done[columns]
+        places: list[tuple] = []
+        digests: list[bytes] = []
+        words: list[str] = []
+        counts: list[int] = []
+        sizes: list[int] = []
+
+        def flush() -> pd.DataFrame:
+            done = pd.DataFrame(places, columns=["key", "version", "line_no"])
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+            starts = np.r_[0, np.cumsum(counts)[:-1]]
+            done["high"], done["low"] = halves[:, 0], halves[:, 1]
+            done["print"], done["n_chars"] = simhash(hashes, starts).view(np.int64), sizes
+            for held in (places, digests, words, counts, sizes):
+                held.clear()
+            return done
 
+        for batch in batches:
             for key, version, text in zip(batch["key"], batch["version"], batch["text"]):
-                for number, line in enumerate(text.split("\n")):
-                    words = line.lower().split()
-                    if len(words) < fewest:
+                for number, line in enumerate(text.lower().split("\n")):
+                    own = line.split()
+                    if len(own) < fewest:
                         continue
-                    plain = " ".join(words)
-                    whole = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "surrogatepass"))
-                    rows.append((
-                        key, version, number, np.uint64(whole >> 64).astype(np.int64),
-                        np.uint64(whole & (2 ** 64 - 1)).astype(np.int64), len(plain)))
-                    runs.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-                    size += len(words)
-                    if size >= WORDS_AT_ONCE:
+                    plain = " ".join(own)
+                    places.append((key, version, number))
+                    digests.append(xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass")))
+                    voting = voters(own)
+                    words += voting
+                    counts.append(len(voting))
+                    sizes.append(len(plain))
+                    if len(words) >= WORDS_AT_ONCE:
                         yield flush()
-                        rows, runs, size = [], [], 0
-            if rows:
-                yield flush()
+        if places:
+            yield flush()
 
     return texts.mapInPandas(
         cut, f"key {kind}, version long, line_no int, high long, low long, print long, n_chars int")
@@ -118,11 +144,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("version"), whole_text(text).alias("text"))
     lines = kept_table(_line_table(texts, kind, fewest), "lines")
     distinct = lines.groupBy("high", "low").agg(
-        F.min(place).alias("id"), F.max(place).alias("_last"), F.first("print").alias("print"),
-        F.first("n_chars").alias("n_chars"))
-    distinct = kept_table(distinct, "distinct")
-    members = distinct.select(
-        "id", "print", "n_chars", F.explode(block_keys("print", radius, blocks)).alias("bucket"))
+        F.min(place).alias("first"), F.count("*").alias("copies"), F.max("print").alias("print"),
+        F.max("n_chars").alias("n_chars"))
+    # Once written, the numbers are fixed; eight bytes go through the tables instead of a place.
+    distinct = kept_table(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    members = distinct.select("id", F.explode(block_keys("print", radius, blocks)).alias("bucket"))
 
     def compatible(x: str, y: str) -> Column:
         near = F.bit_count(F.col(f"{x}_print").bitwiseXOR(F.col(f"{y}_print"))) <= radius
@@ -130,9 +156,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.*")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = distinct.join(counted_hint(wanted), "id").select("id", "first.*")
         some = texts.join(counted_hint(wanted), ["key", "version"]).select(
-            place.alias("id"), F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id"])
+            "id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id"])
         some = kept_table(some, "texts")
         both = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
             some.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
@@ -149,11 +176,13 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
         return both.filter(alike("line_a", "line_b")).select("a", "b")
 
-    found = components(linked(members, ["print", "n_chars"], compatible, verify))
-    groups = distinct.join(found, "id", "left").withColumn("stays", F.coalesce("component", "id"))
+    found = grouped(members, distinct.select("id", "print", "n_chars"), compatible, verify)
     # Only lines that stand twice or belong to a group touch the occurrences again.
-    groups = groups.filter((F.col("id") < F.col("_last")) | F.col("component").isNotNull())
-    removed = lines.join(groups.select("high", "low", "stays"), ["high", "low"]).filter(place != F.col("stays"))
+    groups = distinct.join(found, "id", "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
+    groups = kept_table(groups.select("high", "low", "first", F.coalesce("component", "id").alias("group")), "groups")
+    stays = groups.groupBy("group").agg(F.min("first").alias("stays"))
+    removed = lines.join(groups.join(stays, "group").select("high", "low", "stays"), ["high", "low"]).filter(
+        place != F.col("stays"))
     removed = removed.groupBy("key", "version").agg(F.collect_set("line_no").alias("_removed"))
 
     df = packed(docs, _text=F.col(text).cast("string"), key=F.col(key), version=F.xxhash64(whole_text(text)))

@@ -8,7 +8,7 @@ import pytest
 
 from corpuskit.llm.alignment import within
 from corpuskit.llm.components import components
-from corpuskit.llm.line_dedup import FEWEST_WORDS, line_dedup, normalised, simhash
+from corpuskit.llm.line_dedup import FEWEST_WORDS, line_dedup, normalised, simhash, voters
 from corpuskit.llm.order_minhash import hash_cache, near_duplicates, one_of_each, similar, sketch, word_hashes
 from tests.llm.cases import PROSE, awkward, nothing, table
 
@@ -134,7 +134,7 @@ def brute_lines(docs):
             if len(line.split()) >= FEWEST_WORDS:
                 places.setdefault(normalised(line), []).append((i, n))
     for line in places:
-        words = word_hashes(line, cache)
+        words = np.array([cache[w] for w in voters(line.split())], np.uint64)
         shown[line] = int(simhash(words, np.array([0]))[0])
     links = []
     for a, b in combinations(places, 2):
