@@ -9,15 +9,17 @@ agree.  K-mers carry the number of their earlier equals.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.alignment import within
-from corpuskit.llm.components import components, linked
+from corpuskit.llm.components import grouped
 from corpuskit.llm.rows import counted_hint, kept_table, small_batches, whole_text
 from corpuskit.llm.tokenizing import Cache
 
@@ -26,6 +28,8 @@ SIMILAR = 0.8
 # Hash functions, and k-mers kept by each.
 SKETCHES = 48
 KEPT = 3
+# 64-bit words that mark which classes of words a text has.
+MARKS = 8
 # Cells of one (functions x k-mers) matrix in a worker.
 CELLS = 1_000_000
 
@@ -88,6 +92,13 @@ def sketch(words: np.ndarray, k: int = WORDS, functions: int = SKETCHES, kept: i
     return out
 
 
+def presence(words: np.ndarray) -> np.ndarray:
+    """Which of 64 * MARKS word classes occur.  An edit changes two of them at most."""
+    seen = np.zeros(64 * MARKS, np.uint8)
+    seen[words % np.uint64(64 * MARKS)] = 1
+    return np.packbits(seen).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether 1 - edits / words of the longer reaches ``least``; two empty texts are alike."""
     longest = max(len(a), len(b))
@@ -115,18 +126,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 words = word_hashes(value, cache)
                 whole = xxhash.xxh3_128_intdigest(words.tobytes())
                 rows.append((
-                    id_, len(words), np.uint64(whole >> 64).astype(np.int64),
+                    id_, len(words), presence(words), np.uint64(whole >> 64).astype(np.int64),
                     np.uint64(whole & (2 ** 64 - 1)).astype(np.int64), sketch(words, k).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n_words", "high", "low", "sketch"])
+            yield pd.DataFrame(rows, columns=["id", "n_words", "marks", "high", "low", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
     sketched = kept_table(texts.filter(F.col("id").isNotNull()).mapInPandas(
-        sketches, f"id {kind}, n_words long, high long, low long, sketch array<long>"), "sketches")
+        sketches, f"id {kind}, n_words long, marks array<long>, high long, low long, sketch array<long>"), "sketches")
     copies = sketched.groupBy("high", "low").agg(F.min("id").alias("first"))
     named = sketched.select("id", "n_words", "high", "low").join(copies, ["high", "low"])
     firsts = sketched.join(copies, ["high", "low"]).filter(F.col("id") == F.col("first"))
-    members = firsts.select("id", "n_words", F.explode("sketch").alias("bucket"))
+    members = firsts.select("id", F.explode("sketch").alias("bucket"))
+    traits = firsts.select("id", "n_words", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS)])
+
+    def compatible(x: str, y: str) -> Column:
+        longest = F.greatest(f"{x}_n_words", f"{y}_n_words")
+        edits = F.floor((1 - least) * longest + 1e-9)
+        flips = reduce(add, [F.bit_count(F.col(f"{x}_m{i}").bitwiseXOR(F.col(f"{y}_m{i}"))) for i in range(MARKS)])
+        return (longest - F.least(f"{x}_n_words", f"{y}_n_words") <= edits) & (flips <= 2 * edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "pairs")
@@ -145,11 +163,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
         return both.mapInPandas(align, f"a {kind}, b {kind}")
 
-    links = linked(
-        members, ["n_words"],
-        lambda x, y: F.least(f"{x}_n_words", f"{y}_n_words") >= least * F.greatest(f"{x}_n_words", f"{y}_n_words"),
-        verify)
-    found = components(links).select(F.col("id").alias("first"), F.col("component"))
+    found = grouped(members, traits, compatible, verify).select(F.col("id").alias("first"), F.col("component"))
     classes = named.join(found, "first", "left").select(
         F.col("id"), F.coalesce("component", "first").alias("class_id"), "n_words")
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
