@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of like lines stays in the corpus."""
     ship_package(spark)
-    return _as_documents(line_dedup(docs), docs)
+    return _as_documents(line_dedup(docs, radius=None), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,44 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
         if band >= limit:
             return False
         band = min(band * 4, limit)
+
+
+# Longer cores are aligned in a band: the bit vectors of all rows would cost more.
+MOST_BITS = 50_000
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance by bit vectors: a column of the table is two whole numbers of ``len(a)`` bits."""
+    if not len(a):
+        return len(b)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    up, down, distance = full, 0, len(a)
+    for y in b.tolist():
+        same = where.get(y, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus = down | (full & ~(across | up))
+        minus = up & across
+        if plus & last:
+            distance += 1
+        elif minus & last:
+            distance -= 1
+        plus = (plus << 1 | 1) & full
+        minus = (minus << 1) & full
+        up = minus | (full & ~(vertical | plus))
+        down = plus & vertical
+    return distance
+
+
+def within_limit(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
+    """As ``within``, faster where the sequences differ in many places."""
+    if abs(len(a) - len(b)) > limit:
+        return False
+    x, y = _core(a, b)
+    if max(len(x), len(y)) > MOST_BITS:
+        return within(a, b, limit)
+    return max(len(x), len(y)) <= limit or (
+        len(x) == len(y) and int((x != y).sum()) <= limit) or edit_distance(x, y) <= limit

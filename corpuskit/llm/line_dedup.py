@@ -1,10 +1,10 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line of each group.
+"""Fuzzy line dedup: hash tables, edit similarity, one line of each group.
 
 Lines are normalised, and equal ones fold into one before anything is compared,
 so a line that stands in a third of all documents is one row.  Distinct lines
-meet in tables of permuted fingerprint blocks; pairs within the radius whose
-edit similarity holds are linked, and of each connected group the first
-occurrence stays.
+meet in tables, either of sketches (smallest hashes of word pairs, in short
+lines of characters) or of permuted SimHash blocks; pairs whose edit similarity
+holds are linked, and of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.settle import settle
-from corpuskit.llm.alignment import within
+from corpuskit.llm.alignment import within_limit
 from corpuskit.llm.components import grouped
-from corpuskit.llm.order_minhash import hash_cache
+from corpuskit.llm.order_minhash import _mixed, hash_cache
 from corpuskit.llm.rows import counted_hint, kept_table, packed, small_batches, unpacked, whole_text
 
 BITS = 64
@@ -30,7 +30,15 @@ FEWEST_WORDS = 5
 SIMILAR = 0.9
 RADIUS = 3
 BLOCKS = 5
-# Words whose votes are counted at once in a worker.
+# Sketches: tables, and smallest hashes that make one key.
+TABLES = 16
+KEPT = 3
+# Lines of fewer words, or of longer words, are sketched by runs of CHARS characters; from MOST_CHARS_WORDS - 4 words
+# on by pairs of words, so that lines on both sides of the border still meet.
+MOST_CHARS_WORDS = 12
+LONG_WORD = 12
+CHARS = 4
+# Words, or characters, that are hashed at once in a worker.
 WORDS_AT_ONCE = 200_000
 
 
@@ -67,6 +75,58 @@ def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > (2 * sizes - 1)[:, None], axis=1).view(np.uint64).ravel()
 
 
+_ODD = np.random.default_rng(20_261_201).integers(1, 2 ** 63, TABLES * KEPT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _windows(stream: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows inside the consecutive runs of the stream, and where those of each run start."""
+    out = np.zeros(max(0, len(stream) - width + 1), np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0x100000001B3) + _mixed(stream[j:len(stream) - width + 1 + j] + np.uint64(j))
+    inside = np.ones(len(out), dtype=bool)
+    for j in range(1, width):
+        inside[starts[1:] - j] = False
+    return _mixed(out[inside]), starts - (width - 1) * np.arange(len(starts))
+
+
+def sketches(grams: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+    """A row of TABLES 32-bit keys for each run of grams; a table's key agrees with the chance Jaccard ** KEPT."""
+    out = np.empty((len(starts), TABLES), np.uint32)
+    for t in range(TABLES):
+        value = np.full(len(starts), salt * TABLES + t, np.uint64)
+        for odd in _ODD[t * KEPT:(t + 1) * KEPT]:
+            value = _mixed(value * np.uint64(0x100000001B3) + np.minimum.reduceat(grams * odd, starts))
+        out[:, t] = value >> np.uint64(32)
+    return out
+
+
+def sketch_lines(plain: list[str], cache: dict, least: float = SIMILAR) -> list[np.ndarray]:
+    """The keys of normalised lines; none for a line so short that ``least`` allows no edit."""
+    found: list[list] = [[] for _ in plain]
+    by_words, by_chars, words, chars, word_sizes, char_sizes = [], [], [], [], [], []
+    for i, line in enumerate(plain):
+        if int((1 - least) * len(line) + 1e-9) < 1:
+            continue
+        own = line.split(" ")
+        if len(own) >= MOST_CHARS_WORDS - 4:
+            by_words.append(i)
+            words += ["", *own, ""]
+            word_sizes.append(len(own) + 2)
+        if len(own) < MOST_CHARS_WORDS or len(line) > LONG_WORD * len(own):
+            by_chars.append(i)
+            chars.append(f"\n\n\n{line}\n\n\n")
+            char_sizes.append(len(line) + 6)
+    if by_words:
+        hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        for i, row in zip(by_words, sketches(*_windows(hashes, np.r_[0, np.cumsum(word_sizes)[:-1]], 2), 0)):
+            found[i].append(row)
+    if by_chars:
+        points = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for i, row in zip(by_chars, sketches(*_windows(points, np.r_[0, np.cumsum(char_sizes)[:-1]], CHARS), 1)):
+            found[i].append(row)
+    return [np.concatenate(rows).view(np.int32) if rows else np.empty(0, np.int32) for rows in found]
+
+
 def block_keys(fingerprint: str, radius: int, blocks: int) -> Column:
     """A key for every choice of ``blocks - radius`` blocks; fingerprints within the radius share one."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -79,8 +139,8 @@ def block_keys(fingerprint: str, radius: int, blocks: int) -> Column:
         for i, chosen in enumerate(combinations(range(blocks), blocks - radius))])
 
 
-def _line_table(texts: DataFrame, kind: str, fewest: int) -> DataFrame:
-    """One row for each line of enough words: place, hash of the normalised line, fingerprint, length."""
+def _line_table(texts: DataFrame, kind: str, fewest: int, least: float, sketched: bool) -> DataFrame:
+    """One row for each line of enough words: place, hash of the normalised line, sketch or fingerprint, length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = hash_cache()
@@ -89,15 +149,20 @@ def _line_table(texts: DataFrame, kind: str, fewest: int) -> DataFrame:
         words: list[str] = []
         counts: list[int] = []
         sizes: list[int] = []
+        lines: list[str] = []
+        waiting = 0
 
         def flush() -> pd.DataFrame:
             done = pd.DataFrame(places, columns=["key", "version", "line_no"])
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-            starts = np.r_[0, np.cumsum(counts)[:-1]]
-            done["high"], done["low"] = halves[:, 0], halves[:, 1]
-            done["print"], done["n_chars"] = simhash(hashes, starts).view(np.int64), sizes
-            for held in (places, digests, words, counts, sizes):
+            done["high"], done["low"], done["n_chars"] = halves[:, 0], halves[:, 1], sizes
+            if sketched:
+                done["print"], done["keys"] = 0, sketch_lines(lines, cache, least)
+            else:
+                hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                starts = np.r_[0, np.cumsum(counts)[:-1]]
+                done["print"], done["keys"] = simhash(hashes, starts).view(np.int64), None
+            for held in (places, digests, words, counts, sizes, lines):
                 held.clear()
             return done
 
@@ -110,27 +175,35 @@ def _line_table(texts: DataFrame, kind: str, fewest: int) -> DataFrame:
                     plain = " ".join(own)
                     places.append((key, version, number))
                     digests.append(xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass")))
-                    voting = voters(own)
-                    words += voting
-                    counts.append(len(voting))
                     sizes.append(len(plain))
-                    if len(words) >= WORDS_AT_ONCE:
+                    if sketched:
+                        lines.append(plain)
+                        waiting += max(len(own), len(plain) // 5)
+                    else:
+                        voting = voters(own)
+                        words += voting
+                        counts.append(len(voting))
+                        waiting += len(voting)
+                    if waiting >= WORDS_AT_ONCE:
                         yield flush()
+                        waiting = 0
         if places:
             yield flush()
 
     return texts.mapInPandas(
-        cut, f"key {kind}, version long, line_no int, high long, low long, print long, n_chars int")
+        cut, f"key {kind}, version long, line_no int, high long, low long, n_chars int, print long, keys array<int>")
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR,
-               radius: int = RADIUS, blocks: int = BLOCKS, fewest: int = FEWEST_WORDS) -> DataFrame:
+               radius: int | None = RADIUS, blocks: int = BLOCKS, fewest: int = FEWEST_WORDS) -> DataFrame:
     """The rows with repeated lines taken out of their text, ``n_lines`` and ``n_removed`` added.
 
     Lines of ``fewest`` words or more are the same if they are equal in lower
     case with single blanks, or if their fingerprints differ in at most
     ``radius`` bits and their edit similarity (1 - edits / characters of the
-    longer) is ``least`` or more, directly or through others.  Of a group the
+    longer) is ``least`` or more, directly or through others.  With ``radius``
+    None fingerprints decide nothing: edit similarity is asked of all lines that
+    share a sketch key, which finds nearly all pairs of ``least`` 0.9.  Of a group the
     occurrence with the smallest key, then line number, stays.  Line ends are
     those of ``\\n``.  Null texts stay null and count as empty.  Rows with equal
     key and text count as one document and keep the same lines; rows with a null
@@ -142,17 +215,25 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     place = F.struct("key", "version", "line_no")
     texts = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("version"), whole_text(text).alias("text"))
-    lines = kept_table(_line_table(texts, kind, fewest), "lines")
+    lines = kept_table(_line_table(texts, kind, fewest, least, radius is None), "lines")
     distinct = lines.groupBy("high", "low").agg(
         F.min(place).alias("first"), F.count("*").alias("copies"), F.max("print").alias("print"),
-        F.max("n_chars").alias("n_chars"))
+        F.max("n_chars").alias("n_chars"), F.first("keys").alias("keys"))
     # Once written, the numbers are fixed; eight bytes go through the tables instead of a place.
     distinct = kept_table(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    members = distinct.select("id", F.explode(block_keys("print", radius, blocks)).alias("bucket"))
+    if radius is None:
+        # The table's number and its key; half the bytes of long keys, and chance hits are left to edit similarity.
+        members = distinct.select("id", F.posexplode("keys").alias("table", "value")).select("id", F.shiftleft(
+            (F.col("table") % TABLES).cast("long"), 32).bitwiseOR(
+            F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
+    else:
+        members = distinct.select("id", F.explode(block_keys("print", radius, blocks)).alias("bucket"))
 
     def compatible(x: str, y: str) -> Column:
-        near = F.bit_count(F.col(f"{x}_print").bitwiseXOR(F.col(f"{y}_print"))) <= radius
-        return near & (F.least(f"{x}_n_chars", f"{y}_n_chars") >= least * F.greatest(f"{x}_n_chars", f"{y}_n_chars"))
+        sizes = F.least(f"{x}_n_chars", f"{y}_n_chars") >= least * F.greatest(f"{x}_n_chars", f"{y}_n_chars")
+        if radius is None:
+            return sizes
+        return sizes & (F.bit_count(F.col(f"{x}_print").bitwiseXOR(F.col(f"{y}_print"))) <= radius)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "pairs")
@@ -171,12 +252,13 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 left = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
                 right = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
                 longest = max(len(left), len(right))
-                out.append(within(left, right, int((1 - least) * longest + 1e-9)))
+                out.append(within_limit(left, right, int((1 - least) * longest + 1e-9)))
             return pd.Series(out, dtype=bool)
 
         return both.filter(alike("line_a", "line_b")).select("a", "b")
 
-    found = grouped(members, distinct.select("id", "print", "n_chars"), compatible, verify)
+    traits = distinct.select("id", "n_chars") if radius is None else distinct.select("id", "print", "n_chars")
+    found = grouped(members, traits, compatible, verify)
     # Only lines that stand twice or belong to a group touch the occurrences again.
     groups = distinct.join(found, "id", "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
     groups = kept_table(groups.select("high", "low", "first", F.coalesce("component", "id").alias("group")), "groups")

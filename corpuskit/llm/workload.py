@@ -197,6 +197,6 @@ def _(t):
 
 @BOOK.add("op2_line_dedup")
 def _(t):
-    cleaned = line_dedup(t.documents.select("doc_id", "text"))
+    cleaned = line_dedup(t.documents.select("doc_id", "text"), radius=None)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias(
         "text_sha256"))

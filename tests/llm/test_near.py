@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from corpuskit.llm.alignment import within
+from corpuskit.llm.alignment import edit_distance, within
 from corpuskit.llm.components import components
 from corpuskit.llm.line_dedup import FEWEST_WORDS, line_dedup, normalised, simhash, voters
 from corpuskit.llm.order_minhash import hash_cache, near_duplicates, one_of_each, similar, sketch, word_hashes
@@ -197,3 +197,42 @@ def test_block_keys_meet_within_the_radius(spark, distance):
     meet = F.arrays_overlap(block_keys("x", RADIUS, BLOCKS), block_keys("y", RADIUS, BLOCKS))
     shared = df.filter(meet).count()
     assert shared == 50 if distance <= RADIUS else shared < 50
+
+
+def test_edit_distance_by_bit_vectors():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert edit_distance(np.array(a, np.int64), np.array(b, np.int64)) == plain_distance(a, b)
+
+
+def edited_lines():
+    """(line, its copy with one to four changed words, words), edit similarity 0.9 or more, of all lengths."""
+    rng = random.Random(17)
+    out = []
+    for n in (5, 8, 11, 15, 25, 40, 70, 120):
+        while sum(size == n for *_, size in out) < 20:
+            line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+            copy = list(line)
+            for at in rng.sample(range(n), rng.randint(1, max(1, min(4, n // 10)))):
+                copy[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5)))
+            x, y = " ".join(line), " ".join(copy)
+            if 0 < plain_distance(x, y) <= 0.1 * max(len(x), len(y)):
+                out.append((x, y, n))
+    return out
+
+
+def test_queries_find_lines_by_edit_similarity_alone(spark, tmp_path):
+    """Recall without a condition on fingerprints, in the query and in the stage."""
+    import corpus_pipeline
+    from corpuskit.llm.workload import BOOK
+
+    pairs = edited_lines()
+    rows = [(2 * i + k, pair[k], "a") for i, pair in enumerate(pairs) for k in range(2)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r.doc_id for r in BOOK.queries["op2_line_dedup"](spark, str(tmp_path)).collect() if r.n_removed}
+    assert all(i % 2 for i in gone)
+    for n in {size for *_, size in pairs}:
+        assert sum(2 * i + 1 in gone for i, pair in enumerate(pairs) if pair[2] == n) >= 19, n
+    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect() if not r.text} == gone
