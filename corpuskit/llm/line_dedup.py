@@ -25,8 +25,8 @@ from corpuskit.llm.order_minhash import _mixed, hash_cache
 from corpuskit.llm.rows import counted_hint, kept_table, packed, small_batches, unpacked, whole_text
 
 BITS = 64
-# Shorter lines stay as they are.
-FEWEST_WORDS = 5
+# Blank lines stay as they are; all others take part.
+FEWEST_WORDS = 1
 SIMILAR = 0.9
 RADIUS = 3
 BLOCKS = 5

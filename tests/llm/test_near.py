@@ -236,3 +236,14 @@ def test_queries_find_lines_by_edit_similarity_alone(spark, tmp_path):
     for n in {size for *_, size in pairs}:
         assert sum(2 * i + 1 in gone for i, pair in enumerate(pairs) if pair[2] == n) >= 19, n
     assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect() if not r.text} == gone
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    """Every non-blank line folds with its equals; ten characters allow the first edit."""
+    rng = random.Random(8)
+    solid = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60))
+    near = solid[:30] + "x" + solid[31:]
+    docs = [(1, "Menu\n\none two\n" + solid), (2, "menu\n\nOne  two\n" + solid), (3, near + "\nmenus\n \none too")]
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(
+        table(spark, [(i, t, "a") for i, t in docs]), radius=None).collect()}
+    assert out == {1: (docs[0][1], 0), 2: ("", 3), 3: ("menus\n \none too", 1)}
