@@ -18,11 +18,12 @@ class Book:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None):
+    def add(self, name: str, sql: str | None = None, as_is: tuple[str, ...] = ()):
+        """Register a query; columns in ``as_is`` keep their type and all their digits."""
         def keep(fn):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ship_package(spark)
-                return plain(fn(Tables(spark, sf_dir)))
+                return plain(fn(Tables(spark, sf_dir)), as_is=as_is)
 
             run.__name__ = name
             self.queries[name] = run
@@ -65,12 +66,14 @@ class Tables:
             F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("collection"))
 
 
-def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+def plain(df: DataFrame, digits: int = 6, as_is: tuple[str, ...] = ()) -> DataFrame:
     """Whole numbers as bigint and doubles rounded, as the SQL side has them."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+        if field.name in as_is:
+            pass
+        elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             # adding zero turns -0.0 into 0.0
