@@ -12,6 +12,7 @@ from corpuskit.llm.order_minhash import near_duplicates
 from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
 from corpuskit.llm.secret_scan import BASE, secret_scan
+from corpuskit.llm.sharding import shard_places
 from corpuskit.llm.token_counts import token_counts
 from corpuskit.llm.toxicity import toxicity
 from corpuskit.workload.common import Book
@@ -64,7 +65,10 @@ FROM base
 
 @BOOK.add("op1_quality_rules", QUALITY_SQL)
 def _(t):
-    return quality_rules(t.documents.select("doc_id", "text")).drop("text", "clean_text")
+    judged = quality_rules(t.documents.select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "lost_share")
 
 
 def _of(*kinds: str):
@@ -87,7 +91,7 @@ def _(t):
         "n_live", "n_shared", "n_example")
 
 
-@BOOK.add("op4_best_fit_packing")
+@BOOK.add("op4_best_fit_packing", as_is=("piece",))
 def _(t):
     return best_fit_packing(t.documents, tokenizer_file("word_bpe_49k.json"))
 
@@ -128,12 +132,12 @@ def _(t):
     return mix(t.documents)
 
 
-@BOOK.add("op3_document_fingerprints")
+@BOOK.add("op3_document_fingerprints", as_is=("near_edited", "near_next"))
 def _(t):
     return document_fingerprints(t.documents)
 
 
-@BOOK.add("op10_toxicity")
+@BOOK.add("op10_toxicity", as_is=("predicted",))
 def _(t):
     scored = toxicity(t.documents.select("doc_id", "text"), t.labels).drop("text")
     # Rounding must not carry a score over the threshold.
@@ -200,3 +204,10 @@ def _(t):
     cleaned = line_dedup(t.documents.select("doc_id", "text"), radius=None)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias(
         "text_sha256"))
+
+
+@BOOK.add("op11_sampled_sharding", as_is=("shard", "grown_shard"))
+def _(t):
+    return shard_places(t.documents).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
