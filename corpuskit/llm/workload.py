@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.llm.divergence import source_divergence
 from corpuskit.llm.fingerprints import document_fingerprints
 from corpuskit.llm.license_scan import NOTICES, PHRASES, license_scan
 from corpuskit.llm.line_dedup import line_dedup
@@ -13,6 +14,7 @@ from corpuskit.llm.packing import best_fit_packing
 from corpuskit.llm.quality_rules import quality_rules
 from corpuskit.llm.secret_scan import BASE, secret_scan
 from corpuskit.llm.sharding import shard_places
+from corpuskit.llm.token_alignment import token_alignment
 from corpuskit.llm.token_counts import token_counts
 from corpuskit.llm.toxicity import toxicity
 from corpuskit.workload.common import Book
@@ -211,3 +213,50 @@ def _(t):
     return shard_places(t.documents).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@BOOK.add("op13_token_alignment")
+def _(t):
+    return token_alignment(t.documents, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+parts AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (total + 5 * v) AS p,
+    1 + (1000000000 * (lang_n + 5)::HUGEINT) // (lang_total + 5 * v) AS q FROM shares),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+      SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+      FROM parts x JOIN parts y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) d
+    ON a.lang = d.lang AND a.source = d.source AND b.source = d.item)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', term, (p - q)::BIGINT,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term))::INT AS rank
+FROM parts WHERE n > 0 AND p > q
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= 50
+"""
+
+
+@BOOK.add("op12_source_divergence", DIVERGENCE_SQL, as_is=("rank",))
+def _(t):
+    return source_divergence(t.documents)
