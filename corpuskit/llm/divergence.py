@@ -15,11 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.rows import kept_table, small_batches, whole_text
@@ -28,7 +27,7 @@ from corpuskit.llm.rows import kept_table, small_batches, whole_text
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 # Ends a complete term; no term holds it.
 END = b"\0"
-FIRST_LEVEL = 3
+FIRST_LEVEL = 4
 # The filter's size as a power of two, and bits set for each prefix.
 FILTER_BITS = 24
 PROBES = 3
@@ -104,14 +103,14 @@ def _passes(filled: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 class _Partial:
     """Sums over some key columns, handed on when there are many."""
 
-    def __init__(self, keys: list[str], value: str) -> None:
-        self.keys, self.value = keys, value
+    def __init__(self, keys: list[str], *values: str) -> None:
+        self.keys, self.values = keys, values
         self.waiting: list[pa.Table] = []
         self.rows = 0
 
     def _merged(self) -> pa.Table:
         return pa.concat_tables(self.waiting).group_by(self.keys, use_threads=False).aggregate(
-            [(self.value, "sum")]).rename_columns([*self.keys, self.value])
+            [(value, "sum") for value in self.values]).rename_columns([*self.keys, *self.values])
 
     def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         self.waiting.append(table)
@@ -138,18 +137,41 @@ class _Batch:
         self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int64)
         self.code = terms.indices.to_numpy().astype(np.int64)
         ends = pa.scalar(END, pa.binary())
+        self.plain = terms.dictionary
         self.terms = pc.binary_join_element_wise(terms.dictionary, ends, pa.scalar(b"", pa.binary()))
 
     def passing(self, length: int, filled: np.ndarray, bits: int) -> np.ndarray:
         """Places whose prefix of this length may be one of the filter's."""
         prefixes = pc.binary_slice(self.terms, 0, length).dictionary_encode()
-        own = prefixes.indices.to_numpy().astype(np.int64)[self.code]
         width = max(1, len(prefixes.dictionary))
-        pairs, where = np.unique(self.lang[self.doc] * width + own, return_inverse=True)
+        own = self.lang[self.doc] * width + prefixes.indices.to_numpy().astype(np.int64)[self.code]
+        pairs, where = _distinct(own, len(self.langs) * width)
         hashes = _hashes(self.langs, pairs // width, prefixes.dictionary.to_pylist(), pairs % width)
         return _passes(filled, hashes, bits)[where]
 
 
+# Numbers up to this are told apart by a table of all of them instead of by sorting.
+MOST_DIRECT = 8_000_000
+
+
+def _distinct(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place among them."""
+    if below > MOST_DIRECT:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(below, dtype=bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
+def _tally(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and how often they stand there."""
+    if below > MOST_DIRECT:
+        return np.unique(values, return_counts=True)
+    n = np.bincount(values, minlength=below)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None, bits: int) -> DataFrame:
     """(``lang``, ``prefix``, ``docs``) of the prefixes of this length whose own prefix passed the level before."""
     known = bags.sparkSession.sparkContext.broadcast(filled)
@@ -170,7 +192,7 @@ def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None,
             width = len(prefixes.dictionary)
             # A document counts once for a prefix, however many of its terms start so.
             each = np.unique(doc * width + prefixes.indices.to_numpy()[code])
-            pairs, n = np.unique(some.lang[each // width] * width + each % width, return_counts=True)
+            pairs, n = _tally(some.lang[each // width] * width + each % width, len(some.langs) * width)
             yield from partial.add(pa.table({
                 "lang": pa.array(some.langs, pa.string()).take(pa.array(pairs // width)),
                 "prefix": prefixes.dictionary.take(pa.array(pairs % width)), "docs": n.astype(np.int64)}))
@@ -180,14 +202,10 @@ def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None,
     return found.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
 
 
-def next_level(length: int) -> int:
-    return length + max(FIRST_LEVEL, length // 2)
-
-
 def frequent_terms(bags: DataFrame, least_docs: int, bits: int = FILTER_BITS) -> DataFrame:
     """(``lang``, ``term``, ``docs``) of the terms in at least ``least_docs`` rows of their language.
 
-    Levels grow by half, so their number grows with the logarithm of the longest
+    Levels double, so their number grows with the logarithm of the longest
     frequent prefix.
     """
     length, before, filled, done = FIRST_LEVEL, 0, None, None
@@ -201,95 +219,151 @@ def frequent_terms(bags: DataFrame, least_docs: int, bits: int = FILTER_BITS) ->
             return done.select(
                 "lang", F.decode(F.expr("substring(prefix, 1, octet_length(prefix) - 1)"), "UTF-8").alias("term"),
                 "docs")
-        filled, before, length = prefix_filter(open_, bits), length, next_level(length)
+        filled, before, length = prefix_filter(open_, bits), length, 2 * length
+
 
+def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(``lang``, ``part``, ``term``, ``sources``, ``times``): one row for each kept term, with the sources that have it.
 
-def term_counts(bags: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(``lang``, ``source``, ``term``, ``n``): occurrences of the kept terms in each group that has them."""
+    Only terms that pass a filter of the kept ones are summed, and what it lets
+    through by chance is dropped by its own number of documents.  A part is a
+    group of some terms of a language.
+    """
     filled = prefix_filter(kept.select("lang", F.concat(F.encode("term", "UTF-8"), F.lit(END)).alias("prefix")), bits)
     known = bags.sparkSession.sparkContext.broadcast(filled)
+    groups = bags.select("lang", "source").distinct().count()
+    spread = max(1, -(-kept.count() * max(1, groups // 4) // GROUP_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partial = _Partial(["lang", "source", "term"], "n")
+        partial = _Partial(["lang", "term", "source"], "n", "docs")
         for batch in batches:
             some = _Batch(batch)
             if not len(some.code):
                 continue
             longest = max(1, pc.max(pc.binary_length(some.terms)).as_py())
             chosen = np.flatnonzero(some.passing(longest, known.value, bits))
-            doc = pa.array(some.doc[chosen])
+            times = pc.list_flatten(batch.column("times")).to_numpy()[chosen].astype(np.float64)
+            # One number for each group of rows with equal language and source, and term.
+            sources = batch.column("source").dictionary_encode()
+            across = len(sources.dictionary)
+            group, of = np.unique(some.lang * across + sources.indices.to_numpy(), return_inverse=True)
+            width = max(1, len(some.terms))
+            pairs, where = _distinct(of[some.doc[chosen]] * width + some.code[chosen], len(group) * width)
+            own = group[pairs // width]
             yield from partial.add(pa.table({
-                "lang": batch.column("lang").take(doc), "source": batch.column("source").take(doc),
-                "term": pc.list_flatten(batch.column("terms")).take(pa.array(chosen)),
-                "n": pc.list_flatten(batch.column("times")).take(pa.array(chosen)).cast(pa.int64())}))
+                "lang": pa.array(some.langs, pa.string()).take(pa.array(own // across)),
+                "term": some.plain.take(pa.array(pairs % width)),
+                "source": sources.dictionary.take(pa.array(own % across)),
+                "n": np.bincount(where, times, len(pairs)).astype(np.int64),
+                "docs": np.bincount(where, minlength=len(pairs)).astype(np.int64)}))
         yield from partial.rest()
 
-    found = bags.mapInArrow(count, "lang string, source string, term binary, n long")
-    found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return found.withColumn("term", F.decode("term", "UTF-8")).join(kept.select("lang", "term"), ["lang", "term"])
-
-
-def _share(n: Column, total: Column, terms: Column, prior: int, scale: int) -> Column:
-    """1 + floor(scale * (n + prior) / (total + prior * terms)) in whole numbers of any size; 0 without terms."""
-    wide = "decimal(20,0)"
-    above = F.lit(scale).cast("decimal(10,0)") * (n.cast(wide) + F.lit(prior).cast("decimal(4,0)"))
-    below = total.cast(wide) + terms.cast(wide) * F.lit(prior).cast("decimal(4,0)")
-    return F.when(terms > 0, F.call_function("div", above, below) + 1).otherwise(0).cast("long")
-
-
-def pair_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(``lang``, ``a``, ``b``, ``value``): sums of absolute differences over all kept terms, for a before b.
-
-    ``counts`` has ``lang``, ``source``, ``term``, ``p``; ``groups`` has ``lang``,
-    ``source``, ``zero`` (the share of a term that the group lacks) and ``terms``.
-    Terms that neither source has differ by the same amount each.  The rest is
-    summed in groups of some terms and two blocks of sources, so that a task holds
-    ``BLOCK`` x ``BLOCK`` numbers at most, and these are the rows that go on.
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        sums = rows.group_by(["term", "source"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        terms = sums["term"].combine_chunks().dictionary_encode()
+        code = terms.indices.to_numpy()
+        enough = np.bincount(code, sums["docs_sum"].to_numpy(), len(terms.dictionary)) >= least_docs
+        order = np.argsort(code, kind="stable")
+        order = order[enough[code[order]]]
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(code[order], minlength=len(enough))[enough])].astype(np.int32))
+        take = pa.array(order)
+        names = terms.dictionary.filter(pa.array(enough)).cast(pa.string())
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * len(names), pa.string()),
+            "part": pa.array([key[1].as_py()] * len(names), pa.int32()), "term": names,
+            "sources": pa.ListArray.from_arrays(offsets, sums["source"].combine_chunks().take(take)),
+            "times": pa.ListArray.from_arrays(offsets, sums["n_sum"].combine_chunks().take(take))})
+
+    found = bags.mapInArrow(count, "lang string, term binary, source string, n long, docs long")
+    return found.withColumn("part", F.pmod(F.hash("term"), F.lit(spread)).cast("int")).groupBy(
+        "lang", "part").applyInArrow(merge, "lang string, part int, term string, sources array<string>, times array<long>")
+
+
+def divergences(counts: DataFrame, groups: DataFrame, top: int, prior: int, scale: int) -> DataFrame:
+    """(``lang``, ``source``, ``part``, ``item``, ``value``), unranked: all pairs, and more terms than are wanted.
+
+    ``counts`` is from ``term_counts``; ``groups`` has ``lang``, ``source``, its
+    ``total``, the language's ``lang_total`` and kept ``terms``.  A part's terms
+    meet two blocks of the language's sources, so a task holds ``BLOCK`` x
+    ``BLOCK`` sums at most; these and each source's ``top`` terms of the part are
+    the rows that go on.
     """
-    spread = max(1, -(-counts.count() // GROUP_ROWS))
     numbered = groups.withColumn("_block", F.floor((F.row_number().over(
         Window.partitionBy("lang").orderBy("source")) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("lang").agg((F.max("_block") + 1).alias("_blocks"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     numbered = kept_table(numbered.join(blocks, "lang"), "numbered")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    keys = ["lang", "_part", "_low", "_high"]
-
-    def dealt(df: DataFrame, part: Column, *columns: str) -> DataFrame:
-        return df.select("lang", part.alias("_part"), "_block", other, *columns).select(
-            "lang", "_part", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"),
-            "_block", *columns).toDF("lang", "_part", "_low", "_high", "_block", *columns)
-
-    left = dealt(counts.join(numbered.select("lang", "source", "_block", "_blocks"), ["lang", "source"]),
-                 F.pmod(F.xxhash64("term"), F.lit(spread)), "source", "term", "p")
-    right = dealt(numbered, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))), "source", "zero", "terms")
-
-    def distances(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["_block", "source"], ignore_index=True)
-        zero = own["zero"].to_numpy()
-        first = np.flatnonzero(own["_block"] == key[2])
-        second = np.flatnonzero(own["_block"] == key[3])
+    parts = counts.select("lang", "part").union(
+        groups.select("lang", F.lit(0).alias("part"))).distinct()
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.transform(
+        F.sequence(i, F.col("_blocks") - 1), lambda j: F.struct(i.alias("low"), j.alias("high")))))).alias("_cell")
+    keys = ["lang", "part", "low", "high"]
+    left = counts.join(blocks, "lang").select("lang", "part", "term", "sources", "times", pairs).select(
+        "lang", "part", "_cell.*", "term", "sources", "times").toDF(*keys, "term", "sources", "times")
+    right = numbered.join(parts, "lang").select("*", pairs).select("*", "_cell.*").filter(
+        (F.col("_block") == F.col("low")) | (F.col("_block") == F.col("high")))
+    fields = ["_block", "source", "total", "lang_total", "terms"]
+    right = right.select(*keys, *fields).toDF(*keys, *fields)
+
+    def share(n: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
+        # Whole numbers of any size where 64 bits might not do.
+        wide = scale * (int(n.max(initial=0)) + prior) >= 2 ** 62
+        n = n.astype(object) if wide else n
+        return (1 + scale * (n + prior) // (total + prior * terms)).astype(np.int64)
+
+    def cell(key: tuple, rows: pa.Table, own: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        own = own.sort_by([("_block", "ascending"), ("source", "ascending")])
+        block, total = own["_block"].to_numpy(), own["total"].to_numpy()
+        lang_total, terms = own["lang_total"][0].as_py(), own["terms"][0].as_py()
+        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        names = own["source"].combine_chunks()
+        # The share of a term that a source lacks.
+        zero = share(np.zeros(len(total), np.int64), total, terms) if terms else np.zeros(len(total), np.int64)
         apart = np.abs(zero[first][:, None] - zero[second][None, :])
-        # Terms that are in no row of the language are counted by its first group alone.
-        total = apart * int(own["terms"].iloc[0]) if key[1] == 0 else np.zeros_like(apart)
-        at = rows["source"].map(dict(zip(own["source"], range(len(own))))).to_numpy(np.int64)
-        code, names = pd.factorize(rows["term"])
-        order = np.argsort(code, kind="stable")
-        code, at, p = code[order], at[order], rows["p"].to_numpy()[order]
-        step = max(1, 2_000_000 // max(1, len(own)))
-        for low in range(0, len(names), step):
-            x, y = np.searchsorted(code, [low, low + step])
-            shares = np.repeat(zero[None, :], min(step, len(names) - low), axis=0)
-            shares[code[x:y] - low, at[x:y]] = p[x:y]
-            for i, column in enumerate(first):
-                total[i] += np.abs(shares[:, column, None] - shares[:, second]).sum(axis=0)
-            total -= apart * len(shares)
-        i, j = np.nonzero(first[:, None] < second[None, :])
-        names = own["source"].to_numpy()
-        return pd.DataFrame({"lang": key[0], "a": names[first[i]], "b": names[second[j]], "value": total[i, j]})
-
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        distances, "lang string, a string, b string, value long")
-    return partial.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+        # What terms that neither has add up to is counted in the first part.
+        sums = apart * terms if key[1].as_py() == 0 else np.zeros_like(apart)
+        out = []
+        if len(rows):
+            lists = rows["sources"].combine_chunks()
+            times = pc.list_flatten(rows["times"].combine_chunks()).to_numpy()
+            term = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            at = pc.index_in(pc.list_flatten(lists), names).fill_null(-1).to_numpy()
+            whole = np.zeros(len(rows), np.int64)
+            np.add.at(whole, term, times)
+            here = at >= 0
+            term, at, times = term[here], at[here], times[here]
+            p = share(times, total[at], terms)
+            step = max(1, 2_000_000 // len(own))
+            for start in range(0, len(rows), step):
+                x, y = np.searchsorted(term, [start, start + step])
+                shares = np.repeat(zero[:, None], min(step, len(rows) - start), axis=1)
+                shares[at[x:y], term[x:y] - start] = p[x:y]
+                for i, source in enumerate(first):
+                    sums[i] += np.abs(shares[second] - shares[source]).sum(axis=1)
+                sums -= apart * shares.shape[1]
+            if low == high:
+                gain = p - share(whole, np.int64(lang_total), terms)[term]
+                texts = rows["term"].combine_chunks()
+                for source in range(len(own)):
+                    mine = np.flatnonzero((at == source) & (gain > 0))
+                    if len(mine) > top:  # ties at the last place stay for the ranking
+                        mine = mine[gain[mine] >= np.partition(gain[mine], -top)[-top]]
+                    out.append(pa.table({
+                        "source": names.take(pa.array(np.full(len(mine), source))), "part": ["term"] * len(mine),
+                        "item": texts.take(pa.array(term[mine])), "value": gain[mine]}, schema=FOUND))
+        i, j = np.nonzero(first[:, None] != second[None, :])
+        i, j = (i, j) if low != high else (i[first[i] < second[j]], j[first[i] < second[j]])
+        out.append(pa.table({
+            "source": names.take(pa.array(first[i])), "part": ["pair"] * len(i), "item": names.take(pa.array(second[j])),
+            "value": sums[i, j]}, schema=FOUND))
+        found = pa.concat_tables(out)
+        return found.add_column(0, "lang", pa.array([key[0].as_py()] * len(found), pa.string()))
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        cell, "lang string, source string, part string, item string, value long")
+
+
+FOUND = pa.schema([("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
 def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
@@ -310,29 +384,20 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     """
     bags = kept_table(term_bags(docs, lang, source, text), "bags")
     kept = kept_table(frequent_terms(bags, least_docs, bits), "terms")
-    counts = kept_table(term_counts(bags, kept, bits), "counts")
-    here = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    counts = kept_table(term_counts(bags, kept, least_docs, bits), "counts")
+    here = counts.select("lang", F.explode(F.arrays_zip("sources", "times")).alias("x")).groupBy(
+        "lang", F.col("x.sources").alias("source")).agg(F.sum("x.times").alias("total"))
     size = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    whole = here.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    groups = bags.select("lang", "source").distinct().join(here, ["lang", "source"], "left").join(
-        size, "lang", "left").join(whole, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
-
-    def share(n: Column, total: str) -> Column:
-        return _share(n, F.col(total), F.col("terms"), prior, scale)
-
-    groups = kept_table(groups.withColumn("zero", share(F.lit(0), "total")), "groups")
-    shares = counts.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))).join(
-        groups, ["lang", "source"])
-    shares = kept_table(shares.select(
-        "lang", "source", "term", share(F.col("n"), "total").alias("p"),
-        share(F.col("lang_n"), "lang_total").alias("q")), "shares")
-    above = shares.filter("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-        (F.col("p") - F.col("q")).alias("value"))
-    between = pair_distances(shares.select("lang", "source", "term", "p"), groups)
+    groups = kept_table(bags.select("lang", "source").distinct().join(here, ["lang", "source"], "left"), "groups")
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    groups = groups.join(size, "lang", "left").join(whole, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
+    found = kept_table(divergences(counts, groups, top, prior, scale), "found")
+    between = found.filter(F.col("part") == "pair").groupBy("lang", "source", "part", "item").agg(
+        F.sum("value").alias("value"))
     both = F.explode(F.array(*[
-        F.struct(F.col(x).alias("source"), F.lit("pair").alias("part"), F.col(y).alias("item"), F.col("value"))
-        for x, y in (("a", "b"), ("b", "a"))])).alias("row")
+        F.struct(F.col(x).alias("source"), "part", F.col(y).alias("item"), "value")
+        for x, y in (("source", "item"), ("item", "source"))])).alias("row")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return above.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).unionByName(
+    return found.filter(F.col("part") == "term").withColumn("rank", F.row_number().over(order)).filter(
+        F.col("rank") <= top).unionByName(
         between.select("lang", both).select("lang", "row.*").withColumn("rank", F.row_number().over(order)))

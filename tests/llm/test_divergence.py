@@ -3,11 +3,9 @@
 import random
 from collections import Counter
 
-import numpy as np
-import pandas as pd
 import pytest
 
-from corpuskit.llm.divergence import frequent_terms, pair_distances, source_divergence, term_bags
+from corpuskit.llm.divergence import frequent_terms, source_divergence, term_bags
 from tests.llm.cases import SCHEMA, awkward, nothing
 
 
@@ -59,7 +57,7 @@ def sample(seed, n=160):
             for _ in range(n)] + [("rare word", "xx", "a"), (None, "xx", "b")]
 
 
-@pytest.mark.parametrize("least, bits", [(3, 24), (12, 24), (12, 6), (1000, 24)])
+@pytest.mark.parametrize("least, bits", [(3, 24), (12, 6), (1000, 24)])
 def test_divergence_is_that_of_all_counts(spark, least, bits):
     rows = sample(least)
     found = source_divergence(docs(spark, rows), least_docs=least, bits=bits)
@@ -78,22 +76,21 @@ def test_prefixes_lead_to_the_frequent_terms(spark):
         assert sorted(tuple(r) for r in found) == sorted((*k, n) for k, n in df.items() if n >= least)
 
 
-def test_distances_over_several_blocks(spark, monkeypatch):
+def test_several_blocks_and_parts(spark, monkeypatch):
     from corpuskit.llm import divergence
 
     monkeypatch.setattr(divergence, "BLOCK", 3)
-    monkeypatch.setattr(divergence, "GROUP_ROWS", 10)
-    rng = np.random.default_rng(3)
-    p = rng.integers(0, 4, (8, 20)) * 100
-    zero = np.arange(8) * 7 + 1
-    names = [f"s{i}" for i in range(8)]
-    counts = pd.DataFrame([("x", names[i], f"t{j}", int(p[i, j])) for i in range(8) for j in range(17) if p[i, j]],
-                          columns=["lang", "source", "term", "p"])
-    groups = pd.DataFrame({"lang": "x", "source": names, "zero": zero, "terms": 20})
-    full = np.where((p > 0) & (np.arange(20) < 17), p, zero[:, None])
-    found = pair_distances(spark.createDataFrame(counts), spark.createDataFrame(groups)).collect()
-    assert sorted((r.a, r.b, r.value) for r in found) == sorted(
-        (names[i], names[j], int(np.abs(full[i] - full[j]).sum())) for i in range(8) for j in range(i + 1, 8))
+    monkeypatch.setattr(divergence, "GROUP_ROWS", 20)
+    rows = [(t, "x", f"s{i % 8}") for i, (t, _, _) in enumerate(sample(8))]
+    assert sorted(tuple(r) for r in source_divergence(docs(spark, rows), least_docs=4, top=3).collect()) == brute(rows, 4, 3)
+
+
+def test_shares_beyond_64_bits(spark):
+    rows = [("a b " * 30, "x", "s"), ("a c", "x", "t"), ("b c c", "x", "t")]
+    big = 10 ** 17
+    found = {tuple(r)[:5] for r in source_divergence(docs(spark, rows), least_docs=1, scale=big).collect()}
+    a, b = (1 + big * (n + 5) // (total + 15) for n, total in ((30, 60), (31, 65)))
+    assert ("x", "s", "term", "a", a - b) in found
 
 
 def test_divergence_takes_awkward_rows(spark):
