@@ -75,6 +75,54 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
         band = min(band * 4, limit)
 
 
+# Cells of the tables in which a batch of pairs is compared at once.
+TALLY_CELLS = 4_000_000
+# Buckets for each place of the longest sequence of a slice of pairs.
+TALLY_SHARE = 2
+
+
+def maybe_within(first: list[np.ndarray], second: list[np.ndarray], limits: np.ndarray, run: int = 3) -> np.ndarray:
+    """For many pairs, whether their edit distance can be within the limit; False is certain.
+
+    An edit changes at most ``run`` of the windows of ``run`` items on each side, so
+    the multisets of windows differ by at most 2 x ``run`` x limit.  Windows are
+    hashed into a table as wide as the sequences are long; what falls together
+    there only makes sequences look more alike.
+    """
+    sizes = np.array([max(len(a), len(b)) for a, b in zip(first, second)], np.int64)
+    out = np.ones(len(sizes), dtype=bool)
+    order = np.argsort(sizes, kind="stable")
+    start = 0
+    while start < len(order):
+        # Pairs of like length in one table.
+        stop, width = start, 64
+        while stop < len(order):
+            wide = max(64, int(sizes[order[stop]]) * TALLY_SHARE)
+            if stop > start and (stop + 1 - start) * wide > TALLY_CELLS:
+                break
+            stop, width = stop + 1, wide
+        chosen = order[start:stop]
+        table = np.zeros(len(chosen) * width, np.int64)
+        for sign, side in ((1, first), (-1, second)):
+            rows = [side[i] for i in chosen]
+            flat = np.concatenate(rows).astype(np.uint64) if rows else np.empty(0, np.uint64)
+            lengths = np.array([len(x) for x in rows], np.int64)
+            where = np.repeat(np.arange(len(rows)), lengths)
+            if len(flat) < run:
+                continue
+            codes = np.zeros(len(flat) - run + 1, np.uint64)
+            for j in range(run):
+                codes = codes * np.uint64(0x9E3779B97F4A7C15) + flat[j:len(flat) - run + 1 + j]
+            inside = where[:len(codes)] == where[run - 1:]
+            codes = (codes[inside] ^ (codes[inside] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            cells = where[:len(inside)][inside] * width + ((codes >> np.uint64(33)) % np.uint64(width)).astype(np.int64)
+            table += sign * np.bincount(cells, minlength=len(table))
+        apart = np.abs(table).reshape(len(chosen), width).sum(axis=1)
+        out[chosen] = apart <= 2 * run * limits[chosen]
+        start = stop
+    return out
+
+
 # Longer cores are aligned in a band: the bit vectors of all rows would cost more.
 MOST_BITS = 50_000
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.settle import settle
-from corpuskit.llm.alignment import within_limit
+from corpuskit.llm.alignment import maybe_within, within_limit
 from corpuskit.llm.components import grouped
 from corpuskit.llm.order_minhash import _mixed, hash_cache
 from corpuskit.llm.rows import counted_hint, kept_table, packed, small_batches, unpacked, whole_text
@@ -247,13 +247,15 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
         @F.pandas_udf("boolean")
         def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for a, b in zip(map(normalised, x), map(normalised, y)):
-                left = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
-                right = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-                longest = max(len(left), len(right))
-                out.append(within_limit(left, right, int((1 - least) * longest + 1e-9)))
-            return pd.Series(out, dtype=bool)
+            def points(lines: pd.Series) -> list[np.ndarray]:
+                return [np.frombuffer(normalised(line).encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
+
+            left, right = points(x), points(y)
+            longest = np.array([max(len(a), len(b)) for a, b in zip(left, right)], np.int64)
+            limits = ((1 - least) * longest + 1e-9).astype(np.int64)
+            near = maybe_within(left, right, limits)
+            return pd.Series([
+                bool(ok) and within_limit(a, b, int(limit)) for ok, a, b, limit in zip(near, left, right, limits)], dtype=bool)
 
         return both.filter(alike("line_a", "line_b")).select("a", "b")
 

@@ -22,6 +22,7 @@ from corpuskit.llm.alignment import within
 from corpuskit.llm.components import grouped
 from corpuskit.llm.rows import counted_hint, kept_table, small_batches, whole_text
 from corpuskit.llm.tokenizing import Cache
+from corpuskit.operators.skew import join_copies
 
 WORDS = 5
 SIMILAR = 0.8
@@ -30,6 +31,9 @@ SKETCHES = 48
 KEPT = 3
 # 64-bit words that mark which classes of words a text has.
 MARKS = 8
+# Copies from which on a text or class is dealt out over tasks, and how many such keys there are at most.
+HOT_ROWS = 500
+HOT_KEYS = 100_000
 # Cells of one (functions x k-mers) matrix in a worker.
 CELLS = 1_000_000
 
@@ -134,9 +138,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
     sketched = kept_table(texts.filter(F.col("id").isNotNull()).mapInPandas(
         sketches, f"id {kind}, n_words long, marks array<long>, high long, low long, sketch array<long>"), "sketches")
-    copies = sketched.groupBy("high", "low").agg(F.min("id").alias("first"))
-    named = sketched.select("id", "n_words", "high", "low").join(copies, ["high", "low"])
-    firsts = sketched.join(copies, ["high", "low"]).filter(F.col("id") == F.col("first"))
+    # The first id of each text, with its traits; a text with very many copies is dealt out where its copies meet it.
+    copies = kept_table(sketched.groupBy("high", "low").agg(
+        F.min("id").alias("first"), F.count("*").alias("copies"),
+        F.min_by(F.struct("n_words", "marks", "sketch"), "id").alias("_of")), "copies")
+    hot_rows = max(HOT_ROWS, sketched.count() // HOT_KEYS)
+    firsts = copies.select(F.col("first").alias("id"), "_of.*")
     members = firsts.select("id", F.explode("sketch").alias("bucket"))
     traits = firsts.select("id", "n_words", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS)])
 
@@ -164,13 +171,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return both.mapInPandas(align, f"a {kind}, b {kind}")
 
     found = grouped(members, traits, compatible, verify).select(F.col("id").alias("first"), F.col("component"))
-    classes = named.join(found, "first", "left").select(
-        F.col("id"), F.coalesce("component", "first").alias("class_id"), "n_words")
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classes.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size", "n_words").unionByName(
+    # Classes and their sizes by text, then by row: what the rows of a text meet is one row.
+    texts_in = copies.select("high", "low", "first", "copies").join(found, "first", "left").select(
+        "high", "low", "copies", F.coalesce("component", "first").alias("class_id"))
+    sizes = texts_in.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count("*").alias("copies"))
+    classes = join_copies(texts_in.select("high", "low", "class_id"), sizes.select("class_id", "class_size"),
+                          ["class_id"], sizes.select("class_id", "copies"), hot_rows)
+    classes = join_copies(sketched.select("id", "n_words", "high", "low"), classes, ["high", "low"],
+                          copies.select("high", "low", "copies"), hot_rows)
+
+    @F.pandas_udf("long")
+    def count_words(values: pd.Series) -> pd.Series:
+        return values.map(lambda value: len(value.lower().split()))
+
+    return classes.select(F.col("id").alias(key), "class_id", "class_size", "n_words").unionByName(
         docs.filter(F.col(key).isNull()).select(
             F.col(key), F.lit(None).cast(kind).alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-            F.size(F.split(F.trim(whole_text(text)), r"\s+")).cast("long").alias("n_words")))
+            count_words(whole_text(text)).alias("n_words")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:

@@ -107,7 +107,8 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert classes[0] == classes[1] == classes[5] == 0 and classes[None] is None
     kept = one_of_each(docs)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
-        (False, 0), (False, 2), (False, 3), (False, 6), (False, 7), (False, 21), (True, 0), (True, 0)]
+        (False, 0), (False, 2), (False, 3), (False, 6), (False, 7), (False, 21), (False, 22), (True, 0), (True, 0)]
+    assert {r.n_words for r in near_duplicates(docs.filter('doc_id IS NULL')).collect()} == {0, 45}
     assert near_duplicates(nothing(spark)).count() == 0 and one_of_each(nothing(spark)).count() == 0
 
 
