@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.rows import kept_table, small_batches, whole_text
+from corpuskit.session import fresh_path
 
 # UTF-8 bytes of letters A-Z and of all characters beyond ASCII, after lower-casing.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 # Ends a complete term; no term holds it.
 END = b"\0"
-FIRST_LEVEL = 4
+FIRST_LEVEL = 5
 # The filter's size as a power of two, and bits set for each prefix.
 FILTER_BITS = 24
 PROBES = 3
@@ -36,28 +37,60 @@ PARTIAL_ROWS = 500_000
 # Sources whose distances one group of a task holds, and term rows that go to one group.
 BLOCK = 512
 GROUP_ROWS = 500_000
+# Bytes of text whose documents share one bag.
+BAG_BYTES = 2_000_000
+BAG = ("langs array<string>, sources array<string>, groups binary, terms array<binary>, docs binary, codes binary, "
+       "times binary")
+
+
+def _bag(langs: list[str], sources: list[str], texts: list[bytes]) -> dict:
+    """Distinct terms of some documents in order, and for each document in turn which it has, ascending, and how often."""
+    numbers: dict[tuple, int] = {}
+    groups = [numbers.setdefault(pair, len(numbers)) for pair in zip(langs, sources)]
+    flat: list[bytes] = []
+    times: list[int] = []
+    sizes = []
+    for text in texts:
+        own = Counter(TERM.findall(text.lower()))
+        flat += own.keys()
+        times += own.values()
+        sizes.append(len(own))
+    terms = sorted(set(flat))
+    index = {term: at for at, term in enumerate(terms)}
+    codes = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+    docs = np.repeat(np.arange(len(texts)), sizes)
+    order = np.argsort(docs * (len(terms) + 1) + codes)
+    return {
+        "langs": [x for x, _ in numbers], "sources": [x for _, x in numbers],
+        "groups": np.array(groups, "<i4").tobytes(), "terms": terms, "docs": docs.astype("<i4").tobytes(),
+        "codes": codes[order].astype("<i4").tobytes(), "times": np.array(times, "<i4")[order].tobytes()}
 
 
 def term_bags(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(``lang``, ``source``, ``terms``, ``times``): each row's distinct terms and how often they stand in it."""
+    """Terms of all documents, some documents in one row; kept as a table that every later pass reads."""
     small_batches(docs.sparkSession)
+    kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary()), *[pa.binary()] * 3]
+    names = [field.split()[0] for field in BAG.split(", ")]
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, times, ends = [], [], [0]
-            for value in batch.column(2):
-                own = Counter(TERM.findall(value.as_py().lower()))
-                terms += own.keys()
-                times += own.values()
-                ends.append(len(terms))
-            offsets = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())),
-                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))],
-                names=["lang", "source", "terms", "times"])
-
-    return docs.select(whole_text(lang), whole_text(source), F.encode(whole_text(text), "UTF-8")).mapInArrow(
-        bag, "lang string, source string, terms array<binary>, times array<int>")
+            waiting, size = ([], [], []), 0
+            for at in range(batch.num_rows):
+                row = [batch.column(i)[at].as_py() for i in range(3)]
+                size += len(row[2])
+                for held, value in zip(waiting, row):
+                    held.append(value)
+                if size >= BAG_BYTES or at == batch.num_rows - 1:
+                    found = _bag(*waiting)
+                    yield pa.RecordBatch.from_arrays([pa.array([found[n]], k) for n, k in zip(names, kinds)], names=names)
+                    waiting, size = ([], [], []), 0
+
+    rows = docs.select(whole_text(lang), whole_text(source), F.encode(whole_text(text), "UTF-8")).mapInArrow(bags, BAG)
+    path = fresh_path(docs.sparkSession, "bags")
+    # Rows are large: their number must not decide when a row group is full.
+    rows.write.option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "4").option(
+        "parquet.block.size", 32 * 2 ** 20).parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -127,18 +160,18 @@ class _Partial:
         self.waiting, self.rows = [], 0
 
 
-class _Batch:
-    """One batch of bags as codes: for each place its document, language and term."""
+class _Bag:
+    """One bag as numbers: for each place its document, language and term, by document and then by term."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
-        terms = pc.list_flatten(batch.column("terms")).dictionary_encode()
-        langs = batch.column("lang").dictionary_encode()
-        self.doc = pc.list_parent_indices(batch.column("terms")).to_numpy().astype(np.int64)
-        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int64)
-        self.code = terms.indices.to_numpy().astype(np.int64)
-        ends = pa.scalar(END, pa.binary())
-        self.plain = terms.dictionary
-        self.terms = pc.binary_join_element_wise(terms.dictionary, ends, pa.scalar(b"", pa.binary()))
+    def __init__(self, row: dict) -> None:
+        self.doc, self.code, self.group = (
+            np.frombuffer(row[name], "<i4").astype(np.int64) for name in ("docs", "codes", "groups"))
+        self.times = np.frombuffer(row.get("times", b""), "<i4")
+        self.group_langs, self.group_sources = row["langs"], row["sources"]
+        self.langs = sorted(set(self.group_langs))
+        self.lang = np.array([self.langs.index(x) for x in self.group_langs], np.int64)[self.group]
+        self.plain = row["terms"]
+        self.terms = pc.binary_join_element_wise(row["terms"], pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
 
     def passing(self, length: int, filled: np.ndarray, bits: int) -> np.ndarray:
         """Places whose prefix of this length may be one of the filter's."""
@@ -150,6 +183,13 @@ class _Batch:
         return _passes(filled, hashes, bits)[where]
 
 
+def _read_bags(batch: pa.RecordBatch) -> Iterator[_Bag]:
+    for at in range(batch.num_rows):
+        terms = batch.column("terms")[at].values
+        if terms is not None and len(terms):
+            yield _Bag({name: terms if name == "terms" else batch.column(name)[at].as_py() for name in batch.schema.names})
+
+
 # Numbers up to this are told apart by a table of all of them instead of by sorting.
 MOST_DIRECT = 8_000_000
 
@@ -178,10 +218,7 @@ def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partial = _Partial(["lang", "prefix"], "docs")
-        for batch in batches:
-            some = _Batch(batch)
-            if not len(some.code):
-                continue
+        for some in (bag for batch in batches for bag in _read_bags(batch)):
             doc, code = some.doc, some.code
             if known.value is not None:
                 # Terms that were complete have been decided.
@@ -189,16 +226,17 @@ def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None,
                 open_ = longer & some.passing(before, known.value, bits)
                 doc, code = doc[open_], code[open_]
             prefixes = pc.binary_slice(some.terms, 0, length).dictionary_encode()
-            width = len(prefixes.dictionary)
-            # A document counts once for a prefix, however many of its terms start so.
-            each = np.unique(doc * width + prefixes.indices.to_numpy()[code])
-            pairs, n = _tally(some.lang[each // width] * width + each % width, len(some.langs) * width)
+            width, own = len(prefixes.dictionary), prefixes.indices.to_numpy().astype(np.int64)[code]
+            # A document counts once for a prefix; its terms that start so are neighbours.
+            fresh = np.ones(len(doc), dtype=bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
+            pairs, n = _tally(some.lang[doc[fresh]] * width + own[fresh], len(some.langs) * width)
             yield from partial.add(pa.table({
                 "lang": pa.array(some.langs, pa.string()).take(pa.array(pairs // width)),
                 "prefix": prefixes.dictionary.take(pa.array(pairs % width)), "docs": n.astype(np.int64)}))
         yield from partial.rest()
 
-    found = bags.select("lang", "terms").mapInArrow(count, "lang string, prefix binary, docs long")
+    found = bags.drop("times").mapInArrow(count, "lang string, prefix binary, docs long")
     return found.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
 
 
@@ -222,7 +260,7 @@ def frequent_terms(bags: DataFrame, least_docs: int, bits: int = FILTER_BITS) ->
         filled, before, length = prefix_filter(open_, bits), length, 2 * length
 
 
-def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, bits: int = FILTER_BITS) -> DataFrame:
+def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, most_sources: int, bits: int = FILTER_BITS) -> DataFrame:
     """(``lang``, ``part``, ``term``, ``sources``, ``times``): one row for each kept term, with the sources that have it.
 
     Only terms that pass a filter of the kept ones are summed, and what it lets
@@ -231,38 +269,28 @@ def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, bits: int = F
     """
     filled = prefix_filter(kept.select("lang", F.concat(F.encode("term", "UTF-8"), F.lit(END)).alias("prefix")), bits)
     known = bags.sparkSession.sparkContext.broadcast(filled)
-    groups = bags.select("lang", "source").distinct().count()
-    spread = max(1, -(-kept.count() * max(1, groups // 4) // GROUP_ROWS))
+    spread = max(1, -(-kept.count() * most_sources // GROUP_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partial = _Partial(["lang", "term", "source"], "n", "docs")
-        for batch in batches:
-            some = _Batch(batch)
-            if not len(some.code):
-                continue
+        for some in (bag for batch in batches for bag in _read_bags(batch)):
             longest = max(1, pc.max(pc.binary_length(some.terms)).as_py())
             chosen = np.flatnonzero(some.passing(longest, known.value, bits))
-            times = pc.list_flatten(batch.column("times")).to_numpy()[chosen].astype(np.float64)
-            # One number for each group of rows with equal language and source, and term.
-            sources = batch.column("source").dictionary_encode()
-            across = len(sources.dictionary)
-            group, of = np.unique(some.lang * across + sources.indices.to_numpy(), return_inverse=True)
-            width = max(1, len(some.terms))
-            pairs, where = _distinct(of[some.doc[chosen]] * width + some.code[chosen], len(group) * width)
-            own = group[pairs // width]
+            width = len(some.terms)
+            pairs, where = _distinct(
+                some.group[some.doc[chosen]] * width + some.code[chosen], len(some.group_langs) * width)
+            own = pa.array(pairs // width)
             yield from partial.add(pa.table({
-                "lang": pa.array(some.langs, pa.string()).take(pa.array(own // across)),
-                "term": some.plain.take(pa.array(pairs % width)),
-                "source": sources.dictionary.take(pa.array(own % across)),
-                "n": np.bincount(where, times, len(pairs)).astype(np.int64),
+                "lang": pa.array(some.group_langs, pa.string()).take(own), "term": some.plain.take(pa.array(pairs % width)),
+                "source": pa.array(some.group_sources, pa.string()).take(own),
+                "n": np.bincount(where, some.times[chosen].astype(np.float64), len(pairs)).astype(np.int64),
                 "docs": np.bincount(where, minlength=len(pairs)).astype(np.int64)}))
         yield from partial.rest()
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        sums = rows.group_by(["term", "source"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-        terms = sums["term"].combine_chunks().dictionary_encode()
+        terms = rows["term"].combine_chunks().dictionary_encode()
         code = terms.indices.to_numpy()
-        enough = np.bincount(code, sums["docs_sum"].to_numpy(), len(terms.dictionary)) >= least_docs
+        enough = np.bincount(code, rows["docs"].to_numpy(), len(terms.dictionary)) >= least_docs
         order = np.argsort(code, kind="stable")
         order = order[enough[code[order]]]
         offsets = pa.array(np.r_[0, np.cumsum(np.bincount(code[order], minlength=len(enough))[enough])].astype(np.int32))
@@ -271,12 +299,14 @@ def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, bits: int = F
         return pa.table({
             "lang": pa.array([key[0].as_py()] * len(names), pa.string()),
             "part": pa.array([key[1].as_py()] * len(names), pa.int32()), "term": names,
-            "sources": pa.ListArray.from_arrays(offsets, sums["source"].combine_chunks().take(take)),
-            "times": pa.ListArray.from_arrays(offsets, sums["n_sum"].combine_chunks().take(take))})
+            "sources": pa.ListArray.from_arrays(offsets, rows["source"].combine_chunks().take(take)),
+            "times": pa.ListArray.from_arrays(offsets, rows["n"].combine_chunks().take(take))})
 
     found = bags.mapInArrow(count, "lang string, term binary, source string, n long, docs long")
-    return found.withColumn("part", F.pmod(F.hash("term"), F.lit(spread)).cast("int")).groupBy(
-        "lang", "part").applyInArrow(merge, "lang string, part int, term string, sources array<string>, times array<long>")
+    # Summed by Spark first, in the same exchange, so that a group holds each term and source once.
+    found = found.withColumn("part", F.pmod(F.hash("term"), F.lit(spread)).cast("int")).repartition("lang", "part")
+    found = found.groupBy("lang", "part", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.groupBy("lang", "part").applyInArrow(merge, "lang string, part int, term string, sources array<string>, times array<long>")
 
 
 def divergences(counts: DataFrame, groups: DataFrame, top: int, prior: int, scale: int) -> DataFrame:
@@ -382,13 +412,17 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     too; a language without kept terms has pairs of value 0.  Columns other than
     the three named are not looked at, and an empty table gives an empty result.
     """
-    bags = kept_table(term_bags(docs, lang, source, text), "bags")
+    bags = term_bags(docs, lang, source, text)
     kept = kept_table(frequent_terms(bags, least_docs, bits), "terms")
-    counts = kept_table(term_counts(bags, kept, least_docs, bits), "counts")
+    pairs = F.explode(F.arrays_zip("langs", "sources")).alias("g")
+    named = kept_table(bags.select(pairs).select(
+        F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct(), "named")
+    most = named.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    counts = kept_table(term_counts(bags, kept, least_docs, most, bits), "counts")
     here = counts.select("lang", F.explode(F.arrays_zip("sources", "times")).alias("x")).groupBy(
         "lang", F.col("x.sources").alias("source")).agg(F.sum("x.times").alias("total"))
     size = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    groups = kept_table(bags.select("lang", "source").distinct().join(here, ["lang", "source"], "left"), "groups")
+    groups = kept_table(named.join(here, ["lang", "source"], "left"), "groups")
     whole = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     groups = groups.join(size, "lang", "left").join(whole, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
     found = kept_table(divergences(counts, groups, top, prior, scale), "found")
