@@ -10,7 +10,7 @@ hits      query_id, chunk_id, score, rank
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.functions import text as tx
+from corpuskit.operators import sparse as sp
 from corpuskit.operators.ordered import top_rows
+from corpuskit.operators.running import TIE_DIGITS, Running
+from corpuskit.session import kept_table
 
-# Query vectors up to this many numbers (64 MB of doubles) travel to every
-# worker as one broadcast; more of them go in blocks.
-BROADCAST_NUMBERS = 8_000_000
-# A query vocabulary up to this many terms filters tokens before the shuffle.
-BROADCAST_TERMS = 500_000
 # Hits up to this many rows (queries x k) are broadcast to the corpus they point into.
 BROADCAST_HITS = 1_000_000
-# Scores are compared after rounding, so that summation order decides no tie.
-TIE_DIGITS = 9
 
 
 # --- dense ------------------------------------------------------------------
@@ -60,57 +56,6 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric: {metric}")
 
 
-class Running:
-    """The k best rows seen so far for each of some queries, ties to the smaller id."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), None, dtype=object)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
-        """Merge a block of scores (queries from ``first`` on x rows)."""
-        here = slice(first, first + len(scores))
-        scores = np.where(np.isnan(scores), -np.inf, np.round(scores, TIE_DIGITS))
-        worst = self.scores[here].min(axis=1)
-        # Equal scores can still win by id; an empty place is -inf.
-        rows = np.flatnonzero((scores >= worst[:, None]).any(axis=1))
-        if not len(rows):
-            return
-        both = np.concatenate([self.scores[here][rows], scores[rows]], axis=1)
-        limit = -np.partition(-both, self.k - 1, axis=1)[:, self.k - 1]
-        keep = (both >= limit[:, None]) & (both > -np.inf)
-        exact = keep.sum(axis=1) == self.k
-        columns = np.nonzero(keep[exact])[1].reshape(-1, self.k)
-        self._put(first + rows[exact], columns, both[exact], ids)
-        for at in np.flatnonzero(~exact):  # ties at the limit, or fewer than k rows so far
-            columns = np.flatnonzero(keep[at])
-            names = self._names(np.full(len(columns), first + rows[at]), columns, ids)
-            order = sorted(range(len(columns)), key=lambda j: (-both[at, columns[j]], names[j]))[:self.k]
-            self.scores[first + rows[at]] = -np.inf
-            self.scores[first + rows[at], :len(order)] = both[at, columns[order]]
-            self.ids[first + rows[at], :len(order)] = names[order]
-
-    def _names(self, queries: np.ndarray, columns: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Ids behind columns: the first k are those kept, the others the block's."""
-        out = np.empty(len(columns), dtype=object)
-        old = columns < self.k
-        out[old] = self.ids[queries[old], columns[old]]
-        out[~old] = ids[columns[~old] - self.k]
-        return out
-
-    def _put(self, queries: np.ndarray, columns: np.ndarray, both: np.ndarray, ids: np.ndarray) -> None:
-        if len(queries):
-            names = self._names(np.repeat(queries, self.k), columns.ravel(), ids)
-            self.scores[queries] = np.take_along_axis(both, columns, axis=1)
-            self.ids[queries] = names.reshape(-1, self.k)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query numbers, ids and scores of all kept rows."""
-        query, place = np.nonzero(self.scores > -np.inf)
-        return query, self.ids[query, place], self.scores[query, place]
-
-
 def _sizes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -128,13 +73,59 @@ def dense_mismatches(queries: DataFrame, index: DataFrame) -> DataFrame:
         "query_id", "dims")
 
 
+# Vectors that one packed block holds at most: a task scores a block of queries against a block of the index at once.
+BLOCK_ROWS = 4096
+
+
+def _packed(df: DataFrame, id_: str, names: str | None, rows: int) -> DataFrame:
+    """dims, ids, names, vectors: up to ``rows`` vectors of one size as one row, numbers as bytes of doubles.
+
+    Vectors that are empty or null are left out.
+    """
+    fields = [T.StructField("dims", T.IntegerType()), T.StructField("ids", T.ArrayType(df.schema[id_].dataType)),
+              T.StructField("vectors", T.BinaryType())]
+    columns = [id_, "embedding"]
+    if names is not None:
+        fields.append(T.StructField("names", T.ArrayType(df.schema[names].dataType)))
+        columns.append(names)
+    schema = T.StructType(fields)
+    arrow = pa.schema([(f.name, t.type) for f, t in zip(schema, _arrow_types(df.sparkSession, schema))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By size of the vectors: ids, names and matrices that wait for a full block.
+        waiting: dict[int, list] = {}
+
+        def block(dims: int) -> pa.RecordBatch:
+            ids, named, parts = waiting.pop(dims)[:3]
+            values = [[dims], [ids], [np.concatenate(parts).tobytes()], [named]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                for dims in _sizes(some.column(1)):
+                    if dims > 0:
+                        matrix, good = _matrix(some.column(1), dims)
+                        own = waiting.setdefault(int(dims), [[], [], [], 0])
+                        own[0] += some.column(0).take(pa.array(good)).to_pylist()
+                        own[1] += some.column(2).take(pa.array(good)).to_pylist() if names is not None else []
+                        own[2].append(matrix)
+                        own[3] += len(good)
+                        if own[3] >= rows:
+                            yield block(int(dims))
+        for dims in list(waiting):
+            yield block(dims)
+
+    return df.select(*columns).mapInArrow(pack, schema)
+
+
 def dense_topk(
     queries: DataFrame,
     index: DataFrame,
     k: int = 10,
     metric: str = "cosine",
     per_collection: bool = False,
-    broadcast_numbers: int = BROADCAST_NUMBERS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact nearest neighbours, best first: query_id, chunk_id, score, rank.
 
@@ -145,13 +136,12 @@ def dense_topk(
     is compared with the index vectors of its own size; ``dense_mismatches``
     lists those that have none.
 
-    Index rows never shuffle.  Queries are broadcast in blocks of at most
-    ``broadcast_numbers`` numbers (vectors, ids and collection names counted),
-    and the index is scanned once for each block.  A task keeps the k best rows
-    of every query while it runs through its batches and emits them at its end,
-    so k rows per query and task are shuffled.
+    Queries are laid out as a table of packed blocks, whatever their number; the
+    driver sees none of them.  The index is packed where it is read.  Executors
+    run through a grid of (partition of query blocks) x (partition of the index),
+    keep the k best rows of a block's queries over all index blocks of the cell,
+    and hand on k rows per query and cell.  Index rows never shuffle.
     """
-    spark = index.sparkSession
     id_type = index.schema["chunk_id"].dataType
     q_type = queries.schema["query_id"].dataType
     fields = [T.StructField("query_id", q_type), T.StructField("chunk_id", id_type),
@@ -159,22 +149,13 @@ def dense_topk(
     if per_collection:
         fields.insert(2, T.StructField("collection", index.schema["collection"].dataType))
     schema = T.StructType(fields)
-
-    q_cols = ["query_id", "embedding"] + (["collections"] if per_collection else [])
-    x_cols = ["chunk_id", "embedding"] + (["collection"] if per_collection else [])
-    queries = queries.select(*q_cols).filter(F.size("embedding") > 0)
-    index = index.select(*x_cols)
-
-    names = F.coalesce(F.size("collections"), F.lit(0)) if per_collection else F.lit(0)
-    numbers = queries.agg(F.sum(F.size("embedding") + 4 * names + 4)).first()[0]
-    if not numbers:
-        return spark.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
-    blocks = -(-numbers // broadcast_numbers)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    local = None
-    for at in range(blocks):
-        part = _scan(queries if blocks == 1 else queries.filter(block == at), index, k, metric, schema, per_collection)
-        local = part if local is None else local.unionByName(part)
+    names = ("collections", "collection") if per_collection else (None, None)
+    asked = kept_table(_packed(queries.hint("rebalance"), "query_id", names[0], block_rows), "query-blocks")
+    asked = asked.select(F.struct("*", F.monotonically_increasing_id().alias("block")).alias("q"))
+    searched = _packed(index, "chunk_id", names[1], block_rows).select(F.struct("*").alias("x"))
+    # Blocks against blocks, each read by the executors themselves.
+    grid = asked.hint("shuffle_replicate_nl").join(searched, F.col("q.dims") == F.col("x.dims"))
+    local = _scan(grid, k, metric, schema, per_collection)
 
     if per_collection:
         kept = top_rows(local, ["query_id", "collection"], best_first(), k, "_r").drop("_r")
@@ -187,52 +168,53 @@ def _arrow_types(spark, schema):
     return list(spark.createDataFrame([], schema).toArrow().schema)
 
 
-def _scan(queries, index, k, metric, schema, per_collection, step: int = 1024) -> DataFrame:
-    """Local top-k of one block of queries in every task of the index."""
-    spark = index.sparkSession
-    table = queries.toArrow()
-    all_ids = np.asarray(table.column("query_id").to_pylist(), dtype=object)
-    # By vector size: query ids, their matrix, and by collection the queries that want it.
-    by_size = {}
-    for dims in _sizes(table.column("embedding")):
-        matrix, rows = _matrix(table.column("embedding"), dims)
-        targets: dict = {}
-        if per_collection:
-            wanted = table.column("collections").to_pylist()
-            for number, row in enumerate(rows):
-                for name in set(wanted[row] or ()):
-                    targets.setdefault(name, []).append(number)
-        by_size[int(dims)] = (all_ids[rows], matrix, {name: np.asarray(at) for name, at in targets.items()})
-    shared = spark.sparkContext.broadcast(by_size)
-    arrow_schema = pa.schema([pa.field(f.name, t.type) for f, t in zip(schema, _arrow_types(spark, schema))])
+def _scan(grid: DataFrame, k: int, metric: str, schema: T.StructType, per_collection: bool, step: int = 1024) -> DataFrame:
+    """Local top-k of every query block over the index blocks that follow it."""
+    arrow_schema = pa.schema(
+        [pa.field(f.name, t.type) for f, t in zip(schema, _arrow_types(grid.sparkSession, schema))])
+
+    def matrix(block: dict) -> np.ndarray:
+        return np.frombuffer(block["vectors"]).reshape(-1, block["dims"])
+
+    def results(ids: list, found: dict, targets: dict) -> Iterator[pa.RecordBatch]:
+        for name, running in found.items():
+            query, chunks, scores = running.rows()
+            of = targets[name][query]
+            cols = {"query_id": [ids[i] for i in of], "chunk_id": list(chunks), "score": scores,
+                    "collection": [name] * len(chunks)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        last, ids, q_mat, found, targets = None, [], None, {}, {}
         for batch in batches:
-            for dims in _sizes(batch.column("embedding")):
-                if dims not in shared.value:
-                    continue
-                _, q_mat, targets = shared.value[dims]
-                mat, good = _matrix(batch.column("embedding"), dims)
-                ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)[good]
-                groups = [(None, np.arange(len(ids)), np.arange(len(q_mat)))]
+            for row in range(batch.num_rows):
+                asked = batch.column(0)[row]
+                if asked["block"].as_py() != last:
+                    yield from results(ids, found, targets)
+                    block = asked.as_py()
+                    last, ids, found, targets = block["block"], block["ids"], {}, {}
+                    q_mat = matrix(block)
+                    for number, wanted in enumerate(block["names"] if per_collection else ()):
+                        for name in set(wanted or ()):
+                            targets.setdefault(name, []).append(number)
+                    targets = {name: np.array(at) for name, at in targets.items()}
+                    if not per_collection:
+                        targets[None] = np.arange(len(ids))
+                block = batch.column(1)[row].as_py()
+                mat, chunks = matrix(block), np.array([*block["ids"], None], dtype=object)[:-1]
+                groups = [(None, np.arange(len(chunks)))]
                 if per_collection:
-                    names = np.asarray(batch.column("collection").to_pylist(), dtype=object)[good]
-                    groups = [(c, np.flatnonzero(names == c), targets[c]) for c in set(names) if c in targets]
-                for name, at, asked in groups:
-                    running = best.setdefault((dims, name), Running(len(asked), k))
-                    for first in range(0, len(asked), step):
-                        scores = _scores(q_mat[asked[first:first + step]], mat[at], metric)
-                        running.add(scores, ids[at], first)
-        for (dims, name), running in best.items():
-            q_ids, _, targets = shared.value[dims]
-            query, ids, scores = running.rows()
-            cols = {"query_id": (q_ids[targets[name]] if per_collection else q_ids)[query], "chunk_id": ids,
-                    "score": scores, "collection": [name] * len(ids)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(cols[f.name]), type=f.type) for f in arrow_schema], schema=arrow_schema)
+                    own = np.array([*block["names"], None], dtype=object)[:-1]
+                    groups = [(c, np.flatnonzero(own == c)) for c in set(block["names"]) if c in targets]
+                for name, at in groups:
+                    of = targets[name]
+                    running = found.setdefault(name, Running(len(of), k))
+                    for first in range(0, len(of), step):
+                        running.add(_scores(q_mat[of[first:first + step]], mat[at], metric), chunks[at], first)
+        yield from results(ids, found, targets)
 
-    return index.mapInArrow(scan, schema)
+    return grid.mapInArrow(scan, schema)
 
 
 def best_first() -> list[Column]:
@@ -268,41 +250,37 @@ def metadata_filter(index: DataFrame, equals: dict) -> DataFrame:
 # --- BM25 -------------------------------------------------------------------
 
 # The document marker: an impossible term, one per document, that carries the
-# corpus statistics through the same shuffle as the postings.
-MARK = ""
+# corpus statistics beside the postings.
+MARK = sp.TOTAL
 
 
 def bm25_index(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Postings: chunk_id, doc_len, term, tf; plus one ``MARK`` row per document.
+    """Postings: collection, chunk_id, doc_len, term, tf; plus one ``MARK`` row per document.
 
-    Tokens are hashed by chunk_id alone, so that counting terms here and adding
-    up term scores per document later need no further shuffle.  A ``vocabulary``
-    (column ``term``, small enough to broadcast) drops other terms before it.
+    Terms are counted where the document is read; nothing is shuffled.  A
+    ``vocabulary`` (column ``term``, small enough to broadcast) drops other
+    terms.  Without a ``collection`` column the corpus is the collection ``''``.
     """
-    tokens = corpus.select("chunk_id", tx.terms(F.col("text")).alias("_terms")).select(
-        "chunk_id",
-        F.size("_terms").alias("doc_len"),
-        F.explode(F.concat(F.array(F.lit(MARK)), "_terms")).alias("term"),
-    )
+    marked = F.concat(F.array(F.struct(F.lit(MARK).alias("term"), F.lit(1).alias("tf"))), F.transform(
+        F.arrays_zip("terms", "tfs"), lambda x: F.struct(x["terms"].alias("term"), x["tfs"].alias("tf"))))
+    postings = sp.counted(corpus).select("collection", "chunk_id", "doc_len", F.explode(marked).alias("_p")).select(
+        "collection", "chunk_id", "doc_len", "_p.term", F.col("_p.tf").cast("long").alias("tf"))
     if vocabulary is not None:
         mark = vocabulary.sparkSession.range(0, 1, 1, 1).select(F.lit(MARK).alias("term"))
         keep = vocabulary.select("term").union(mark)
-        tokens = tokens.join(F.broadcast(keep), "term", "left_semi")
-    return (
-        tokens.repartition("chunk_id")
-        .groupBy("chunk_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+        postings = postings.join(F.broadcast(keep), "term", "left_semi")
+    return postings
 
 
 def bm25_stats(postings: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    marked = F.when(F.col("term") == MARK, F.col("doc_len"))
-    return postings.agg(F.count(marked).alias("n_docs"), F.avg(marked).alias("avg_len"))
+    """collection, n_docs, avg_len: documents and their mean length."""
+    return postings.filter(F.col("term") == MARK).groupBy("collection").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """collection, term, df."""
+    return postings.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -312,64 +290,82 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def few_terms(queries: DataFrame, most: int = BROADCAST_TERMS) -> bool:
-    """Whether the queries have at most ``most`` (query, term) pairs together."""
-    return query_terms(queries).limit(most + 1).count() <= most
+def few_terms(queries: DataFrame, most: int = sp.BROADCAST_TERMS) -> bool:
+    """Whether the queries have at most ``most`` (query, collection, term) rows together."""
+    return sp.asked_terms(queries).limit(most + 1).count() <= most
 
 
-def small_vocabulary(queries: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame | None:
+def small_vocabulary(queries: DataFrame, most: int = sp.BROADCAST_TERMS) -> DataFrame | None:
     """The distinct query terms if there are few enough to broadcast, else None."""
     return query_terms(queries).select("term").distinct() if few_terms(queries, most) else None
 
 
+def hit_keys(queries: DataFrame) -> list[str]:
+    """What a list of hits belongs to: a query, or a query in one of its ``collections``."""
+    return ["query_id", "collection"] if "collections" in queries.columns else ["query_id"]
+
+
 def bm25_scores(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     k1: float = 1.2,
     b: float = 0.75,
     postings: DataFrame | None = None,
 ) -> DataFrame:
-    """Scores of all matching (query, chunk) pairs: query_id, chunk_id, score.
+    """Scores of all matching (query, chunk) pairs: query_id [, collection], chunk_id, score.
 
-    idf = ln((N - df + 0.5) / (df + 0.5) + 1); query terms count once.
-    Pass ``postings`` to reuse a stored index.
+    idf = ln((N - df + 0.5) / (df + 0.5) + 1); query terms count once.  With
+    ``collections`` (an array) a query is asked of each of them for itself: N, df
+    and mean length are the collection's.  Pass ``postings`` to reuse an index.
     """
     few = few_terms(queries)
     if postings is None:
         vocabulary = query_terms(queries).select("term").distinct() if few else None
         postings = bm25_index(corpus, vocabulary)
-    stats = bm25_stats(postings)
-    n_docs = stats.select("n_docs").scalar()
-    avg_len = stats.select("avg_len").scalar()
+    if "collections" not in queries.columns:
+        postings = postings.withColumn("collection", F.lit(""))
     weighted = (
-        query_terms(queries)
-        .join(document_frequency(postings), "term")
-        .select(
-            "query_id", "term",
-            F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"),
-        )
+        sp.asked_terms(queries)
+        .join(document_frequency(postings), ["collection", "term"])
+        .join(bm25_stats(postings), "collection")
+        .select("query_id", "collection", "term", "avg_len",
+                sp.inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf"))
     )
     # Left to estimates, Spark may broadcast the postings instead.
     weighted = F.broadcast(weighted) if few else weighted
-    saturation = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len)
-    )
+    part = F.col("idf") * sp.saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b)
     return (
-        postings.join(weighted, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("idf") * saturation).alias("score"))
+        postings.join(weighted, ["collection", "term"])
+        .groupBy(*hit_keys(queries), "chunk_id")
+        .agg(F.sum(part).alias("score"))
     )
 
 
 def bm25_topk(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     k: int = 10,
     k1: float = 1.2,
     b: float = 0.75,
     postings: DataFrame | None = None,
 ) -> DataFrame:
-    return top_rows(bm25_scores(queries, corpus, k1, b, postings), ["query_id"], best_first(), k)
+    """The k best of each query, or of each query in each of its ``collections``.
+
+    The corpus is read once for the statistics and once for the scores, and each
+    task hands on k rows per query; with too many query terms to broadcast, or
+    with ``postings``, scores come from joins instead.
+    """
+    keys = hit_keys(queries)
+    asked = sp.weights(queries, _scoped(queries, corpus)) if postings is None else None
+    if asked is None:
+        return top_rows(bm25_scores(queries, corpus, k1, b, postings), keys, best_first(), k)
+    found = sp.scan(_scoped(queries, corpus), asked, queries.schema["query_id"].dataType, k, k1, b)
+    return top_rows(found.filter(F.col("chunk_id").isNotNull()).select(*keys, "chunk_id", "score"), keys, best_first(), k)
+
+
+def _scoped(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The corpus with its collections only where the queries name some."""
+    return corpus if "collections" in queries.columns else corpus.select("chunk_id", "text")
 
 
 def small_side(df: DataFrame, most_rows: int | None) -> DataFrame:
@@ -389,12 +385,16 @@ def attach_content(hits: DataFrame, corpus: DataFrame, most_rows: int | None = N
 FLAT_RANGE = 1e-9  # fixed value: score ranges below this count as constant
 
 
-def score_bounds(hits: DataFrame, corpus_size: Column | None = None) -> DataFrame:
+def score_bounds(hits: DataFrame, corpus_size: Column | None = None, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """query_id, _lo, _hi: the range of a query's scores, pre-aggregated map-side."""
     low = F.min("score")
     if corpus_size is not None:
         low = F.when(F.count(F.lit(1)) < corpus_size, F.least(low, F.lit(0.0))).otherwise(low)
-    return hits.groupBy("query_id").agg(low.alias("_lo"), F.max("score").alias("_hi"))
+    return hits.groupBy(*keys).agg(low.alias("_lo"), F.max("score").alias("_hi"))
+
+
+def _scaled(low: Column, high: Column, constant_value: float) -> Column:
+    return F.when(high - low < FLAT_RANGE, F.lit(constant_value)).otherwise((F.col("score") - low) / (high - low))
 
 
 def minmax_normalise(
@@ -402,6 +402,7 @@ def minmax_normalise(
     corpus_size: Column | None = None,
     constant_value: float = 1.0,
     bounds: DataFrame | None = None,
+    keys: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
     """Scale scores to [0, 1] per query; a constant list gets ``constant_value``.
 
@@ -410,11 +411,64 @@ def minmax_normalise(
     Bounds are pre-aggregated per query, not taken from a window.
     """
     if bounds is None:
-        bounds = score_bounds(hits, corpus_size)
-    span = F.col("_hi") - F.col("_lo")
-    scaled = F.when(span < FLAT_RANGE, F.lit(constant_value)).otherwise(
-        (F.col("score") - F.col("_lo")) / span)
-    return hits.join(bounds, "query_id").withColumn("score", scaled).drop("_lo", "_hi")
+        bounds = score_bounds(hits, corpus_size, keys)
+    return hits.join(bounds, list(keys)).withColumn(
+        "score", _scaled(F.col("_lo"), F.col("_hi"), constant_value)).drop("_lo", "_hi")
+
+
+def bm25_normalised(
+    queries: DataFrame, corpus: DataFrame, k: int = 10, also: DataFrame | None = None, constant_value: float = 1.0,
+    k1: float = 1.2, b: float = 0.75,
+) -> DataFrame:
+    """The k best and those in ``also``, scaled by the range of all scores of the query; others may be listed, too.
+
+    Rows that match no term score zero before scaling, so zero is the minimum
+    where there are such.  ``also`` has query_id [, collection] and chunk_id.  One
+    pass over the corpus finds scores and ranges; where terms or ``also`` are too
+    many to broadcast, joins do.
+    """
+    keys, corpus = hit_keys(queries), _scoped(queries, corpus)
+    many = also is not None and also.limit(BROADCAST_HITS + 1).count() > BROADCAST_HITS
+    asked = None if many else sp.weights(queries, corpus)
+    if asked is None:
+        raw = bm25_scores(queries, corpus, k1, b)
+        stats = bm25_stats(bm25_index(corpus)).select("collection", "n_docs")
+        found = raw.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count("*").alias("_n"))
+        found = found.withColumn("_of", F.col("collection") if len(keys) > 1 else F.lit("")).join(
+            stats.withColumnRenamed("collection", "_of"), "_of")
+        bounds = found.select(*keys, F.when(F.col("_n") < F.col("n_docs"), F.least("_lo", F.lit(0.0))).otherwise(
+            F.col("_lo")).alias("_lo"), "_hi")
+        mark = F.lit(0).alias("_also")
+        if also is not None:
+            raw = raw.join(also.select(*keys, "chunk_id", F.lit(1).alias("_also")), [*keys, "chunk_id"], "left")
+            mark = F.col("_also")
+        size = k + (0 if also is None else also.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        best = top_rows(raw.withColumn("_also", mark), keys, [F.col("_also").desc_nulls_last(), *best_first()], size, "_r")
+        return minmax_normalise(best.select(*keys, "chunk_id", "score"), constant_value=constant_value, bounds=bounds,
+                                keys=tuple(keys))
+    wanted: dict = {}
+    if also is not None:
+        numbers = {name: {_hashable(q): i for i, q in enumerate(own.names)} for name, own in asked.items()}
+        for row in also.select("query_id", "chunk_id", *keys[1:]).toArrow().to_pylist():
+            name = row.get("collection", "")
+            number = numbers.get(name, {}).get(_hashable(row["query_id"]))
+            if number is not None:
+                wanted.setdefault(name, {}).setdefault(row["chunk_id"], []).append(number)
+    rows = sp.scan(corpus, asked, queries.schema["query_id"].dataType, k, k1, b, wanted)
+    sizes = corpus.sparkSession.createDataFrame(
+        [(name, own.n_docs) for name, own in asked.items()], "collection string, _docs long")
+    whole = Window.partitionBy(*keys)
+    low, n = F.min("low").over(whole), F.sum("n").over(whole)
+    rows = rows.join(F.broadcast(sizes), "collection").withColumns({
+        "_hi": F.max("score").over(whole),
+        "_lo": F.when(n < F.col("_docs"), F.least(low, F.lit(0.0))).otherwise(low)})
+    return rows.filter(F.col("chunk_id").isNotNull()).withColumn(
+        "score", _scaled(F.col("_lo"), F.col("_hi"), constant_value)).select(
+        *keys, "chunk_id", "score").dropDuplicates([*keys, "chunk_id"])
+
+
+def _hashable(query_id):
+    return tuple(query_id.items()) if isinstance(query_id, dict) else query_id
 
 
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -423,16 +477,16 @@ def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
 
 
 def weighted_fusion(
-    dense: DataFrame, sparse: DataFrame, weights: dict[str, float] | None = None
+    dense: DataFrame, sparse: DataFrame, weights: dict[str, float] | None = None, keys: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
     """Weighted sum of two score lists on (query, chunk); a missing side adds 0."""
     w = normalised_weights(weights or {"dense": 0.5, "sparse": 0.5})
+    names = [*keys, "chunk_id"]
     return (
-        dense.select("query_id", "chunk_id", F.col("score").alias("_d"))
-        .join(sparse.select("query_id", "chunk_id", F.col("score").alias("_s")),
-              ["query_id", "chunk_id"], "full_outer")
+        dense.select(*names, F.col("score").alias("_d"))
+        .join(sparse.select(*names, F.col("score").alias("_s")), names, "full_outer")
         .select(
-            "query_id", "chunk_id",
+            *names,
             (F.coalesce("_d", F.lit(0.0)) * w["dense"]
              + F.coalesce("_s", F.lit(0.0)) * w["sparse"]).alias("score"),
         )
@@ -453,35 +507,25 @@ def hybrid_topk(
 ) -> DataFrame:
     """Dense and BM25 fused: 2k dense rows, BM25 over the whole corpus.
 
-    ``queries`` carries text and embedding.  Chunks without any signal score 0
-    and are not listed.  For a query whose terms match nothing, every chunk has
-    the same BM25 score and so gets ``constant_value``; it is added to the dense
-    rows, which lead the ranking in that case.
+    ``queries`` carries text and embedding.  With ``collections`` (an array) each
+    query is answered in each of them for itself: k rows, ranks and both scores'
+    ranges are the collection's, index and corpus carry ``collection``.  Chunks
+    without any signal score 0 and are not listed.  For a query whose terms match
+    nothing, every chunk has the same BM25 score and so gets ``constant_value``;
+    it is added to the dense rows, which lead the ranking in that case.
+
+    What can reach the result are the dense rows and the k best by BM25; the pass
+    over the corpus that finds these scores the dense rows, too.
     """
-    n_queries = queries.count()
-    dense = minmax_normalise(
-        dense_topk(queries, index, 2 * k, metric).drop("rank"), constant_value=constant_value)
-    postings = bm25_index(corpus, small_vocabulary(queries))
-    raw = bm25_scores(queries, corpus, k1, b, postings)
-    n_docs = bm25_stats(postings).select("n_docs").scalar()
-    bounds = score_bounds(raw, n_docs)
-    # What can reach the result: the dense rows, and of the others the k best by
-    # BM25.  Dense rows are ranked first, so 3k rows per query hold both.
-    marked = raw.join(
-        small_side(dense.select("query_id", "chunk_id", F.lit(1).alias("_dense")), 2 * k * n_queries),
-        ["query_id", "chunk_id"], "left")
-    order = [F.col("_dense").desc_nulls_last(), *best_first()]
-    candidates = top_rows(marked, ["query_id"], order, 3 * k, "_r").drop("_r", "_dense")
-    sparse = minmax_normalise(candidates, constant_value=constant_value, bounds=bounds)
-    w = normalised_weights(weights or {"dense": 0.5, "sparse": 0.5})
-    unmatched = (
-        # The whole bounds row is asked for, as in the normalisation above, so
-        # that Spark reuses that exchange instead of scoring again.
-        dense.join(bounds, "query_id", "left").filter(F.col("_lo").isNull() & F.col("_hi").isNull())
-        .select("query_id", "chunk_id", F.lit(constant_value).alias("score"))
-    )
-    fused = weighted_fusion(dense, sparse.unionByName(unmatched), w)
-    return score_threshold(top_rows(fused, ["query_id"], best_first(), k), threshold)
+    keys = tuple(hit_keys(queries))
+    dense = dense_topk(queries, index, 2 * k, metric, per_collection=len(keys) > 1)
+    # Kept, for two readers: 2k short rows for each query.
+    dense = kept_table(minmax_normalise(dense.drop("rank"), constant_value=constant_value, keys=keys), "dense")
+    sparse = bm25_normalised(queries, corpus, k, dense, constant_value, k1, b)
+    unmatched = dense.join(sparse.select(*keys).distinct(), list(keys), "left_anti").withColumn(
+        "score", F.lit(constant_value))
+    fused = weighted_fusion(dense, sparse.unionByName(unmatched.select(*sparse.columns)), weights, keys)
+    return score_threshold(top_rows(fused, keys, best_first(), k), threshold)
 
 
 # --- query expansion --------------------------------------------------------
@@ -532,13 +576,18 @@ def merge_variant_hits(
 
 
 def multi_query_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, num_variants: int = 3,
-    threshold: float | None = None,
+    queries: DataFrame, corpus: DataFrame | None, k: int = 10, num_variants: int = 3,
+    threshold: float | None = None, retrieve: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Expand, retrieve k per variant with BM25, merge."""
+    """Expand, retrieve k per variant, merge.
+
+    ``retrieve`` takes the variants (query_id, text; query_id is a struct of
+    query_id and variant) and k, and returns hits with query_id, chunk_id and
+    score; without it BM25 over ``corpus`` is asked.
+    """
     variants = expand_queries(queries, num_variants).select(
         F.struct("query_id", "variant").alias("query_id"), "text")
-    hits = bm25_topk(variants, corpus, k)
+    hits = bm25_topk(variants, corpus, k) if retrieve is None else retrieve(variants, k)
     return merge_variant_hits(
         hits.select(F.col("query_id.query_id").alias("query_id"), "chunk_id", "score"),
         k, threshold)
@@ -546,24 +595,21 @@ def multi_query_topk(
 
 def bm25_fill(
     dense: DataFrame, sparse_scores: DataFrame, n: int = 5, scope: tuple[str, ...] = ("query_id",),
-    most_dense: int | None = None,
+    *, most_dense: int,
 ) -> DataFrame:
     """Append, with score 0, the ``n`` best BM25 chunks the dense hits lack.
 
-    ``scope`` is ("query_id",) or ("query_id", "collection"): where n counts.
-    ``most_dense``: the largest number of dense hits a query has (its k; counted
-    when not given).  The n best missing chunks are then among the n + most_dense
-    best, and only those take part in the join.
+    ``scope`` is ("query_id",) or ("query_id", "collection"): where n counts; with
+    collections both sides carry theirs.  ``most_dense``: the largest number of
+    dense hits in a scope (its k).  The n best missing chunks are then among the
+    n + most_dense best, and only those take part in the join.
     """
-    if most_dense is None:
-        sizes = dense.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        most_dense = sizes.agg(F.max("n")).first()[0] or 0
+    names = [*scope, "chunk_id"]
     best = top_rows(sparse_scores, list(scope), best_first(), n + most_dense, "_r").drop("_r")
-    missing = best.join(dense.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    missing = best.join(dense.select(*names), names, "left_anti")
     added = top_rows(missing, list(scope), best_first(), n, "_r")
-    origin = dense.select("query_id", "chunk_id", "score", F.lit("dense").alias("origin"))
-    return origin.unionByName(
-        added.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit("bm25").alias("origin")))
+    origin = dense.select(*names, "score", F.lit("dense").alias("origin"))
+    return origin.unionByName(added.select(*names, F.lit(0.0).alias("score"), F.lit("bm25").alias("origin")))
 
 
 def search_owned(

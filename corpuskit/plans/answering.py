@@ -27,7 +27,7 @@ def retrieve(
     whatever the context needs.  Gives hits with content, ranked.
     """
     dense = rt.dense_topk(queries, index, k)
-    sparse = rt.bm25_scores(queries.select("query_id", "text"), corpus.select("chunk_id", "text"))
+    sparse = rt.bm25_topk(queries.select("query_id", "text"), corpus.select("chunk_id", "text"), fill + k)
     merged = rt.bm25_fill(dense, sparse, fill, most_dense=k).drop("origin")
     ranked = rt.top_rows(merged, ["query_id"], rt.best_first(), k + fill)
     content = corpus.withColumnRenamed("text", "content")

@@ -11,6 +11,8 @@ from corpuskit.operators import evaluation as ev
 from corpuskit.operators import reranking as rr
 from corpuskit.operators import retrieval as rt
 from corpuskit.operators.ordered import top_rows
+from corpuskit.operators.postings import Postings
+from corpuskit.session import fresh_path
 from corpuskit.workload.common import Book, Tables
 
 BOOK = Book()
@@ -47,7 +49,7 @@ def top_sql(source: str, k: int, by: str = "query_id") -> str:
 @BOOK.add("bm25_stats", f"""
       WITH {bm25_sql()} SELECT nd AS n_docs, round(al, 6) AS avg_len FROM st""")
 def bm25_stats(t: Tables) -> DataFrame:
-    return rt.bm25_stats(rt.bm25_index(t.corpus()))
+    return rt.bm25_stats(rt.bm25_index(t.corpus())).drop("collection")
 
 
 @BOOK.add("bm25_index", f"""
@@ -78,13 +80,11 @@ _NORM = """
 
 
 @BOOK.add("minmax_scores", f"""
-      WITH {bm25_sql()}, {_NORM}
-      SELECT query_id, chunk_id, round(score, 6) AS score FROM sparse""")
+      WITH {bm25_sql()}, {_NORM}, hits AS ({top_sql('sparse', 10)})
+      SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""")
 def minmax_scores(t: Tables) -> DataFrame:
-    queries, corpus = t.text_queries(), t.corpus()
-    postings = rt.bm25_index(corpus, rt.small_vocabulary(queries))
-    scores = rt.bm25_scores(queries, corpus, postings=postings)
-    return rt.minmax_normalise(scores, rt.bm25_stats(postings).select("n_docs").scalar())
+    """The best rows, scaled by the range of all scores of their query."""
+    return top_rows(rt.bm25_normalised(t.text_queries(), t.corpus(), 10), ["query_id"], rt.best_first(), 10)
 
 
 # The dense leg: a query's vector is the one with its id, a document's likewise.
@@ -173,7 +173,136 @@ def multi_query_topk(t: Tables) -> DataFrame:
 def bm25_fill(t: Tables) -> DataFrame:
     queries = _query_vectors(t)
     dense = rt.dense_topk(queries, _index(t), 10)
-    return rt.bm25_fill(dense, rt.bm25_scores(queries.select("query_id", "text"), t.corpus()), 5, most_dense=10)
+    return rt.bm25_fill(dense, rt.bm25_topk(queries.select("query_id", "text"), t.corpus(), 15), 5, most_dense=10)
+
+
+# --- by collection ----------------------------------------------------------
+
+# A document's source is its collection; every query asks two of them.
+_ASKED = "['src' || (item_id % 20), 'src' || ((item_id + 7) % 20)]"
+
+
+def collection_sql(k1: float = 1.2, b: float = 0.75, queries: str = "benchmark") -> str:
+    """CTEs ending in bm(query_id, collection, chunk_id, score), a corpus for each source."""
+    return f"""
+      queries AS (SELECT item_id AS query_id, text, unnest({_ASKED}) AS collection FROM {queries}),
+      bag AS (SELECT doc_id AS chunk_id, source AS collection, {words_sql('text')} AS words FROM documents),
+      dl AS (SELECT collection, chunk_id, len(words) AS n FROM bag),
+      st AS (SELECT collection, count(*) AS nd, avg(n) AS al FROM dl GROUP BY collection),
+      tf AS (SELECT collection, chunk_id, term, count(*) AS tf
+             FROM (SELECT collection, chunk_id, unnest(words) AS term FROM bag) GROUP BY ALL),
+      dfq AS (SELECT collection, term, count(*) AS df FROM tf GROUP BY ALL),
+      qt AS (SELECT DISTINCT query_id, collection, unnest({words_sql('text')}) AS term FROM queries),
+      bm AS (SELECT query_id, collection, chunk_id,
+               sum(ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * {k1 + 1}
+                   / (tf + {k1} * (1 - {b} + {b} * n / al))) AS score
+             FROM qt JOIN tf USING (collection, term) JOIN dfq USING (collection, term)
+               JOIN dl USING (collection, chunk_id) JOIN st USING (collection) GROUP BY ALL)"""
+
+
+def collection_queries(t: Tables) -> DataFrame:
+    names = [F.concat(F.lit("src"), ((F.col("item_id") + n) % 20).cast("string")) for n in (0, 7)]
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text", F.array(*names).alias("collections"))
+
+
+def collection_corpus(t: Tables) -> DataFrame:
+    return t.text("documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("collection"))
+
+
+_BY = "query_id, collection"
+
+
+@BOOK.add("bm25_per_collection", f"""
+      WITH {collection_sql()}, hits AS ({top_sql('bm', 5, _BY)})
+      SELECT query_id, collection, chunk_id, round(score, 6) AS score, rank FROM hits""")
+def bm25_per_collection(t: Tables) -> DataFrame:
+    return rt.bm25_topk(collection_queries(t), collection_corpus(t), 5)
+
+
+@BOOK.add("bm25_stored_postings", f"""
+      WITH {collection_sql(1.5, 0.6)}, hits AS ({top_sql('bm', 5, _BY)})
+      SELECT query_id, collection, chunk_id, round(score, 6) AS score, rank FROM hits""")
+def bm25_stored_postings(t: Tables) -> DataFrame:
+    """Written as two batches, then read block by block as far as bounds allow."""
+    store = Postings(t.spark, fresh_path(t.spark, "postings"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for batch in (t.documents.filter(english), t.documents.filter(~english)):
+        store.append(batch.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("collection")))
+    return store.topk(collection_queries(t), 5, 1.5, 0.6)
+
+
+# The dense leg by collection: the vector of a document has its id.
+def _collection_dense_sql(k: int) -> str:
+    return f"""
+      dn AS (SELECT q.query_id, q.collection, b.vec_id AS chunk_id,
+               round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+             FROM (SELECT DISTINCT query_id, collection FROM queries) q JOIN embeddings a ON a.vec_id = q.query_id
+               JOIN documents d ON d.source = q.collection JOIN embeddings b ON b.vec_id = d.doc_id
+             QUALIFY row_number() OVER (PARTITION BY q.query_id, q.collection ORDER BY score DESC, chunk_id) <= {k})"""
+
+
+def _collection_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("collection")).join(
+        t.embeddings.select("vec_id", "embedding"), "vec_id")
+    return collection_queries(t).join(vectors, "query_id"), index.withColumnRenamed("vec_id", "chunk_id")
+
+
+@BOOK.add("hybrid_per_collection", f"""
+      WITH {collection_sql()}, {_collection_dense_sql(10)},
+      bounds AS (SELECT query_id, bm.collection, max(score) AS hi,
+                   CASE WHEN count(*) < any_value(nd) THEN least(min(score), 0) ELSE min(score) END AS lo
+                 FROM bm JOIN st USING (collection) GROUP BY ALL),
+      sparse AS (SELECT query_id, collection, chunk_id,
+                   CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS score
+                 FROM bm JOIN bounds USING (query_id, collection)
+                 UNION ALL SELECT query_id, collection, chunk_id, 1.0 FROM dn
+                 WHERE (query_id, collection) NOT IN (SELECT (query_id, collection) FROM bounds)),
+      db AS (SELECT query_id, collection, min(score) AS lo, max(score) AS hi FROM dn GROUP BY ALL),
+      dense AS (SELECT query_id, collection, chunk_id,
+                  CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS score
+                FROM dn JOIN db USING (query_id, collection)),
+      fused AS (SELECT query_id, collection, chunk_id, coalesce(d.score, 0) * 0.5 + coalesce(s.score, 0) * 0.5 AS score
+                FROM dense d FULL JOIN sparse s USING (query_id, collection, chunk_id)
+                WHERE query_id IN (SELECT vec_id FROM embeddings)),
+      hits AS ({top_sql('fused', 5, _BY)})
+      SELECT query_id, collection, chunk_id, round(score, 6) AS score, rank FROM hits""")
+def hybrid_per_collection(t: Tables) -> DataFrame:
+    queries, index = _collection_vectors(t)
+    return rt.hybrid_topk(queries, index, collection_corpus(t), 5)
+
+
+@BOOK.add("bm25_fill_per_collection", f"""
+      WITH {collection_sql()}, {_collection_dense_sql(4)},
+      rest AS (SELECT bm.* FROM bm ANTI JOIN dn USING (query_id, collection, chunk_id)
+               WHERE query_id IN (SELECT vec_id FROM embeddings)),
+      added AS ({top_sql('rest', 3, _BY)})
+      SELECT query_id, collection, chunk_id, round(score, 6) + 0.0 AS score, 'dense' AS origin FROM dn
+      UNION ALL SELECT query_id, collection, chunk_id, 0.0, 'bm25' FROM added""")
+def bm25_fill_per_collection(t: Tables) -> DataFrame:
+    queries, index = _collection_vectors(t)
+    dense = rt.dense_topk(queries, index, 4, per_collection=True)
+    sparse = rt.bm25_topk(queries.drop("embedding"), collection_corpus(t), 7)
+    return rt.bm25_fill(dense, sparse, 3, ("query_id", "collection"), most_dense=4)
+
+
+# A variant's vector: the one numbered from its query and place.
+@BOOK.add("multi_query_dense", f"""
+      WITH {_EXPAND},
+      scored AS (SELECT v.query_id, v.variant, b.vec_id AS chunk_id,
+               round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+             FROM variants v JOIN embeddings a ON a.vec_id = v.query_id * 3 + v.variant CROSS JOIN embeddings b
+             QUALIFY row_number() OVER (PARTITION BY v.query_id, v.variant ORDER BY score DESC, chunk_id) <= 8),
+      best AS (SELECT query_id, chunk_id, max(score) AS score FROM scored GROUP BY ALL),
+      hits AS ({top_sql('best', 8)})
+      SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""")
+def multi_query_dense(t: Tables) -> DataFrame:
+    def retrieve(variants: DataFrame, k: int) -> DataFrame:
+        number = F.col("query_id.query_id") * 3 + F.col("query_id.variant")
+        vectors = t.embeddings.select(F.col("vec_id").alias("_n"), "embedding")
+        return rt.dense_topk(variants.withColumn("_n", number).join(vectors, "_n").drop("_n"), _index(t), k)
+
+    return rt.multi_query_topk(t.text_queries(), None, 8, retrieve=retrieve)
 
 
 # --- reranking --------------------------------------------------------------

@@ -11,6 +11,8 @@ from corpuskit.operators import embedding as emb
 from corpuskit.operators import evaluation as ev
 from corpuskit.operators import quality as ql
 from corpuskit.operators import retrieval as rt
+from corpuskit.session import fresh_path
+from corpuskit.sources.table import StoredTable
 from corpuskit.workload.common import Book, Tables
 
 BOOK = Book()
@@ -261,6 +263,48 @@ def l2_normalize(t: Tables) -> DataFrame:
         F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+# Writes to a stored table, read back: the table is written from one half of the vectors by label.
+def _stored_table(t: Tables) -> tuple[StoredTable, DataFrame]:
+    rows = t.vector_index().select(F.col("collection").cast("string"), "chunk_id", "embedding")
+    store = StoredTable(t.spark, fresh_path(t.spark, "vectors"), rows.schema, parts=8, buckets=4)
+    store.insert_ignore(rows.filter("collection < '5'"))
+    return store, rows
+
+
+def _read_back(store: StoredTable) -> DataFrame:
+    return store.read().select("collection", "chunk_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@BOOK.add("stored_insert", """
+      SELECT label::VARCHAR AS collection, vec_id AS chunk_id,
+             round(embedding[1]::DOUBLE * CASE WHEN label < 5 THEN 1 ELSE 2 END, 6) + 0.0 AS first FROM embeddings""")
+def stored_insert(t: Tables) -> DataFrame:
+    """All vectors are offered again, doubled: those that are there stay as they are."""
+    store, rows = _stored_table(t)
+    store.insert_ignore(rows.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float"))))
+    return _read_back(store)
+
+
+@BOOK.add("stored_update", """
+      SELECT label::VARCHAR AS collection, vec_id AS chunk_id,
+             round(embedding[1]::DOUBLE * CASE WHEN label > 2 THEN 2 ELSE 1 END, 6) + 0.0 AS first
+      FROM embeddings WHERE label < 5""")
+def stored_update(t: Tables) -> DataFrame:
+    store, rows = _stored_table(t)
+    store.update_by_id(rows.filter("collection > '2'").withColumn(
+        "embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float"))))
+    return _read_back(store)
+
+
+@BOOK.add("stored_delete", """
+      SELECT label::VARCHAR AS collection, vec_id AS chunk_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first
+      FROM embeddings WHERE label < 5 AND label <> 3""")
+def stored_delete(t: Tables) -> DataFrame:
+    store, rows = _stored_table(t)
+    store.delete_by_id(rows.filter("collection = '3' OR collection > '6'"))
+    return _read_back(store)
+
+
 # Damaged copies of the vectors: by id, one in five each is emptied, cut short,
 # given a NaN, given an infinity, or left alone.
 _DAMAGED = """

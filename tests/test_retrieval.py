@@ -16,10 +16,10 @@ def vectors(spark, n, name, seed, dims=8):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
-def test_query_blocks_equal_one_broadcast(spark, metric):
+def test_small_blocks_equal_one_block(spark, metric):
     q, x = vectors(spark, 30, "query_id", 1), vectors(spark, 60, "chunk_id", 2)
     a = rt.dense_topk(q, x, 5, metric)
-    b = rt.dense_topk(q, x, 5, metric, broadcast_numbers=120)
+    b = rt.dense_topk(q, x.repartition(5), 5, metric, block_rows=7)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     # The odd query has the odd row as its only neighbour.
     assert a.count() == 30 * 5 + 1
@@ -29,11 +29,30 @@ def test_per_collection_paths_agree(spark):
     q = vectors(spark, 20, "query_id", 1).withColumn("collections", F.array("collection", F.lit(1)))
     x = vectors(spark, 40, "chunk_id", 2)
     a = rt.dense_topk(q, x, 3, per_collection=True)
-    b = rt.dense_topk(q, x, 3, per_collection=True, broadcast_numbers=150)
+    b = rt.dense_topk(q, x, 3, per_collection=True, block_rows=6)
     key = lambda r: (r.query_id, r.chunk_id, r.collection, r.score, r["rank"])
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
 
 
+def test_the_driver_sees_no_query_vector(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def guarded(name, old=None):
+        def run(self, *args, **kwargs):
+            assert "embedding" not in self.columns and self.isEmpty()
+            return old(self, *args, **kwargs)
+
+        monkeypatch.setattr(DataFrame, name, run)
+
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        guarded(name)
+    guarded("toArrow", DataFrame.toArrow)
+    hits = rt.dense_topk(vectors(spark, 30, "query_id", 1), vectors(spark, 60, "chunk_id", 2), 5, block_rows=9)
+    plan = hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    hits.write.format("noop").mode("overwrite").save()
+
+
 def test_no_queries(spark):
     q = spark.createDataFrame([], "query_id long, embedding array<double>")
     assert rt.dense_topk(q, vectors(spark, 5, "chunk_id", 2), 3).count() == 0
@@ -49,6 +68,7 @@ def test_bm25_order_and_large_vocabulary_path(spark, monkeypatch):
     hits = rt.bm25_topk(q, corpus(spark), 5).orderBy("query_id", "rank").collect()
     assert [(h.query_id, h.chunk_id) for h in hits] == [(1, 1), (1, 2)]
     monkeypatch.setattr(rt, "few_terms", lambda *a, **k: False)
+    monkeypatch.setattr(rt.sp, "weights", lambda *a, **k: None)
     again = rt.bm25_topk(q, corpus(spark), 5).orderBy("query_id", "rank").collect()
     assert [(round(h.score, 9), h.chunk_id) for h in again] == [(round(h.score, 9), h.chunk_id) for h in hits]
 
@@ -146,3 +166,85 @@ def test_empty_filter_deletes_nothing_and_conflicts_are_ordered(spark):
     assert col.delete_by_filter(index, {"text": "x"}).count() == 1
     new = spark.createDataFrame([("b", 1, "late"), ("b", 1, "early")], "collection string, chunk_id int, text string")
     assert col.insert_ignore(index, new).filter("collection = 'b'").first().text == "early"
+
+
+def collections(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, range(40, 0, -1), k=rng.randint(0, 60))), f"c{i % 3}") for i in range(300)]
+    rows += [(300, None, "c0"), (301, "", "c1"), (302, "W1 W1 \u00c9 \u00e9", "c2")]
+    asked = [(i, " ".join(rng.choices(words + ["unseen"], k=rng.randint(1, 5))), ["c0", f"c{i % 3}", "nowhere"])
+             for i in range(12)] + [(12, "", ["c1"]), (13, "w1", []), (14, "w1", None), (15, "unseen", ["c2"])]
+    return (spark.createDataFrame(rows, "chunk_id long, text string, collection string"),
+            spark.createDataFrame(asked, "query_id long, text string, collections array<string>"))
+
+
+def rounded(hits):
+    return sorted((r.query_id, r.collection, r.chunk_id, round(r.score, 6), r["rank"]) for r in hits.collect())
+
+
+def test_counted_terms(spark):
+    docs, _ = collections(spark)
+    from collections import Counter
+
+    from corpuskit.operators.sparse import counted
+
+    texts = {r.chunk_id: (r.text or "").lower().split() for r in docs.collect()}
+    for r in counted(docs).collect():
+        assert dict(zip(r.terms, r.tfs)) == Counter(texts[r.chunk_id]) and r.doc_len == len(texts[r.chunk_id])
+
+
+def test_bm25_scan_equals_joins_by_collection(spark, monkeypatch):
+    docs, asked = collections(spark)
+    scan = rounded(rt.bm25_topk(asked, docs.repartition(5), 6))
+    assert scan == rounded(rt.bm25_topk(asked, docs, 6, postings=rt.bm25_index(docs)))
+    index = vectors(spark, 60, "chunk_id", 2).filter("chunk_id < 60").withColumn(
+        "collection", F.concat(F.lit("c"), (F.col("chunk_id") % 3).cast("string")))
+    both = asked.join(vectors(spark, 30, "query_id", 1).drop("collection"), "query_id")
+    found = rounded(rt.hybrid_topk(both, index, docs, 4))
+    monkeypatch.setattr(rt.sp, "weights", lambda *a, **k: None)
+    assert rounded(rt.hybrid_topk(both, index, docs, 4)) == found
+    assert {q for q, *_ in found} >= set(range(13))
+
+
+@pytest.mark.parametrize("cell, first", [(16, 1), (16, 3), (1000, 1)])
+def test_stored_postings_equal_all_scores(spark, tmp_path, cell, first):
+    from corpuskit.operators.postings import Postings
+
+    docs, asked = collections(spark)
+    store = Postings(spark, str(tmp_path / "index"), buckets=8, cell_chunks=cell)
+    store.append(docs.filter("chunk_id < 200").orderBy("chunk_id").coalesce(1))
+    store.append(docs.filter("chunk_id >= 200").orderBy(F.length("text")).coalesce(1))
+    want = rounded(rt.bm25_topk(asked, docs, 3, 1.7, 0.5))
+    assert rounded(store.topk(asked, 3, 1.7, 0.5, first)) == want
+    stats = {r.collection: (r.n_docs, r.avg_len) for r in store.stats().collect()}
+    assert stats == {r.collection: (r.n_docs, r.avg_len) for r in rt.bm25_stats(rt.bm25_index(docs)).collect()}
+    assert sorted(map(tuple, store.document_frequency().collect())) == sorted(
+        map(tuple, rt.document_frequency(rt.bm25_index(docs)).filter("term <> ''").collect()))
+    _, open_, skipped, _ = store.plan(asked, 3, 1.7, 0.5, first)
+    if cell == 16:
+        # Cells that cannot reach the third score are not read.
+        assert skipped.count() > 0 and open_.count() > 0
+
+
+def test_stored_postings_in_later_segments_alone(spark, tmp_path):
+    from corpuskit.operators.postings import Postings
+
+    store = Postings(spark, str(tmp_path / "index"), buckets=4)
+    for i in range(3):
+        store.append(spark.createDataFrame([(i, f"same words {'x' * i}")], "chunk_id long, text string"))
+    q = spark.createDataFrame([(1, "same xx")], "query_id long, text string")
+    assert [r.chunk_id for r in store.topk(q, 2).orderBy("rank").collect()] == [2, 0]
+
+
+def test_multi_query_with_a_retriever(spark):
+    q = spark.createDataFrame([(1, "find the cat now"), (2, " ")], "query_id long, text string")
+    asked = []
+
+    def retrieve(variants, k):
+        asked.extend(variants.collect())
+        return variants.select("query_id", F.col("query_id.variant").cast("long").alias("chunk_id"),
+                               (1.0 / (1 + F.col("query_id.variant"))).alias("score"))
+
+    hits = rt.multi_query_topk(q, None, 2, retrieve=retrieve).orderBy("rank").collect()
+    assert [(h.query_id, h.chunk_id) for h in hits] == [(1, 0), (1, 1)] and len(asked) == 3
