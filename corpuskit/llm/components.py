@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.rows import kept_table
+from corpuskit.llm.rows import kept_alone, kept_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def with_company(members: DataFrame) -> DataFrame:
     return members.join(leaders.filter("leader < _last").drop("_last"), "bucket")
 
 
-# Rounds in which the members of a bucket meet one pivot each, before what is left meets in pairs.
-PIVOT_ROUNDS = 3
+# Rounds in which every id meets one pivot, before what is left meets in pairs.
+PIVOT_ROUNDS = 4
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -55,15 +55,15 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
         F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
     merged = kept_table(components(between), "merged")
     alone = merged.select("id", F.col("id").alias("component")).join(found, "id", "left_anti")
-    return kept_table(found.unionByName(alone).join(merged.toDF("component", "_merged"), "component", "left").select(
-        "id", F.coalesce("_merged", "component").alias("component")), "found")
+    return found.unionByName(alone).join(merged.toDF("component", "_merged"), "component", "left").select(
+        "id", F.coalesce("_merged", "component").alias("component"))
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members with their component now, without the buckets that have become one."""
-    now = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = members.select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = now.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    return now.join(spans.filter("_low < _high").select("bucket"), "bucket")
+    return now.join(spans.filter("_low < _high").select("bucket"), "bucket").select("bucket", "id", "component")
 
 
 def grouped(
@@ -74,52 +74,44 @@ def grouped(
 
     ``members`` holds (``bucket``, ``id``), ``ids`` one row per ``id`` with its
     traits.  First each id is tried against the leader of a bucket.  Then, for
-    some rounds, every bucket names the first member that no pivot has joined its
-    next pivot, and the others without a pivot are tried against it.  Ids that
-    this joins need no further look at one another, so afterwards only pairs
-    from different components meet that have not met.  ``compatible(x, y)`` is a
-    necessary condition over the traits, whose names have these prefixes; it
-    decides inside the join, so what it refuses is never a row.  ``verify`` keeps
-    the pairs (a, b) that hold.  Every similar pair of a bucket therefore ends in
-    one component, directly or through others.
+    some rounds, each bucket names one of its members by lot, and each id is tried
+    against one of those from another component.  Ids that this joins need no
+    further look at one another, so afterwards only pairs from different
+    components meet.  ``compatible(x, y)`` is a necessary condition over the
+    traits, whose names have these prefixes; it decides inside the join, so what
+    it refuses is never a row.  ``verify`` keeps the pairs (a, b) that hold.  Every
+    similar pair of a bucket therefore ends in one component, directly or through
+    others.
     """
+    spark = members.sparkSession
     members = kept_table(with_company(members), "buckets")
     traits = [c for c in ids.columns if c != "id"]
 
     def side(df: DataFrame, id_: str, name: str) -> DataFrame:
         return df.select(F.col(id_).alias(name), *[F.col(t).alias(f"{name}_{t}") for t in traits])
 
-    def tried(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that hold."""
+    def compatible_pairs(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(ids, "id", "a"), "a").join(side(ids, "id", "b"), "b")
-        return kept_table(verify(both.filter(compatible("a", "b")).select("a", "b")), "verified")
-
-    stars = members.filter("id != leader").groupBy("id").agg(F.min("leader").alias("leader"))
-    found = kept_table(components(tried(stars.toDF("b", "a"))), "found")
-    # ``met``: the round whose pivot the member belongs to; ``pivot``: whether it is that pivot.
-    members = kept_table(_open(members.select(
-        "bucket", "id", F.lit(None).cast("int").alias("met"), F.lit(False).alias("pivot")), found), "open")
-    for turn in range(1, rounds + 1):
-        waiting = members.filter(F.col("met").isNull())
-        pivots = waiting.groupBy("bucket").agg(F.min("id").alias("a"))
-        pivots = kept_table(pivots.join(
-            members.select("bucket", F.col("id").alias("a"), F.col("component").alias("_own")), ["bucket", "a"]), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = waiting.join(pivots, "bucket").filter(F.col("component") != F.col("_own"))
-        links = tried(pairs.select("a", F.col("id").alias("b")).distinct())
+        return both.filter(compatible("a", "b")).select("a", "b")
+
+    stars = members.filter("id != leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
+    first = kept_alone(spark, lambda: verify(compatible_pairs(stars)), "verified")
+    found = kept_alone(spark, lambda: components(first), "found")
+    members = kept_alone(spark, lambda: _open(members, found), "open")
+    for turn in range(rounds):
+        if members.isEmpty():
+            return found
+        lots = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("_p"))
+        asked = members.join(lots, "bucket").filter(F.col("component") != F.col("_p.component")).select(
+            F.col("_p.id").alias("a"), F.col("id").alias("b")).distinct()
+        # Of the pivots that an id could be like, one.
+        asked = compatible_pairs(asked).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a"))
+        links = kept_alone(spark, lambda: verify(asked.select("a", "b")), "verified")  # noqa: B023
         if links.isEmpty():
-            members = members.join(pivots.select("bucket", "a", "_own"), "bucket", "left")
-        else:
-            found = _joined(found, links)
-            members = _open(members.drop("component"), found).join(
-                pivots.select("bucket", "a").join(found.toDF("a", "_now"), "a", "left").select(
-                    "bucket", "a", F.coalesce("_now", "a").alias("_own")), "bucket", "left")
-        members = kept_table(members.select(
-            "bucket", "id", "component",
-            F.coalesce("met", F.when(F.col("component") == F.col("_own"), F.lit(turn))).alias("met"),
-            (F.col("pivot") | F.coalesce(F.col("met").isNull() & (F.col("id") == F.col("a")), F.lit(False))).alias("pivot"),
-        ), "open")
+            break
+        before, open_ = found, members
+        found = kept_alone(spark, lambda: _joined(before, links), "found")  # noqa: B023
+        members = kept_alone(spark, lambda: _open(open_, found), "open")  # noqa: B023
     if members.isEmpty():
         return found
     members = kept_table(members.join(ids, "id"), "rest")
@@ -127,13 +119,10 @@ def grouped(
     def renamed(name: str) -> DataFrame:
         return members.select(
             "bucket", F.col("id").alias(name), F.col("component").alias(f"{name}_component"),
-            F.coalesce("met", F.lit(rounds + 1)).alias(f"{name}_met"), F.col("pivot").alias(f"{name}_pivot"),
             *[F.col(t).alias(f"{name}_{t}") for t in traits])
 
     a, b = renamed("a"), renamed("b").withColumnRenamed("bucket", "_bucket")
-    # A pivot has met all that had no pivot in its round.
-    met = (F.col("a_pivot") & (F.col("a_met") <= F.col("b_met"))) | (F.col("b_pivot") & (F.col("b_met") <= F.col("a_met")))
     on = (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (
-        F.col("a_component") != F.col("b_component")) & ~met & compatible("a", "b")
-    links = kept_table(verify(a.join(b, on).select("a", "b").distinct()), "verified")
-    return found if links.isEmpty() else _joined(found, links)
+        F.col("a_component") != F.col("b_component")) & compatible("a", "b")
+    links = kept_alone(spark, lambda: verify(a.join(b, on).select("a", "b").distinct()), "verified")
+    return found if links.isEmpty() else kept_alone(spark, lambda: _joined(found, links), "found")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +13,35 @@ from corpuskit.session import fresh_path
 ROW = "_row"
 
 
+_WRITTEN = threading.local()
+
+
+def _written() -> list[str]:
+    """Paths of the tables that this thread has kept and not removed, oldest first."""
+    if not hasattr(_WRITTEN, "paths"):
+        _WRITTEN.paths = []
+    return _WRITTEN.paths
+
+
 def kept_table(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder, read again: computed once, whatever is lost."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written().append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, as a table; the tables it kept on the way are removed when that one is written."""
+    first = len(_written())
+    out = kept_table(make(), label)
+    for path in _written()[first:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written()[first:-1]
+    return out
+
+
 # Rows of a few numbers that are broadcast at most: some tens of MB.
 BROADCAST_ROWS = 500_000
 
