@@ -10,8 +10,6 @@ and then dropped, so the kept terms are exact.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +22,9 @@ from pyspark.sql import functions as F
 from corpuskit.llm.rows import kept_table, small_batches, whole_text
 from corpuskit.session import fresh_path
 
-# UTF-8 bytes of letters A-Z and of all characters beyond ASCII, after lower-casing.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+# What becomes of a byte of UTF-8 text: A-Z lower-cased, letters and bytes beyond ASCII kept, the rest a blank.
+TERM_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 # Ends a complete term; no term holds it.
 END = b"\0"
 FIRST_LEVEL = 5
@@ -33,12 +32,12 @@ FIRST_LEVEL = 5
 FILTER_BITS = 24
 PROBES = 3
 # Partial rows that a task sums up before it hands them on.
-PARTIAL_ROWS = 500_000
+PARTIAL_ROWS = 200_000
 # Sources whose distances one group of a task holds, and term rows that go to one group.
 BLOCK = 512
 GROUP_ROWS = 500_000
 # Bytes of text whose documents share one bag.
-BAG_BYTES = 2_000_000
+BAG_BYTES = 1_500_000
 BAG = ("langs array<string>, sources array<string>, groups binary, terms array<binary>, docs binary, codes binary, "
        "times binary")
 
@@ -48,27 +47,28 @@ def _bag(langs: list[str], sources: list[str], texts: list[bytes]) -> dict:
     numbers: dict[tuple, int] = {}
     groups = [numbers.setdefault(pair, len(numbers)) for pair in zip(langs, sources)]
     flat: list[bytes] = []
-    times: list[int] = []
     sizes = []
     for text in texts:
-        own = Counter(TERM.findall(text.lower()))
-        flat += own.keys()
-        times += own.values()
+        own = text.translate(TERM_BYTES).split()
+        flat += own
         sizes.append(len(own))
-    terms = sorted(set(flat))
-    index = {term: at for at, term in enumerate(terms)}
-    codes = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-    docs = np.repeat(np.arange(len(texts)), sizes)
-    order = np.argsort(docs * (len(terms) + 1) + codes)
+    coded = pa.array(flat, pa.binary()).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    # Documents, and their terms, in order.
+    places, times = np.unique(
+        np.repeat(np.arange(len(texts)), sizes) * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
+    docs, codes = np.divmod(places, max(1, len(order)))
     return {
         "langs": [x for x, _ in numbers], "sources": [x for _, x in numbers],
-        "groups": np.array(groups, "<i4").tobytes(), "terms": terms, "docs": docs.astype("<i4").tobytes(),
-        "codes": codes[order].astype("<i4").tobytes(), "times": np.array(times, "<i4")[order].tobytes()}
+        "groups": np.array(groups, "<i4").tobytes(), "terms": coded.dictionary.take(order), "docs": docs.astype("<i4").tobytes(),
+        "codes": codes.astype("<i4").tobytes(), "times": times.astype("<i4").tobytes()}
 
 
 def term_bags(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Terms of all documents, some documents in one row; kept as a table that every later pass reads."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "4m")
     kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary()), *[pa.binary()] * 3]
     names = [field.split()[0] for field in BAG.split(", ")]
 
@@ -82,7 +82,9 @@ def term_bags(docs: DataFrame, lang: str = "lang", source: str = "source", text:
                     held.append(value)
                 if size >= BAG_BYTES or at == batch.num_rows - 1:
                     found = _bag(*waiting)
-                    yield pa.RecordBatch.from_arrays([pa.array([found[n]], k) for n, k in zip(names, kinds)], names=names)
+                    terms = pa.ListArray.from_arrays(pa.array([0, len(found["terms"])], pa.int32()), found["terms"])
+                    yield pa.RecordBatch.from_arrays(
+                        [terms if n == "terms" else pa.array([found[n]], k) for n, k in zip(names, kinds)], names=names)
                     waiting, size = ([], [], []), 0
 
     rows = docs.select(whole_text(lang), whole_text(source), F.encode(whole_text(text), "UTF-8")).mapInArrow(bags, BAG)
@@ -191,7 +193,7 @@ def _read_bags(batch: pa.RecordBatch) -> Iterator[_Bag]:
 
 
 # Numbers up to this are told apart by a table of all of them instead of by sorting.
-MOST_DIRECT = 8_000_000
+MOST_DIRECT = 4_000_000
 
 
 def _distinct(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
