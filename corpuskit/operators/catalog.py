@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text as tx
 from corpuskit.operators.ordered import top_rows, with_neighbour
 from corpuskit.operators.skew import join_copies
+from corpuskit.session import kept_table
 
 
 # --- reports ----------------------------------------------------------------
@@ -32,13 +35,44 @@ def list_reports(
     return reports
 
 
-def page_of_rows(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+# Rows up to this offset are found by keeping the first ones of each task; beyond it the order is laid out.
+NEAR_ROWS = 10_000
+
+
+def page_of_rows(
+    df: DataFrame, order: Sequence[Column], page: int, size: int, near_rows: int = NEAR_ROWS,
+) -> DataFrame:
     """One page (from 1) in a total order, with ``total`` = rows over all pages."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    first = (page - 1) * size
+    if first + size <= near_rows:
+        rows = df.orderBy(*order).offset(first).limit(size)
+    else:
+        rows = rows_between(df, order, first, first + size)
     return rows.withColumn("total", total)
 
 
+def rows_between(df: DataFrame, order: Sequence[Column], first: int, last: int) -> DataFrame:
+    """Rows number ``first`` to ``last`` - 1 (from 0) of a total order, however deep.
+
+    The rows are dealt by ranges of the order and written in order; the partitions'
+    counts, one number each, say in which of them the wanted rows lie, and only
+    those are numbered.
+    """
+    laid = kept_table(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
+        "ordered")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2 ** 33 - 1))
+    wanted, start = [], 0
+    for number, n in sorted(laid.groupBy(part.alias("part")).count().collect()):
+        low, high = max(first - start, 0), min(last - start, n)
+        if low < high:
+            wanted.append((part == number) & (at >= low) & (at < high))
+        start += n
+    keep = reduce(or_, wanted, F.lit(False))
+    return laid.filter(keep).orderBy("_at").drop("_at")
+
+
 def with_versions(reports: DataFrame, versions: DataFrame) -> DataFrame:
     """Each report with its versions as rows; reports without versions stay.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
-from corpuskit.operators.ordered import row_position, running_total
+from corpuskit.operators.ordered import ordered_text, row_position, running_total
 from corpuskit.operators.skew import join_copies
 
 # --- fixed values -----------------------------------------------------------
@@ -387,11 +387,9 @@ def history_pieces(messages: DataFrame, max_messages: int = MAX_MESSAGES) -> Dat
 def history_summary(messages: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFrame:
     """One row per session with older messages: session_id, text, token_count, message_count.
 
-    The text joins the pieces of ``history_pieces``; take those themselves where
-    a session is too long for one text.
+    The pieces of ``history_pieces`` in order.  A long session is joined lot by
+    lot in many tasks; only its lots meet in one.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("number", "piece")))
-    return history_pieces(messages, max_messages).groupBy("session_id").agg(
-        F.array_join(F.transform(ordered, lambda p: p["piece"]), " | ").alias("text"),
-        F.sum(F.floor(F.length("piece") / 4)).alias("token_count"),
-        F.count(F.lit(1)).alias("message_count"))
+    return ordered_text(
+        history_pieces(messages, max_messages), ["session_id"], "number", "piece", " | ", "text",
+        {"token_count": F.floor(F.length("piece") / 4), "message_count": F.lit(1)})

@@ -83,6 +83,58 @@ def row_position(
     return running_total(df, keys, order, F.lit(1).cast("long"), out, descending, block)
 
 
+def earlier_values(
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, out: str, block: Column | None = None,
+) -> DataFrame:
+    """Add ``out``: the values of all earlier rows of the group, in their order.
+
+    Every block collects its own; what the blocks ahead hold is one list per
+    block, carried as it is.
+    """
+    names, keys = _order(order), list(keys)
+    blocked = _blocked(df, names, block)
+    inside = (
+        Window.partitionBy(*keys, "_block").orderBy(*names)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    lists = blocked.groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct(*names, F.col(value).alias("_value")))).alias("_rows"))
+    carry = (
+        lists.withColumn("_rows", F.transform("_rows", lambda r: r["_value"]))
+        .withColumn("_carry", F.flatten(F.collect_list("_rows").over(across)))
+        .filter(F.size("_carry") > 0).select(*keys, "_block", "_carry")
+    )
+    none = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
+    return (
+        blocked.withColumn("_own", F.collect_list(value).over(inside))
+        .join(carry, [*keys, "_block"], "left")
+        .withColumn(out, F.concat(F.coalesce("_carry", none), "_own"))
+        .select(*df.columns, out)
+    )
+
+
+def ordered_text(
+    df: DataFrame, keys: Sequence[str], position: str, piece: str, separator: str, out: str,
+    sums: dict[str, Column] | None = None, width: int = 1000,
+) -> DataFrame:
+    """keys, ``out``, sums: the pieces of a group joined by position.
+
+    ``width`` positions are joined at a time, each lot in a task of its own, and
+    then the lots; what a group's task sees is one text per lot.
+    """
+    keys, sums = list(keys), sums or {}
+
+    def joined(rows: DataFrame, by: list[str], at: str, text: str, extra: list[Column]) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(text).alias("text"))))
+        return rows.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), separator).alias(out), *extra)
+
+    lots = joined(
+        df.withColumn("_lot", F.floor(F.col(position) / width)), [*keys, "_lot"], position, piece,
+        [F.sum(c).alias(name) for name, c in sums.items()])
+    return joined(lots, keys, "_lot", out, [F.sum(name).alias(name) for name in sums])
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
 from corpuskit.functions import vectors as vx
-from corpuskit.operators.ordered import row_position, with_neighbour
+from corpuskit.operators.ordered import earlier_values, with_neighbour
 from corpuskit.operators.skew import join_copies
 
 
@@ -72,7 +72,9 @@ def overlap_findings(chunks: DataFrame) -> DataFrame:
 def duplicate_chunks(chunks: DataFrame) -> DataFrame:
     """Repeats of an earlier chunk text of the document.
 
-    doc_id, chunk_index, duplicate_of (first index), earlier_copies.
+    doc_id, chunk_index, duplicate_of (first index), earlier_copies, earlier (their
+    indices in order).  A text with n copies gives n * (n - 1) / 2 indices in all;
+    ``earlier_copies`` is their number where the list is not wanted.
     """
     keyed = chunks.select("doc_id", "chunk_index", F.sha2("text", 256).alias("text_key"))
     keys = ["doc_id", "text_key"]
@@ -81,9 +83,9 @@ def duplicate_chunks(chunks: DataFrame) -> DataFrame:
     ).filter(F.col("copies") > 1)
     repeated = join_copies(keyed, groups.drop("copies"), keys, groups)
     return (
-        row_position(repeated, keys, "chunk_index", "_pos")
+        earlier_values(repeated, keys, "chunk_index", "chunk_index", "earlier")
         .filter(F.col("chunk_index") > F.col("duplicate_of"))
-        .select("doc_id", "chunk_index", "duplicate_of", (F.col("_pos") - 1).alias("earlier_copies"))
+        .select("doc_id", "chunk_index", "duplicate_of", F.size("earlier").cast("long").alias("earlier_copies"), "earlier")
     )
 
 

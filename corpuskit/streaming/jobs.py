@@ -101,15 +101,80 @@ def write_rows(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
         .option("checkpointLocation", checkpoint), trigger)
 
 
-def status_table(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+# Batches after which the change log of statuses is merged.
+MERGE_EVERY = 20
+
+
+def _finished(spark, path: str, name: str) -> list[int]:
+    """Numbers n of the folders ``name``=n below the path that were written to their end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    found = [f.getPath() for f in files.listStatus(where)]
+    done = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{name}="))
+
+
+def _drop(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each report the row of the newest batch, pre-aggregated map-side."""
+    newest = rows.groupBy("report_id").agg(F.max(F.struct("number", "status", "ts", "seq")).alias("s"))
+    return newest.select("report_id", "s.*")
+
+
+def _log(spark, path: str, last: int | None = None) -> DataFrame | None:
+    """The newest merged folder (up to batch ``last``) and the batches after it; None if there is nothing."""
+    merged = [n for n in _finished(spark, f"{path}/merged", "upto") if last is None or n <= last]
+    since = merged[-1] if merged else -1
+    tail = [n for n in _finished(spark, f"{path}/tail", "batch") if n > since and (last is None or n <= last)]
+    folders = [f"{path}/merged/upto={since}"] * bool(merged) + [f"{path}/tail/batch={n}" for n in tail]
+    return spark.read.parquet(*folders).select(
+        "report_id", "number", "status", "ts", "seq") if folders else None
+
+
+def merge_status(spark, path: str, upto: int) -> None:
+    """One folder with the newest row of every report up to a batch, in place of those before it.
+
+    The folders it replaces go only when it is complete, so that a merge that was
+    broken off, or is repeated, loses nothing.
+    """
+    if upto not in _finished(spark, f"{path}/merged", "upto"):
+        rows = _log(spark, path, upto)
+        if rows is None:
+            return
+        _newest(rows).write.mode("overwrite").parquet(f"{path}/merged/upto={upto}")
+    for n in _finished(spark, f"{path}/tail", "batch"):
+        if n <= upto:
+            _drop(spark, f"{path}/tail/batch={n}")
+    for n in _finished(spark, f"{path}/merged", "upto"):
+        if n < upto:
+            _drop(spark, f"{path}/merged/upto={n}")
+
+
+def status_table(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, merge_every: int = MERGE_EVERY,
+) -> StreamingQuery:
     """Latest status per report.  State holds one row per report; every batch
-    writes the reports it changed below ``path`` as ``batch=<n>``, and a replayed
-    batch overwrites its own folder."""
+    writes the reports it changed below ``path`` as ``tail/batch=<n>``, and a
+    replayed batch overwrites its own folder.  After every ``merge_every`` batches
+    the log is merged, so a reader meets at most one row per report and the
+    changes of so many batches.  What a batch writes again after its merge is not
+    read, and goes with the next merge."""
     latest = events.groupBy("report_id").agg(F.max(F.struct("ts", "seq", "status")).alias("s"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("report_id", F.col("s.status").alias("status"), F.col("s.ts").alias("ts"),
-                     F.col("s.seq").alias("seq")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.select(
+            "report_id", F.lit(batch_id).cast("long").alias("number"), F.col("s.status").alias("status"),
+            F.col("s.ts").alias("ts"), F.col("s.seq").alias("seq"),
+        ).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            merge_status(spark, path, batch_id)
 
     return _start(
         latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
@@ -117,6 +182,7 @@ def status_table(events: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 def read_status(spark, path: str) -> DataFrame:
     """The current table: of each report the row of the newest batch."""
-    rows = spark.read.parquet(path).groupBy("report_id").agg(
-        F.max(F.struct("batch", "status", "ts")).alias("s"))
-    return rows.select("report_id", "s.status", "s.ts")
+    rows = _log(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], "report_id long, status string, ts timestamp")
+    return _newest(rows).select("report_id", "status", "ts")

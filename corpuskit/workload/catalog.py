@@ -57,6 +57,18 @@ def report_page(t: Tables) -> DataFrame:
     return cat.page_of_rows(found, [F.col("created_at").desc(), F.col("report_id").asc()], 3, 20)
 
 
+@BOOK.add("report_deep_page", f"""
+      WITH {_REPORTS}
+      SELECT report_id, created_at, (SELECT count(*) FROM reports) AS total
+      FROM reports ORDER BY created_at DESC, report_id LIMIT 50
+      OFFSET (SELECT (count(*) // 2 // 50) * 50 FROM reports)""")
+def report_deep_page(t: Tables) -> DataFrame:
+    """The page in the middle, found by partition counts."""
+    found = reports(t).select("report_id", "created_at")
+    middle = found.count() // 2 // 50
+    return cat.page_of_rows(found, [F.col("created_at").desc(), F.col("report_id").asc()], middle + 1, 50, near_rows=0)
+
+
 @BOOK.add("report_versions", f"""
       WITH {_REPORTS}
       SELECT r.report_id, r.status, v.version_number::BIGINT AS version_number, v.checksum

@@ -168,15 +168,19 @@ def _sentences(t: Tables) -> DataFrame:
 
 _DUP = """
       dup AS (SELECT doc_id, chunk_index, min(chunk_index) OVER w AS duplicate_of,
-                row_number() OVER (PARTITION BY doc_id, text ORDER BY chunk_index) - 1 AS earlier_copies
+                row_number() OVER (PARTITION BY doc_id, text ORDER BY chunk_index) - 1 AS earlier_copies,
+                list(chunk_index) OVER (PARTITION BY doc_id, text ORDER BY chunk_index
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
               FROM placed WINDOW w AS (PARTITION BY doc_id, text))"""
 
 
 @BOOK.add("duplicate_chunks", f"""
       WITH {_SENT}, {_DUP}
-      SELECT doc_id, chunk_index, duplicate_of, earlier_copies FROM dup WHERE earlier_copies > 0""")
+      SELECT doc_id, chunk_index, duplicate_of, earlier_copies, array_to_string(earlier, ',') AS earlier
+      FROM dup WHERE earlier_copies > 0""")
 def duplicate_chunks(t: Tables) -> DataFrame:
-    return ql.duplicate_chunks(_sentences(t))
+    found = ql.duplicate_chunks(_sentences(t))
+    return found.withColumn("earlier", F.concat_ws(",", F.transform("earlier", lambda i: i.cast("string"))))
 
 
 _FINDINGS = rf"""
