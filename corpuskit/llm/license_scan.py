@@ -67,18 +67,33 @@ def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> Dat
         F.xxhash64("w0", "w1", "w2"))).drop("w0", "w1", "w2")
 
 
+def _in_order(hits: Column) -> Column:
+    """Places of the template that a span has in the template's order, each once.
+
+    Going through the span, a place counts if it lies behind all places before it.
+    """
+    return F.aggregate(
+        F.sort_array(hits), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")),
+        lambda acc, hit: F.struct(
+            F.greatest(acc["last"], hit["place"]).alias("last"),
+            (acc["n"] + (hit["place"] > acc["last"]).cast("int")).alias("n")),
+        lambda acc: acc["n"])
+
+
 def placements(rolled: DataFrame, keys: list[str], grams: DataFrame) -> DataFrame:
     """Placements of templates: keys, template, label, base, ``coverage``, ``start``, ``end``.
 
     ``rolled`` holds a ``position`` and a ``hash`` per row; a row without a hash
-    stands for its document and comes out once without a template.
+    stands for its document and comes out once without a template.  Neighbouring
+    diagonals are one span, which is verified: only places that follow one another
+    as in the template count, so a place that several diagonals hit counts once.
     """
     grams = grams.withColumnRenamed("hash", "_gram")
     hits = rolled.join(F.broadcast(grams), F.col("hash") == F.col("_gram"), "left")
     hits = hits.filter(F.col("template").isNotNull() | F.col("hash").isNull())
     votes = hits.groupBy(
         *keys, "template", "label", "base", "k", "grams", (F.col("position") - F.col("place")).alias("diagonal")
-    ).agg(F.countDistinct("place").alias("votes"), F.min("position").alias("start"),
+    ).agg(F.collect_list(F.struct("position", "place")).alias("hits"), F.min("position").alias("start"),
           (F.max("position") + F.max("k")).alias("end"))
     order = Window.partitionBy(*keys, "template").orderBy("diagonal")
     # A whole phrase stands on one diagonal; only notices are merged.
@@ -86,8 +101,9 @@ def placements(rolled: DataFrame, keys: list[str], grams: DataFrame) -> DataFram
         F.col("base"), 0).otherwise(NEAR), F.lit(True))
     votes = votes.withColumn("_island", F.sum(apart.cast("int")).over(order))
     return votes.groupBy(*keys, "template", "label", "base", "grams", "_island").agg(
-        F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end")
-    ).withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).drop("_island", "votes", "grams")
+        _in_order(F.flatten(F.collect_list("hits"))).alias("votes"), F.min("start").alias("start"),
+        F.max("end").alias("end")
+    ).withColumn("coverage", F.col("votes") / F.col("grams")).drop("_island", "votes", "grams")
 
 
 def _joined(labels: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.settle import settle
-from corpuskit.llm.rows import packed, unpacked, whole_text
+from corpuskit.llm.rows import kept_table, packed, unpacked, whole_text
+from corpuskit.operators.skew import join_copies
 
 # Kind, pattern, the group that holds the value, its smallest length.
 BASE = (
@@ -66,52 +67,69 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     return unpacked(df, docs, "secrets")
 
 
+# From so many owners on, or documents of whatever owner, a value is an example; from so many on it is shared.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
+SHARED_OWNERS, SHARED_REPOSITORIES = 2, 3
+# Occurrences from which on a value is dealt out over tasks where they meet its counts, and how many such values at most.
+HOT_ROWS = 1_000
+HOT_VALUES = 100_000
+
+
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """Per value hash: distinct ``owners`` and ``repositories``, and ``verdict``.
+    """Per value hash: distinct ``owners`` and ``repositories``, ``copies`` (occurrences) and ``verdict``.
 
-    A value of one owner is ``live``; one that three owners or more share is an
-    ``example``; two owners are ``shared``.  A null owner or repository counts
-    as one of its own.
+    A value of many owners, or copied into many repositories of one, is an
+    ``example``; one of a few is ``shared``; the rest is ``live``.  A null owner or
+    repository counts as one of its own.
     """
     named = found.select(
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repository"),
         F.explode(F.transform("secrets", lambda x: F.xxhash64(x["value"]))).alias("value_hash"))
     # One row per (value, owner) before the value alone is the key.
-    by_repository = named.groupBy("value_hash", "_owner", "_repository").agg(F.lit(1).alias("_one"))
-    by_owner = by_repository.groupBy("value_hash", "_owner").agg(F.count("*").alias("repositories"))
+    by_repository = named.groupBy("value_hash", "_owner", "_repository").agg(F.count("*").alias("copies"))
+    by_owner = by_repository.groupBy("value_hash", "_owner").agg(
+        F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
     counts = by_owner.groupBy("value_hash").agg(
-        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    return counts.withColumn(
-        "verdict", F.when(F.col("owners") >= 3, "example").when(F.col("owners") == 2, "shared").otherwise("live"))
+        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
+
+    def many(owners: int, repositories: int):
+        return (F.col("owners") >= owners) | (F.col("repositories") >= repositories)
+
+    return counts.withColumn("verdict", F.when(many(EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES), "example").when(
+        many(SHARED_OWNERS, SHARED_REPOSITORIES), "shared").otherwise("live"))
 
 
 def secret_scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id",
 ) -> DataFrame:
-    """Spans of each document and how widely their values are owned.
-
-    Adds ``secrets``, ``n_live``, ``n_shared``, ``n_example``.  Documents that
-    hold secrets meet the ownership counts by value hash; all others skip that
-    join.  Rows with an equal key and equal spans are told apart by position.
+    """Spans of each row and how widely their values are owned.
+
+    Returns the key, ``secrets``, ``uses`` (for each span its ``owners``,
+    ``repositories`` and ``verdict``), ``n_live``, ``n_shared``, ``n_example``.
+    Texts are scanned once.  Rows that hold secrets meet the ownership counts by
+    value hash; all others skip that join.  Rows are told apart by number, so
+    repeated rows and null keys are rows like others, and other columns of the
+    input are not looked at.
     """
-    found = find_secrets(docs.select(*dict.fromkeys([key, text, owner, repository])), text)
-    found = found.select(*dict.fromkeys([key, owner, repository]), "secrets")
-    counts = ownership(found, owner, repository)
-    hits = found.filter(F.size("secrets") > 0).select(
-        F.col(key).alias("_key"), "secrets",
-        F.explode(F.transform("secrets", lambda x: F.xxhash64(x["value"]))).alias("value_hash"))
-    # The copies of a row share its spans, so their joint counts are cut back by n.
-    judged = hits.join(counts, "value_hash").groupBy("_key", "secrets").agg(
-        *[F.count(F.when(F.col("verdict") == v, 1)).alias(f"_{v}") for v in ("live", "shared", "example")],
-        F.count("*").alias("_all"))
-    share = F.size("secrets") / F.col("_all")
-    judged = judged.select(
-        "_key", F.col("secrets").alias("_spans"),
-        *[F.round(F.col(f"_{v}") * share).cast("long").alias(f"n_{v}") for v in ("live", "shared", "example")])
-    out = found.select(F.col(key), "secrets")
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("secrets") == F.col("_spans"))
-    joined = out.join(judged, on, "left")
-    return joined.select(
-        key, "secrets", *[F.coalesce(f"n_{v}", F.lit(0)).cast("long").alias(f"n_{v}")
-                          for v in ("live", "shared", "example")])
+    named = docs.select(
+        F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(repository).alias("_repository"),
+        F.col(text).alias("_text"))
+    found = find_secrets(named, "_text").drop("_text").withColumn("_uid", F.monotonically_increasing_id())
+    found = kept_table(found, "secrets")
+    with_any = found.filter(F.size("secrets") > 0)
+    counts = kept_table(ownership(with_any, "_owner", "_repository"), "owned")
+    hits = with_any.select("_uid", F.posexplode(F.transform(
+        "secrets", lambda x: F.xxhash64(x["value"]))).alias("_at", "value_hash"))
+    judged = join_copies(
+        hits, counts.drop("copies"), ["value_hash"], counts.select("value_hash", "copies"),
+        max(HOT_ROWS, with_any.count() // HOT_VALUES))
+    judged = judged.groupBy("_uid").agg(F.sort_array(F.collect_list(
+        F.struct("_at", "owners", "repositories", "verdict"))).alias("_uses"))
+    uses = F.transform(
+        F.coalesce("_uses", F.array().cast("array<struct<_at:int,owners:bigint,repositories:bigint,verdict:string>>")),
+        lambda u: F.struct(u["owners"].alias("owners"), u["repositories"].alias("repositories"), u["verdict"].alias("verdict")))
+    return found.join(judged, "_uid", "left").select(
+        F.col("_key").alias(key), "secrets", uses.alias("uses")).select(
+        "*", *[F.size(F.filter("uses", lambda u: u["verdict"] == v)).cast("long").alias(f"n_{v}")  # noqa: B023
+               for v in ("live", "shared", "example")])

@@ -90,7 +90,9 @@ def _(t):
         "doc_id",
         *[F.size(_of(k)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(_digest(kinds), 256).alias("base_sha256"), _digest(None).alias("spans"),
-        "n_live", "n_shared", "n_example")
+        "n_live", "n_shared", "n_example",
+        *[F.array_join(F.transform("uses", lambda u: u[c].cast("string")), ",").alias(c)  # noqa: B023
+          for c in ("owners", "repositories")])
 
 
 @BOOK.add("op4_best_fit_packing", as_is=("piece",))
@@ -165,18 +167,23 @@ rolled AS (
   SELECT doc_id, k, p - 1 AS position, w[p:p + k - 1] AS gram
   FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS p
         FROM worded, (SELECT unnest([2, 3]) AS k))),
-votes AS (
-  SELECT doc_id, template, label, base, g.k, grams, position - place AS diagonal,
-    count(DISTINCT place) AS votes, min(position) AS start
-  FROM rolled r JOIN grams g ON r.k = g.k AND r.gram = g.gram GROUP BY ALL),
+hits AS (
+  SELECT doc_id, template, label, base, grams, place, position, position - place AS diagonal
+  FROM rolled r JOIN grams g ON r.k = g.k AND r.gram = g.gram),
 marked AS (
-  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal)
-    > CASE WHEN base THEN 0 ELSE 2 END, true)::INT AS apart FROM votes),
+  SELECT doc_id, template, diagonal, coalesce(diagonal - lag(diagonal) OVER (
+    PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN any_value(base) THEN 0 ELSE 2 END, true)::INT AS apart
+  FROM hits GROUP BY doc_id, template, diagonal),
 islands AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM marked),
+-- Through a span in order: places behind all places before them.
+ordered AS (
+  SELECT *, place > coalesce(max(place) OVER (PARTITION BY doc_id, template, island ORDER BY position, place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS follows
+  FROM hits JOIN islands USING (doc_id, template, diagonal)),
 placed AS (
-  SELECT doc_id, template, label, base, least(1.0, sum(votes) / any_value(grams)) AS coverage, min(start) AS start
-  FROM islands GROUP BY doc_id, template, label, base, island),
+  SELECT doc_id, template, label, base, count(*) FILTER (follows) / any_value(grams) AS coverage, min(position) AS start
+  FROM ordered GROUP BY doc_id, template, label, base, island),
 scored AS (
   SELECT doc_id, count(*) FILTER (base AND coverage = 1) AS n_base,
     min(start) FILTER (base AND coverage = 1) AS first_word, max(start) FILTER (base AND coverage = 1) AS last_word,

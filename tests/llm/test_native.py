@@ -154,3 +154,14 @@ def test_ownership(spark):
     assert secret_scan(docs).count() == 7
     assert secret_scan(awkward(spark)).count() == awkward(spark).count()
     assert secret_scan(nothing(spark)).count() == 0
+
+
+def test_ownership_within_one_source(spark):
+    """Copied through many documents of one source a value is no live one."""
+    rows = [(i, "password=copied12", "hot") for i in range(50)] + [(60, "password=only1234", "hot"), (61, "password=twice123", "hot"),
+            (62, "password=twice123 password=only2345", "hot"), (62, "password=twice123 password=only2345", "hot")]
+    out = {r.doc_id: ((r.n_live, r.n_shared, r.n_example), [(u.owners, u.repositories) for u in r.uses])
+           for r in secret_scan(table(spark, rows)).collect()}
+    assert all(out[i] == ((0, 0, 1), [(1, 50)]) for i in range(50))
+    assert out[60] == ((1, 0, 0), [(1, 1)]) and out[61] == ((1, 0, 0), [(1, 2)]) and out[62] == ((2, 0, 0), [(1, 2), (1, 1)])
+    assert secret_scan(table(spark, rows)).count() == len(rows)

@@ -47,6 +47,18 @@ def test_license_notices(spark):
     assert license_scan(nothing(spark)).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    """Places that are hit twice, or stand in another order, do not add up to a notice."""
+    bsd = dict(NOTICES)["bsd"].split()
+    half = " ".join(bsd[:len(bsd) // 2])
+    back = " ".join(" ".join(bsd[i:i + 3]) for i in range(len(bsd) - 3, -1, -3))
+    rows = [(0, "lesser general public general public license", "a"), (1, "gnu lesser general public license", "a"),
+            (2, f"{half} {half}", "a"), (3, back, "a"), (4, " ".join(bsd), "a")]
+    labels = {r.doc_id: r.labels.split(",") for r in license_scan(table(spark, rows)).collect()}
+    assert "lgpl" not in labels[0] and "lgpl" in labels[1]
+    assert "bsd" not in labels[2] and "bsd" not in labels[3] and "bsd" in labels[4]
+
+
 def all_maximal(scores):
     """The definition: take the best segment, then the same left and right of it."""
     best, at = 0.0, None
