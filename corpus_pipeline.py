@@ -26,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One occurrence of each group of like lines stays in the corpus."""
+    """One occurrence of each group of like lines stays in the corpus; documents left without a word go."""
     ship_package(spark)
-    return _as_documents(line_dedup(docs, radius=None), docs)
+    return _as_documents(line_dedup(docs, radius=None), docs).filter(F.col("text").rlike(r"[^\s]"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
