@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
+from corpuskit.functions.running import running_totals
 from corpuskit.functions.settle import settle
 from corpuskit.operators.ordered import with_neighbour
 
@@ -143,17 +144,12 @@ def recursive_chunks(df: DataFrame, size: int = CHUNK_SIZE, min_size: int = MIN_
         pieces = F.transform("_seg", _when_over(size, split))
         df = df.withColumn("_seg", _nonblank(F.flatten(pieces)))
     df = df.withColumn("_heads", _heads(F.col("_seg"), lambda s: F.length(tx.strip(s)) >= min_size))
-    runs = F.transform(_runs(F.col("_seg"), F.col("_heads")), lambda r: F.struct(
+    df = df.withColumn("_runs", F.transform(_runs(F.col("_seg"), F.col("_heads")), lambda r: F.struct(
         F.aggregate(r, F.lit(0), lambda n, s: n + F.length(s)).alias("n"),
-        F.array_join(F.transform(r, tx.strip), "\n").alias("t")))
-    kind = f"array<{CHUNK_TYPE}>"
-    return df.withColumn("_c", F.aggregate(
-        runs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["n"]).alias("at"),
-            F.concat(acc["out"], F.array(_chunk(acc["at"], acc["at"] + r["n"], r["t"]))).alias("out")),
-        lambda acc: acc["out"]))
+        F.array_join(F.transform(r, tx.strip), "\n").alias("t"))))
+    df = df.withColumn("_ends", running_totals(F.transform("_runs", lambda r: r["n"])))
+    return df.withColumn("_c", F.transform("_runs", lambda r, i: _chunk(
+        F.get("_ends", i) - r["n"], F.get("_ends", i), r["t"]))).drop("_runs", "_ends")
 
 
 # --- headings and sections --------------------------------------------------
@@ -181,17 +177,9 @@ def with_sections(
     ``prefix`` or the whole heading ``line``.
     """
     df = df.withColumn("_cut", F.filter(_cut_before(F.col("text"), pattern), lambda p: p != ""))
-    placed = F.aggregate(
-        "_cut",
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"), p.alias("body"))))
-            .alias("out")),
-        lambda acc: acc["out"])
-    df = df.withColumn("_placed", placed)
+    df = df.withColumn("_ends", running_totals(F.transform("_cut", F.length)))
+    df = df.withColumn("_placed", F.transform("_cut", lambda p, i: F.struct(
+        (F.get("_ends", i) - F.length(p)).alias("start"), F.get("_ends", i).alias("end"), p.alias("body")))).drop("_ends")
     df = df.withColumn("_marked", F.transform("_placed", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
         F.regexp_extract(s["body"], "(?U)" + pattern, 0).alias("prefix"),
@@ -358,10 +346,7 @@ def merge_tiny(df: DataFrame, tiny: int = TINY) -> DataFrame:
 
 def page_ends(pages: Column) -> Column:
     """Running total of page lengths."""
-    return F.aggregate(
-        pages, F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(
-            F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0) + F.length(p))))
+    return running_totals(F.transform(pages, F.length))
 
 
 def page_of(offset: Column, ends: Column) -> Column:

@@ -139,3 +139,20 @@ def test_heading_aware_is_linear(spark):
             best = min(best, time.time() - began)
         took.append(best)
     assert took[1] < 20 * took[0] + 2
+
+
+def test_very_many_sections_and_segments(spark):
+    """Offsets are running totals, not folds that copy what they have."""
+    from pyspark.sql import functions as F
+
+    from corpuskit.operators import chunking as ch
+
+    text = "".join(f"# H{i}\n\nbody {i}\n\n" for i in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    rows = ch.extract_headings(df).filter("doc_id = 1").agg(
+        F.count("*"), F.max("end_offset"), F.count_if(F.col("start_offset") < F.col("end_offset"))).first()
+    assert tuple(rows) == (30_000, len(text), 30_000)
+    words = " ".join("x" * 300 for _ in range(20_000))
+    got = ch.chunk(spark.createDataFrame([(1, words)], "doc_id int, text string"), "recursive").agg(
+        F.count("*"), F.max("end_offset")).first()
+    assert got[0] > 1000 and got[1] > 1_000_000
