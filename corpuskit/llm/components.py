@@ -46,7 +46,7 @@ def with_company(members: DataFrame) -> DataFrame:
 
 
 # Rounds in which every id meets one pivot, before what is left meets in pairs.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -101,11 +101,12 @@ def grouped(
     for turn in range(rounds):
         if members.isEmpty():
             return found
-        lots = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("_p"))
-        asked = members.join(lots, "bucket").filter(F.col("component") != F.col("_p.component")).select(
-            F.col("_p.id").alias("a"), F.col("id").alias("b")).distinct()
-        # Of the pivots that an id could be like, one.
-        asked = compatible_pairs(asked).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a"))
+        lots = members.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("_p"), F.count("*").alias("_n"))
+        # Of an id's pivots the one of its largest bucket: a large group soon is one component.
+        asked = members.join(lots, "bucket").filter(F.col("component") != F.col("_p.component")).groupBy(
+            F.col("id").alias("b")).agg(F.max_by("_p.id", F.struct("_n", F.xxhash64("bucket"))).alias("a"))
+        asked = compatible_pairs(asked)
         links = kept_alone(spark, lambda: verify(asked.select("a", "b")), "verified")  # noqa: B023
         if links.isEmpty():
             break

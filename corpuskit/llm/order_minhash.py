@@ -30,7 +30,7 @@ SIMILAR = 0.8
 SKETCHES = 48
 KEPT = 3
 # 64-bit words that mark which classes of words a text has.
-MARKS = 8
+MARKS = 32
 # Copies from which on a text or class is dealt out over tasks, and how many such keys there are at most.
 HOT_ROWS = 500
 HOT_KEYS = 100_000

@@ -236,7 +236,9 @@ def test_queries_find_lines_by_edit_similarity_alone(spark, tmp_path):
     assert all(i % 2 for i in gone)
     for n in {size for *_, size in pairs}:
         assert sum(2 * i + 1 in gone for i, pair in enumerate(pairs) if pair[2] == n) >= 19, n
-    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect() if not r.text} == gone
+    # The stage leaves out the documents that have lost their only line.
+    kept = {r.doc_id for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert {r[0] for r in rows} - kept == gone
 
 
 def test_short_lines_and_lines_without_blanks(spark):
