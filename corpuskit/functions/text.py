@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 # White space as a Unicode-aware ``str.split()`` sees it; Java's \s is ASCII.
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000"
+    "\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f"
+    "\u3000"
 )
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Typographic characters and their plain spelling.
 TYPOGRAPHIC = {
@@ -33,19 +33,20 @@ TYPOGRAPHIC = {
 }
 
 # Zero-width and invisible code points that are deleted.
-INVISIBLE = r"[​-‏⁠-⁤﻿]"
+INVISIBLE = r"[\u200b-\u200f\u2060-\u2064\ufeff]"
 
 NUMBER_LINE = r"(?U)^\s*[-–—]?\s*\d+\s*[-–—]?\s*$"
 PAGE_MARKER = r"(?iU)^page\s+\d+(\s+of\s+\d+)?\s*$"
 
 # Words whose share marks a text as English, and the share that must be passed.
 ENGLISH_WORDS = (
-    "the be to of and a in that have it for not on with he as you do at this but his by "
-    "from they we say her she or an will my one all would there their what so up out if "
-    "about who get which go me is are was were been being has had did can may than then "
-    "them these those just also very when where how each other some such only own same "
-    "too after before"
-).split()
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "it", "for", "not", "on", "with", "he", "as", "you",
+    "do", "at", "this", "but", "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my",
+    "one", "all", "would", "there", "their", "what", "so", "up", "out", "if", "about", "who", "get", "which", "go",
+    "me", "is", "are", "was", "were", "been", "being", "has", "had", "did", "can", "may", "than", "then", "them",
+    "these", "those", "just", "also", "very", "when", "where", "how", "each", "other", "some", "such", "only", "own",
+    "same", "too", "after", "before",
+)
 ENGLISH_SHARE = 0.15
 LANGUAGE_SAMPLE = 2000
 # ---------------------------------------------------------------------------

@@ -35,6 +35,14 @@ RECURSIVE_HEADING = (
     r"\d+\.\d+\s+|^\d+\.\s+)"
 )
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
+# How a heading starts, and its level: a number, and one more for each of a character in the match.  The first that fits.
+HEADING_LEVELS = (
+    (r"^#+(?=\s)", 0, "#"),
+    (r"^(?i:chapter\s+\d+)", 1, ""),
+    (r"^\d+(?:\.\d+)*", 1, "."),
+    (r"^[A-Z]\s*\.\s", 1, ""),
+)
+OTHER_LEVEL = 2
 # ----------------------------------------------------------------------------
 
 # Multi-line with \n as the only line end, Unicode classes.
@@ -156,15 +164,13 @@ def recursive_chunks(df: DataFrame, size: int = CHUNK_SIZE, min_size: int = MIN_
 
 
 def heading_level(prefix: Column) -> Column:
-    """1 for #, chapter, ``1.``; 2 for ``1.2``; and so on; 2 when unclear."""
-    number = F.regexp_extract(prefix, r"^(\d+(?:\.\d+)*)", 1)
-    return (
-        F.when(prefix.rlike(r"^#+\s"), F.length(F.regexp_extract(prefix, "^(#+)", 1)))
-        .when(prefix.rlike(r"(?i)^chapter\s+\d+"), F.lit(1))
-        .when(number != "", F.size(F.split(number, r"\.")))
-        .when(prefix.rlike(r"^[A-Z]\s*\.\s"), F.lit(1))
-        .otherwise(F.lit(2))
-    )
+    """The level that ``HEADING_LEVELS`` gives the start of a heading."""
+    out = F
+    for pattern, level, counted in HEADING_LEVELS:
+        found = F.regexp_extract(prefix, pattern, 0)
+        times = F.length(found) - F.length(F.replace(found, F.lit(counted), F.lit(""))) if counted else F.lit(0)
+        out = out.when(prefix.rlike(pattern), F.lit(level) + times)
+    return out.otherwise(OTHER_LEVEL)
 
 
 def with_sections(
@@ -229,14 +235,11 @@ def _leaves(text: str, cut: re.Pattern, prefix: re.Pattern, line_titles: bool, k
 
 
 def title_level(prefix: str) -> int:
-    """1 for #, chapter, ``1.``; 2 for ``1.2``; and so on; 2 when unclear."""
-    if marks := re.match(r"(#+)\s", prefix):
-        return len(marks.group(1))
-    if re.match(r"chapter\s+\d+", prefix, re.IGNORECASE):
-        return 1
-    if number := re.match(r"\d+(?:\.\d+)*", prefix):
-        return number.group().count(".") + 1
-    return 1 if re.match(r"[A-Z]\s*\.\s", prefix) else 2
+    """As ``heading_level``, for one text."""
+    for pattern, level, counted in HEADING_LEVELS:
+        if found := re.match(pattern, prefix):
+            return level + (found.group().count(counted) if counted else 0)
+    return OTHER_LEVEL
 
 
 def _pieces(body: str, size: int) -> tuple[str, int, list[tuple[int, int]]]:

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# --- fixed values: labels of the prompts -------------------------------------
+CHUNK_HEAD, TITLE_DASH = "[Chunk ", " \u2014 "
+STRATEGY_LABEL, COUNT_LABEL, TURNS_LABEL = "Strategy: ", "Context chunks: ", "Conversation turns: "
+QUERY_LABEL, SUMMARY_LABEL = "Query: ", "Earlier conversation summary: "
+HISTORY_LABEL, CONTEXT_LABEL = "Conversation history:\n", "Retrieved context:\n"
+# ----------------------------------------------------------------------------
+
 CITATION = (
     "array<struct<report_id:string,report_title:string,page_number:int,section_name:string,"
     "chunk_id:string,score:double,content:string>>"
@@ -60,11 +67,11 @@ def render_prompts(
     ``queries``: query_id, text, system_prompt [, summary];
     ``history``: query_id, lines (array of "role: content"), num_messages.
     """
-    head = F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit("]"))
+    head = F.concat(F.lit(CHUNK_HEAD), F.col("rank").cast("string"), F.lit("]"))
     head = F.concat(head, F.when(_text("section_name") == "", "").otherwise(
         F.concat(F.lit(" ("), "section_name", F.lit(")"))))
     head = F.concat(head, F.when(_text("source_title") == "", "").otherwise(
-        F.concat(F.lit(" — "), "source_title")))
+        F.concat(F.lit(TITLE_DASH), "source_title")))
     block = F.concat(head, F.lit("\n"), "content")
     blocks = contexts.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("_b"))
@@ -73,9 +80,9 @@ def render_prompts(
         base = base.join(history, "query_id", "left")
     n_chunks = F.coalesce(F.array_size("_b"), F.lit(0))
     meta = [
-        F.lit(f"Strategy: {strategy}") if strategy else None,
-        F.when(n_chunks > 0, F.concat(F.lit("Context chunks: "), n_chunks.cast("string"))),
-        F.when(F.col("num_messages") > 0, F.concat(F.lit("Conversation turns: "), F.col("num_messages").cast("string")))
+        F.lit(STRATEGY_LABEL + strategy) if strategy else None,
+        F.when(n_chunks > 0, F.concat(F.lit(COUNT_LABEL), n_chunks.cast("string"))),
+        F.when(F.col("num_messages") > 0, F.concat(F.lit(TURNS_LABEL), F.col("num_messages").cast("string")))
         if history is not None else None,
     ]
     lines = F.concat_ws("\n", *[m for m in meta if m is not None])
@@ -83,13 +90,13 @@ def render_prompts(
         F.concat_ws("\n", "system_prompt", F.lit("---"), lines))
     user = F.concat_ws(
         "\n\n",
-        F.when(_text("text") != "", F.concat(F.lit("Query: "), "text")),
-        *([F.when(_text("summary") != "", F.concat(F.lit("Earlier conversation summary: "), "summary"))]
+        F.when(_text("text") != "", F.concat(F.lit(QUERY_LABEL), "text")),
+        *([F.when(_text("summary") != "", F.concat(F.lit(SUMMARY_LABEL), "summary"))]
           if "summary" in queries.columns else []),
-        *([F.when(F.size("lines") > 0, F.concat(F.lit("Conversation history:\n"), F.array_join("lines", "\n")))]
+        *([F.when(F.size("lines") > 0, F.concat(F.lit(HISTORY_LABEL), F.array_join("lines", "\n")))]
           if history is not None else []),
         F.when(n_chunks > 0, F.concat(
-            F.lit("Retrieved context:\n"),
+            F.lit(CONTEXT_LABEL),
             F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n"))))
     return base.select(
         "query_id", system.alias("system_prompt"), user.alias("user_prompt"), n_chunks.alias("num_chunks")

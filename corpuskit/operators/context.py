@@ -21,6 +21,13 @@ from corpuskit.operators.skew import join_copies
 MAX_TOKENS, SYSTEM_TOKENS, RESERVED_TOKENS = 8192, 150, 256
 HISTORY_TOKENS, CHUNK_TOKENS = 1024, 6144
 MAX_CHUNKS, MAX_MESSAGES = 15, 20
+MULTI_INTRO = "You are a helpful multi-document analysis assistant. The user is referencing: "
+COMPARISON_INTRO = (
+    "You are a comparison analysis assistant. Compare and contrast the following sources: ")
+ASKED_ABOUT = "\nThe user is asking about: "
+CONTEXT_TITLE, CONTEXT_RULE = "## Context for: ", "---\n"
+QUERY_LABEL, SUMMARY_LABEL = "Query: ", "Conversation Summary: "
+CHUNK_LABEL, PAGE_LABEL = "Chunk ", " (p. "
 KEY_CHARS, SMALLEST_CUT, SUMMARY_CHARS = 80, 64, 200
 GROUNDING = (
     "You are a document analysis assistant. Answer STRICTLY from the retrieved context.\n"
@@ -161,7 +168,7 @@ def single_prompt(df: DataFrame) -> DataFrame:
     titles = F.array_sort(F.collect_set(F.nullif(F.col("source_title"), F.lit(""))))
     return df.groupBy("query_id").agg(titles.alias("_t")).select("query_id", F.when(
         F.size("_t") > 0,
-        F.concat(F.lit(GROUNDING + "\nThe user is asking about: "), F.array_join("_t", ", "), F.lit(".")),
+        F.concat(F.lit(GROUNDING + ASKED_ABOUT), F.array_join("_t", ", "), F.lit(".")),
     ).otherwise(GROUNDING).alias("system_prompt"))
 
 
@@ -179,7 +186,7 @@ def multi_prompt(df: DataFrame) -> DataFrame:
     shown = F.when(F.size("_s") <= 3, F.array_join(names, ", ")).otherwise(
         F.concat(F.size("_s").cast("string"), F.lit(" documents")))
     return listed.select("query_id", F.concat(
-        F.lit("You are a helpful multi-document analysis assistant. The user is referencing: "), shown, F.lit("."),
+        F.lit(MULTI_INTRO), shown, F.lit("."),
     ).alias("system_prompt"))
 
 
@@ -198,7 +205,7 @@ def assemble_comparison(df: DataFrame, max_per_source: int = 8) -> DataFrame:
 def comparison_prompt(df: DataFrame) -> DataFrame:
     names = F.slice(F.array_sort(F.collect_set("_source")), 1, 5)
     return _source(df).groupBy("query_id").agg(F.concat(
-        F.lit("You are a comparison analysis assistant. Compare and contrast the following sources: "),
+        F.lit(COMPARISON_INTRO),
         F.array_join(names, ", "), F.lit(".")).alias("system_prompt"))
 
 
@@ -297,9 +304,9 @@ def build_context_text(df: DataFrame, queries: DataFrame, max_tokens: int = 4000
     kept = _until_overflow(rows, quarter("content"), F.lit(max_tokens) - quarter("_query")).filter(~F.col("_over"))
     parts = F.array_sort(F.collect_list(F.struct("rank", "content")))
     body = kept.groupBy("query_id").agg(parts.alias("_p"))
-    blocks = F.transform("_p", lambda p: F.concat(F.lit("---\n"), p["content"], F.lit("\n")))
+    blocks = F.transform("_p", lambda p: F.concat(F.lit(CONTEXT_RULE), p["content"], F.lit("\n")))
     return asked.join(body, "query_id", "left").select("query_id", F.concat(
-        F.lit("## Context for: "), "_query", F.lit("\n\n"),
+        F.lit(CONTEXT_TITLE), "_query", F.lit("\n\n"),
         F.coalesce(F.array_join(blocks, ""), F.lit(""))).alias("text"))
 
 
@@ -308,17 +315,17 @@ def render_full_text(df: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``queries``: query_id, text [, system_prompt, summary].
     """
-    head = F.concat(F.lit("Chunk "), F.col("rank").cast("string"))
+    head = F.concat(F.lit(CHUNK_LABEL), F.col("rank").cast("string"))
     head = F.concat(head, F.when(_blank(F.col("section_name")), "").otherwise(
         F.concat(F.lit(" ["), "section_name", F.lit("]"))))
     head = F.concat(head, F.when(F.col("page_number").isNull(), "").otherwise(
-        F.concat(F.lit(" (p. "), F.col("page_number").cast("string"), F.lit(")"))))
+        F.concat(F.lit(PAGE_LABEL), F.col("page_number").cast("string"), F.lit(")"))))
     line = F.concat(head, F.lit(": "), "content")
     rows = df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_r"))
     optional = [
         F.nullif(F.col("system_prompt"), F.lit("")) if "system_prompt" in queries.columns else None,
-        F.when(~_blank(F.col("_q")), F.concat(F.lit("Query: "), "_q")),
-        F.concat(F.lit("Conversation Summary: "), "summary") if "summary" in queries.columns else None,
+        F.when(~_blank(F.col("_q")), F.concat(F.lit(QUERY_LABEL), "_q")),
+        F.concat(F.lit(SUMMARY_LABEL), "summary") if "summary" in queries.columns else None,
     ]
     asked = queries.withColumnRenamed("text", "_q")
     return asked.join(rows, "query_id", "left").select("query_id", F.concat_ws(
