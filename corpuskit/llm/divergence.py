@@ -35,7 +35,7 @@ PROBES = 3
 PARTIAL_ROWS = 200_000
 # Sources whose distances one group of a task holds, and term rows that go to one group.
 BLOCK = 512
-GROUP_ROWS = 500_000
+GROUP_ROWS = 100_000
 # Bytes of text whose documents share one bag.
 BAG_BYTES = 1_500_000
 BAG = ("langs array<string>, sources array<string>, groups binary, terms array<binary>, docs binary, codes binary, "
@@ -175,14 +175,18 @@ class _Bag:
         self.plain = row["terms"]
         self.terms = pc.binary_join_element_wise(row["terms"], pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
 
-    def passing(self, length: int, filled: np.ndarray, bits: int) -> np.ndarray:
-        """Places whose prefix of this length may be one of the filter's."""
+    def passing(self, length: int, filled: np.ndarray, bits: int, longer_than: int = 0) -> np.ndarray:
+        """Numbers of the places whose prefix of this length may be one of the filter's.
+
+        Only terms of more bytes than ``longer_than``, their end counted, are looked at.
+        """
+        places = np.flatnonzero((pc.binary_length(self.terms).to_numpy() > longer_than)[self.code])
         prefixes = pc.binary_slice(self.terms, 0, length).dictionary_encode()
         width = max(1, len(prefixes.dictionary))
-        own = self.lang[self.doc] * width + prefixes.indices.to_numpy().astype(np.int64)[self.code]
+        own = self.lang[self.doc[places]] * width + prefixes.indices.to_numpy().astype(np.int64)[self.code[places]]
         pairs, where = _distinct(own, len(self.langs) * width)
         hashes = _hashes(self.langs, pairs // width, prefixes.dictionary.to_pylist(), pairs % width)
-        return _passes(filled, hashes, bits)[where]
+        return places[_passes(filled, hashes, bits)[where]]
 
 
 def _read_bags(batch: pa.RecordBatch) -> Iterator[_Bag]:
@@ -224,8 +228,7 @@ def _level(bags: DataFrame, length: int, before: int, filled: np.ndarray | None,
             doc, code = some.doc, some.code
             if known.value is not None:
                 # Terms that were complete have been decided.
-                longer = (pc.binary_length(some.terms).to_numpy() > before)[code]
-                open_ = longer & some.passing(before, known.value, bits)
+                open_ = some.passing(before, known.value, bits, longer_than=before)
                 doc, code = doc[open_], code[open_]
             prefixes = pc.binary_slice(some.terms, 0, length).dictionary_encode()
             width, own = len(prefixes.dictionary), prefixes.indices.to_numpy().astype(np.int64)[code]
@@ -277,7 +280,7 @@ def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, most_sources:
         partial = _Partial(["lang", "term", "source"], "n", "docs")
         for some in (bag for batch in batches for bag in _read_bags(batch)):
             longest = max(1, pc.max(pc.binary_length(some.terms)).as_py())
-            chosen = np.flatnonzero(some.passing(longest, known.value, bits))
+            chosen = some.passing(longest, known.value, bits)
             width = len(some.terms)
             pairs, where = _distinct(
                 some.group[some.doc[chosen]] * width + some.code[chosen], len(some.group_langs) * width)
