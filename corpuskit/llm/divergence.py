@@ -138,14 +138,14 @@ def _passes(filled: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 class _Partial:
     """Sums over some key columns, handed on when there are many."""
 
-    def __init__(self, keys: list[str], *values: str) -> None:
-        self.keys, self.values = keys, values
+    def __init__(self, keys: list[str], value: str) -> None:
+        self.keys, self.value = keys, value
         self.waiting: list[pa.Table] = []
         self.rows = 0
 
     def _merged(self) -> pa.Table:
         return pa.concat_tables(self.waiting).group_by(self.keys, use_threads=False).aggregate(
-            [(value, "sum") for value in self.values]).rename_columns([*self.keys, *self.values])
+            [(self.value, "sum")]).rename_columns([*self.keys, self.value])
 
     def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         self.waiting.append(table)
@@ -277,7 +277,6 @@ def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, most_sources:
     spread = max(1, -(-kept.count() * most_sources // GROUP_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partial = _Partial(["lang", "term", "source"], "n", "docs")
         for some in (bag for batch in batches for bag in _read_bags(batch)):
             longest = max(1, pc.max(pc.binary_length(some.terms)).as_py())
             chosen = some.passing(longest, known.value, bits)
@@ -285,12 +284,12 @@ def term_counts(bags: DataFrame, kept: DataFrame, least_docs: int, most_sources:
             pairs, where = _distinct(
                 some.group[some.doc[chosen]] * width + some.code[chosen], len(some.group_langs) * width)
             own = pa.array(pairs // width)
-            yield from partial.add(pa.table({
+            # A bag's sums; those of several bags have few terms and sources in common.
+            yield from pa.table({
                 "lang": pa.array(some.group_langs, pa.string()).take(own), "term": some.plain.take(pa.array(pairs % width)),
                 "source": pa.array(some.group_sources, pa.string()).take(own),
                 "n": np.bincount(where, some.times[chosen].astype(np.float64), len(pairs)).astype(np.int64),
-                "docs": np.bincount(where, minlength=len(pairs)).astype(np.int64)}))
-        yield from partial.rest()
+                "docs": np.bincount(where, minlength=len(pairs)).astype(np.int64)}).to_batches()
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         terms = rows["term"].combine_chunks().dictionary_encode()
