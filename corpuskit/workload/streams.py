@@ -17,9 +17,12 @@ BOOK = Book()
 
 
 def stream(t: Tables, name: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of files.
+
+    The path is written as a pattern, because a stream takes a single file only from one.
+    """
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.dir}/{name}.parque[t]")
 
 
 @BOOK.add("stream_trace_windows", f"""

@@ -8,6 +8,7 @@ from corpuskit.plans.ingest import ingest
 from corpuskit.sources.files import read_eval_sets, read_text_documents
 from corpuskit.sources.index import read_index
 from corpuskit.streaming import jobs
+from corpuskit.workload.streams import BOOK
 
 
 def to_index(df):
@@ -26,6 +27,18 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
         assert got.count() == to_index(df).count() == got.select("chunk_id").distinct().count()
 
 
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    many = spark.createDataFrame(
+        [(i, f"Document {i}. " + "Some words here. " * 40, f"s{i % 2}") for i in range(12)],
+        "doc_id long, text string, source string")
+    many.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    many.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for folder in (tmp_path, tmp_path / "one"):
+        got = {q: sorted(map(tuple, BOOK.queries[q](spark, str(folder)).collect())) for q in ("stream_ingest", "batch_ingest")}
+        assert got["stream_ingest"] == got["batch_ingest"] and sum(r[2] for r in got["batch_ingest"]) == 12
+
+
 def test_files(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
