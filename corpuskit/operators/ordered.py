@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.session import kept_table
+
 BLOCK_WIDTH = 1 << 16
 
 
@@ -193,24 +195,27 @@ def rank_select(
     ``n`` (rows in the group).  Equal values are counted first, map-side; the
     distinct values are then cut at their own approximate quantiles, so bins are
     about equally full however the values lie, and running counts over (group,
-    bin) locate each rank.
+    bin) locate each rank.  Approximate quantiles depend on the order in which
+    rows arrive, so the cuts are stored: every reader of them has the same bins.
+    Nulls in ``keys`` are a group.
     """
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
         return rank_select(df, keys, value, ranks, bins).drop("_all")
     keys = list(keys)
+    # One struct, because structs with nulls inside are equal in a join.
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(F.struct(*keys).alias("_group"), F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    spans = counts.groupBy(*keys).agg(
+    spans = kept_table(counts.groupBy("_group").agg(
         F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10 * bins).alias("_cuts"),
         F.sum("_c").alias("n"),
-    )
-    binned = counts.join(spans, keys)
+    ), "cuts")
+    binned = counts.join(spans, "_group")
     running = running_total(
-        binned, keys, "_v", F.col("_c"), "_upto",
+        binned, ["_group"], "_v", F.col("_c"), "_upto",
         block=F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))),
     )
     picks = [
@@ -218,4 +223,4 @@ def rank_select(
         .alias(name)
         for name, r in ranks.items()
     ]
-    return running.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    return running.groupBy("_group").agg(F.max("n").alias("n"), *picks).select("_group.*", "n", *ranks)

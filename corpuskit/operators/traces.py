@@ -47,10 +47,12 @@ def stage_latency(rows: DataFrame, keys: Sequence[str] = ("prompt_version", "mod
     n = F.col("n")
     order = rank_select(rows, [*keys, "stage"], "ms", {
         "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "p95_ms": F.floor(n * 0.95)})
-    sums = rows.groupBy(*keys, "stage").agg(F.avg("ms").alias("mean_ms"), F.sum("ms").alias("_sum"))
-    totals = sums.groupBy(*keys).agg(F.sum("_sum").alias("_total"))
+    # Keys as structs, because a null key is a group, too.
+    all_, each = F.struct(*keys).alias("_all"), F.struct(*keys, "stage").alias("_each")
+    sums = rows.groupBy(all_, each).agg(F.avg("ms").alias("mean_ms"), F.sum("ms").alias("_sum"))
+    totals = sums.groupBy("_all").agg(F.sum("_sum").alias("_total"))
     return (
-        order.join(sums, [*keys, "stage"]).join(totals, keys)
+        order.withColumn("_each", each).join(sums, "_each").join(totals, "_all")
         .select(*keys, "stage", "n", "mean_ms", ((F.col("_low") + F.col("_high")) / 2).alias("p50_ms"), "p95_ms",
                 (F.col("_sum") / F.nullif(F.col("_total"), F.lit(0.0))).alias("share")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators import ordered as od
 from corpuskit.operators import quality as ql
 from corpuskit.operators.skew import join_copies
+from corpuskit.operators.traces import stage_latency
 
 
 def rows():
@@ -98,3 +99,21 @@ def test_rank_select_with_a_far_outlier(spark):
     got = {r.k: (r.n, r.mid, r.top) for r in od.rank_select(
         df, ["k"], "v", {"mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1}).collect()}
     assert got[0] == (10_001, 10_000 / 7.0, 1e12) and got[1] == (10_000, 10_001 / 7.0, 19_999 / 7.0)
+
+
+def test_order_statistics_whatever_cuts_are_found(spark, monkeypatch):
+    """Approximate quantiles depend on the order of their rows: two computations may cut in different places."""
+    def wander(column, shares, accuracy):
+        found = F.udf(lambda low, high: sorted(random.uniform(low, high) for _ in shares), "array<double>")
+        return found.asNondeterministic()(F.min(column), F.max(column))
+
+    monkeypatch.setattr(F, "percentile_approx", wander)
+    df = spark.range(0, 6000, 1, 6).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    rows = od.rank_select(df, ["k"], "v", {"low": F.lit(0), "mid": F.col("n") / 2, "p95": F.floor(F.col("n") * 0.95)}).collect()
+    assert sorted(map(tuple, rows)) == [(k, 3000, 0.0 + k, 3000.0 + k, 5700.0 + k) for k in (0, 1)]
+
+
+def test_stage_latency_keeps_groups_without_a_name(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "a", 3.0), ("m", "a", 5.0)], "model string, stage string, ms double")
+    rows = {r.model: (r.n, r.mean_ms, r.p50_ms, r.share) for r in stage_latency(df, ["model"]).collect()}
+    assert rows == {None: (2, 2.0, 2.0, 1.0), "m": (1, 5.0, 5.0, 1.0)}
