@@ -168,7 +168,7 @@ def _arrow_types(spark, schema):
     return list(spark.createDataFrame([], schema).toArrow().schema)
 
 
-def _scan(grid: DataFrame, k: int, metric: str, schema: T.StructType, per_collection: bool, step: int = 1024) -> DataFrame:
+def _scan(grid: DataFrame, k: int, metric: str, schema: T.StructType, per_collection: bool, step: int = 256) -> DataFrame:
     """Local top-k of every query block over the index blocks that follow it."""
     arrow_schema = pa.schema(
         [pa.field(f.name, t.type) for f, t in zip(schema, _arrow_types(grid.sparkSession, schema))])

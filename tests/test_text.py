@@ -1,10 +1,12 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as tx
 from corpuskit.operators import cleaning
+from corpuskit.session import ship_package
 
 
 def run(spark, build, *texts):
@@ -78,3 +80,16 @@ def test_titles_keywords_dates(spark):
 def test_default_order(spark):
     df = spark.createDataFrame([("“A”   b\n\n\n\n7\n\nend… ",)], "text string")
     assert cleaning.clean(df).first()["clean_text"] == '"A" b\n\nend...'
+
+
+def test_batches_of_long_texts_are_bounded_by_their_bytes(spark):
+    """A worker holds a whole batch: 400 rows of 100 kB are not one."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    session = spark.newSession()
+    ship_package(session)
+    long = session.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 40_000_000 and max(found) <= 20_000_000
