@@ -351,15 +351,16 @@ def bm25_topk(
 ) -> DataFrame:
     """The k best of each query, or of each query in each of its ``collections``.
 
-    The corpus is read once for the statistics and once for the scores, and each
-    task hands on k rows per query; with too many query terms to broadcast, or
+    The corpus is read once; what it holds of the queries' terms is stored for
+    statistics and scores, and each task hands on k rows per query; with too many query terms to broadcast, or
     with ``postings``, scores come from joins instead.
     """
     keys = hit_keys(queries)
     asked = sp.weights(queries, _scoped(queries, corpus)) if postings is None else None
     if asked is None:
         return top_rows(bm25_scores(queries, corpus, k1, b, postings), keys, best_first(), k)
-    found = sp.scan(_scoped(queries, corpus), asked, queries.schema["query_id"].dataType, k, k1, b)
+    asked, counts = asked
+    found = sp.scan(counts, asked, queries.schema["query_id"].dataType, k, k1, b)
     return top_rows(found.filter(F.col("chunk_id").isNotNull()).select(*keys, "chunk_id", "score"), keys, best_first(), k)
 
 
@@ -417,11 +418,13 @@ def minmax_normalise(
 
 
 def bm25_normalised(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, also: DataFrame | None = None, constant_value: float = 1.0,
+    queries: DataFrame, corpus: DataFrame, k: int | None = 10, also: DataFrame | None = None, constant_value: float = 1.0,
     k1: float = 1.2, b: float = 0.75,
 ) -> DataFrame:
     """The k best and those in ``also``, scaled by the range of all scores of the query; others may be listed, too.
 
+    With ``k`` None all chunks that match a term are listed.
+
     Rows that match no term score zero before scaling, so zero is the minimum
     where there are such.  ``also`` has query_id [, collection] and chunk_id.  One
     pass over the corpus finds scores and ranges; where terms or ``also`` are too
@@ -438,6 +441,8 @@ def bm25_normalised(
             stats.withColumnRenamed("collection", "_of"), "_of")
         bounds = found.select(*keys, F.when(F.col("_n") < F.col("n_docs"), F.least("_lo", F.lit(0.0))).otherwise(
             F.col("_lo")).alias("_lo"), "_hi")
+        if k is None:
+            return minmax_normalise(raw, constant_value=constant_value, bounds=bounds, keys=tuple(keys))
         mark = F.lit(0).alias("_also")
         if also is not None:
             raw = raw.join(also.select(*keys, "chunk_id", F.lit(1).alias("_also")), [*keys, "chunk_id"], "left")
@@ -446,20 +451,30 @@ def bm25_normalised(
         best = top_rows(raw.withColumn("_also", mark), keys, [F.col("_also").desc_nulls_last(), *best_first()], size, "_r")
         return minmax_normalise(best.select(*keys, "chunk_id", "score"), constant_value=constant_value, bounds=bounds,
                                 keys=tuple(keys))
-    wanted: dict = {}
-    if also is not None:
+    asked, counts = asked
+    query_type, wanted = queries.schema["query_id"].dataType, {}
+    if also is not None and k is not None:
         numbers = {name: {_hashable(q): i for i, q in enumerate(own.names)} for name, own in asked.items()}
         for row in also.select("query_id", "chunk_id", *keys[1:]).toArrow().to_pylist():
             name = row.get("collection", "")
             number = numbers.get(name, {}).get(_hashable(row["query_id"]))
             if number is not None:
                 wanted.setdefault(name, {}).setdefault(row["chunk_id"], []).append(number)
-    rows = sp.scan(corpus, asked, queries.schema["query_id"].dataType, k, k1, b, wanted)
-    sizes = corpus.sparkSession.createDataFrame(
-        [(name, own.n_docs) for name, own in asked.items()], "collection string, _docs long")
+    rows = sp.scan(counts, asked, query_type, 1 if k is None else k, k1, b, wanted)
+    sizes = F.broadcast(corpus.sparkSession.createDataFrame(
+        [(name, own.n_docs) for name, own in asked.items()], "collection string, _docs long"))
+    if k is None:
+        # One row per query; all scores are scaled where they are found.
+        ranges = rows.filter(F.col("chunk_id").isNull()).groupBy("query_id", "collection").agg(
+            F.max("score").alias("_hi"), F.min("low").alias("_low"), F.sum("n").alias("_n")).join(sizes, "collection")
+        ranges = ranges.select("query_id", "collection", "_hi", F.when(
+            F.col("_n") < F.col("_docs"), F.least("_low", F.lit(0.0))).otherwise(F.col("_low")).alias("_lo"))
+        return sp.scan(counts, asked, query_type, None, k1, b).join(
+            F.broadcast(ranges), ["query_id", "collection"]).withColumn(
+            "score", _scaled(F.col("_lo"), F.col("_hi"), constant_value)).select(*keys, "chunk_id", "score")
     whole = Window.partitionBy(*keys)
     low, n = F.min("low").over(whole), F.sum("n").over(whole)
-    rows = rows.join(F.broadcast(sizes), "collection").withColumns({
+    rows = rows.join(sizes, "collection").withColumns({
         "_hi": F.max("score").over(whole),
         "_lo": F.when(n < F.col("_docs"), F.least(low, F.lit(0.0))).otherwise(low)})
     return rows.filter(F.col("chunk_id").isNotNull()).withColumn(

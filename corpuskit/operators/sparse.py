@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from corpuskit.functions import text as tx
 from corpuskit.functions.settle import settle
 from corpuskit.operators.running import Running
+from corpuskit.session import kept_table
 
 # (query, collection, term) rows whose weights are broadcast: some tens of MB.
 BROADCAST_TERMS = 500_000
@@ -56,6 +57,34 @@ def counted(corpus: DataFrame) -> DataFrame:
         F.transform("_starts", lambda i, j: F.coalesce(F.get("_starts", j + 1), size) - i).alias("tfs"))
 
 
+def counted_among(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """As ``counted``, but only the given terms, few enough to broadcast; all chunks stay, with their whole length."""
+    spark = corpus.sparkSession
+    shared = spark.sparkContext.broadcast(sorted(terms))
+    df = corpus.select(collection_of(corpus).alias("collection"), "chunk_id",
+                       tx.terms(F.coalesce("text", F.lit(""))).alias("words"))
+    schema = T.StructType([
+        df.schema["collection"], df.schema["chunk_id"], T.StructField("doc_len", T.IntegerType()),
+        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        width = max(1, len(known))
+        for batch in batches:
+            words = batch.column("words")
+            code = pc.index_in(pc.list_flatten(words), value_set=known)
+            hit = pc.is_valid(code).to_numpy(zero_copy_only=False)
+            doc = pc.list_parent_indices(words).to_numpy()[hit].astype(np.int64)
+            cells, tfs = np.unique(doc * width + code.drop_null().to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(cells, np.arange(batch.num_rows + 1) * width), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("collection"), batch.column("chunk_id"), pc.list_value_length(words).cast(pa.int32()),
+                pa.ListArray.from_arrays(starts, known.take(pa.array(cells % width))),
+                pa.ListArray.from_arrays(starts, pa.array(tfs, pa.int32()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def term_totals(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """collection, term, n, length: chunks that have a term; in the row ``TOTAL`` all chunks and their words.
 
@@ -98,8 +127,13 @@ class Weights:
     idf: np.ndarray | None = None
 
 
-def weights(queries: DataFrame, corpus: DataFrame, most: int = BROADCAST_TERMS) -> dict[str, Weights] | None:
-    """The queries' weights by collection, or None if there are more than ``most``."""
+def weights(
+    queries: DataFrame, corpus: DataFrame, most: int = BROADCAST_TERMS,
+) -> tuple[dict[str, Weights], DataFrame] | None:
+    """The queries' weights by collection and the counts of their terms in the corpus, or None if there are more than ``most``.
+
+    Texts are read once: what they hold of the queries' terms is stored, for the weights and for ``scan``.
+    """
     asked = asked_terms(queries)
     table = asked.limit(most + 1).toArrow()
     if len(table) > most:
@@ -108,7 +142,8 @@ def weights(queries: DataFrame, corpus: DataFrame, most: int = BROADCAST_TERMS)
         table.select(["collection", "term"]).group_by(["collection", "term"]).aggregate([]))
     frequency: dict = defaultdict(dict)
     out: dict[str, Weights] = {}
-    totals = term_totals(counted(corpus), wanted).toArrow().to_pydict()
+    counts = kept_table(counted_among(corpus, pc.unique(table.column("term")).to_pylist()), "query-terms")
+    totals = term_totals(counts, wanted).toArrow().to_pydict()
     for name, term, n, length in zip(*(totals[c] for c in ("collection", "term", "n", "length"))):
         if term == TOTAL:
             out[name] = Weights(length / n, n)
@@ -131,15 +166,18 @@ def weights(queries: DataFrame, corpus: DataFrame, most: int = BROADCAST_TERMS)
         own.queries = np.array([q for _, qs in groups for q in qs], np.int64)
         df = np.array([frequency[name][term] for term, _ in groups], np.float64)
         own.idf = np.log((own.n_docs - df + 0.5) / (df + 0.5) + 1.0)
-    return out
+    return out, counts
 
 
 class _Scan:
-    """The best rows, the wanted rows and the range of all scores of one collection's queries in one task."""
+    """The best rows, the wanted rows and the range of all scores of one collection's queries in one task.
+
+    With ``k`` None every score is found.
+    """
 
-    def __init__(self, own: Weights, k: int, k1: float, b: float, wanted: dict) -> None:
+    def __init__(self, own: Weights, k: int | None, k1: float, b: float, wanted: dict) -> None:
         self.own, self.k1, self.b, self.wanted = own, k1, b, wanted
-        self.best = Running(len(own.names), k)
+        self.best = Running(len(own.names), k) if k is not None else None
         self.low = np.full(len(own.names), np.inf)
         self.high = np.full(len(own.names), -np.inf)
         self.matched = np.zeros(len(own.names), np.int64)
@@ -165,6 +203,10 @@ class _Scan:
             scores = np.bincount(cells, np.repeat(part[x:y], times), minlength=width * n).astype(
                 np.float64, copy=False).reshape(width, n)
             some = scores > 0
+            if self.best is None:
+                query, column = np.nonzero(some)
+                self.found += [(query, ids[low + column], scores[query, column])]
+                continue
             self.matched += some.sum(axis=1)
             self.high = np.maximum(self.high, scores.max(axis=1, initial=-np.inf, where=some))
             self.low = np.minimum(self.low, scores.min(axis=1, initial=np.inf, where=some))
@@ -184,24 +226,34 @@ class _Scan:
             yield query, None, self.high[query], self.low[query], self.matched[query]
 
 
-def scan(corpus: DataFrame, asked: dict[str, Weights], query_type: T.DataType, k: int, k1: float = 1.2, b: float = 0.75,
-         wanted: dict[str, dict] | None = None) -> DataFrame:
-    """query_id, collection, chunk_id, score, low, n from every task of the corpus.
+def scan(counts: DataFrame, asked: dict[str, Weights], query_type: T.DataType, k: int | None, k1: float = 1.2,
+         b: float = 0.75, wanted: dict[str, dict] | None = None) -> DataFrame:
+    """query_id, collection, chunk_id, score, low, n from every task of the corpus, given as ``weights`` counted it.
 
     Rows with a ``chunk_id`` are the task's ``k`` best of a query and the
     ``wanted`` ones (collection to chunk_id to query numbers); those without have
     the task's highest (``score``) and lowest score of a query and the number of
-    chunks that match it.
+    chunks that match it.  With ``k`` None there is a row for every matching
+    (query, chunk) and none without; it is handed on batch by batch.
     """
-    spark = corpus.sparkSession
+    spark = counts.sparkSession
     shared = spark.sparkContext.broadcast((asked, wanted or {}))
-    id_type = corpus.schema["chunk_id"].dataType
+    id_type = counts.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", query_type), T.StructField("collection", T.StringType()),
         T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType()),
         T.StructField("low", T.DoubleType()), T.StructField("n", T.LongType())])
     arrow = pa.schema([(f.name, t.type) for f, t in zip(schema, spark.createDataFrame([], schema).toArrow().schema)])
 
+    def put(into: _Scan, own: pa.RecordBatch) -> None:
+        terms = pc.list_flatten(own.column("terms")).dictionary_encode()
+        into.add(
+            np.array([*own.column("chunk_id").to_pylist(), None], dtype=object)[:-1],
+            own.column("doc_len").to_numpy().astype(np.float64),
+            pc.list_parent_indices(own.column("terms")).to_numpy().astype(np.int64),
+            terms.indices.to_numpy(), pc.list_flatten(own.column("tfs")).to_numpy(),
+            terms.dictionary.to_pylist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, wanted = shared.value
         scans: dict[str, _Scan] = {}
@@ -214,17 +266,22 @@ def scan(corpus: DataFrame, asked: dict[str, Weights], query_type: T.DataType, k
                 own = batch if (of == number).all() else batch.filter(pa.array(of == number))
                 if name not in scans:
                     scans[name] = _Scan(asked[name], k, k1, b, wanted.get(name, {}))
-                terms = pc.list_flatten(own.column("terms")).dictionary_encode()
-                scans[name].add(
-                    np.array([*own.column("chunk_id").to_pylist(), None], dtype=object)[:-1],
-                    own.column("doc_len").to_numpy().astype(np.float64),
-                    pc.list_parent_indices(own.column("terms")).to_numpy().astype(np.int64),
-                    terms.indices.to_numpy(), pc.list_flatten(own.column("tfs")).to_numpy(),
-                    terms.dictionary.to_pylist())
-        for name, found in scans.items():
+                if k is not None:
+                    put(scans[name], own)
+                    continue
+                asking = np.array([*asked[name].names, None], dtype=object)[:-1]
+                lot = max(1, CELLS // max(1, len(asking)))
+                for first in range(0, own.num_rows, lot):
+                    put(scans[name], own.take(pa.array(range(first, min(first + lot, own.num_rows)))))
+                    for query, ids, scores in scans[name].found:
+                        cols = {"query_id": asking[query], "collection": [name] * len(query), "chunk_id": ids, "score": scores}
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(cols.get(f.name, [None] * len(query)), type=f.type) for f in arrow], schema=arrow)
+                    scans[name].found = []
+        for name, found in scans.items() if k is not None else ():
             rows = [(asked[name].names[q], name, *rest) for q, *rest in found.rows()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return counted(corpus).mapInArrow(run, schema)
+    return counts.mapInArrow(run, schema)

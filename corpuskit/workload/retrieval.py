@@ -10,7 +10,6 @@ from corpuskit.functions import vectors as vx
 from corpuskit.operators import evaluation as ev
 from corpuskit.operators import reranking as rr
 from corpuskit.operators import retrieval as rt
-from corpuskit.operators.ordered import top_rows
 from corpuskit.operators.postings import Postings
 from corpuskit.session import fresh_path
 from corpuskit.workload.common import Book, Tables
@@ -80,11 +79,11 @@ _NORM = """
 
 
 @BOOK.add("minmax_scores", f"""
-      WITH {bm25_sql()}, {_NORM}, hits AS ({top_sql('sparse', 10)})
-      SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""")
+      WITH {bm25_sql()}, {_NORM}
+      SELECT query_id, chunk_id, round(score, 6) AS score FROM sparse""")
 def minmax_scores(t: Tables) -> DataFrame:
-    """The best rows, scaled by the range of all scores of their query."""
-    return top_rows(rt.bm25_normalised(t.text_queries(), t.corpus(), 10), ["query_id"], rt.best_first(), 10)
+    """All matching rows, scaled by the range of all scores of their query."""
+    return rt.bm25_normalised(t.text_queries(), t.corpus(), None)
 
 
 # The dense leg: a query's vector is the one with its id, a document's likewise.

@@ -194,6 +194,45 @@ def test_counted_terms(spark):
         assert dict(zip(r.terms, r.tfs)) == Counter(texts[r.chunk_id]) and r.doc_len == len(texts[r.chunk_id])
 
 
+def test_counts_of_some_terms(spark):
+    from corpuskit.operators import sparse as sp
+
+    docs, _ = collections(spark)
+    some = sorted({t for r in sp.counted(docs).collect() for t in r.terms})[::3]
+    whole = {r.chunk_id: (r.doc_len, {t: n for t, n in zip(r.terms, r.tfs) if t in some}) for r in sp.counted(docs).collect()}
+    found = {r.chunk_id: (r.doc_len, dict(zip(r.terms, r.tfs))) for r in sp.counted_among(docs, [*some, "unheard-of"]).collect()}
+    assert found == whole
+
+
+def test_all_scaled_scores_are_listed(spark, monkeypatch):
+    docs, asked = collections(spark)
+
+    def listed():
+        return {(r.query_id, r.collection, r.chunk_id): round(r.score, 6) for r in rt.bm25_normalised(asked, docs, None).collect()}
+
+    found = listed()
+    assert set(found) == {(r.query_id, r.collection, r.chunk_id) for r in rt.bm25_scores(asked, docs).collect()}
+    best = {(r.query_id, r.collection, r.chunk_id): round(r.score, 6) for r in rt.bm25_normalised(asked, docs, 2).collect()}
+    assert len(best) < len(found) and best.items() <= found.items()
+    monkeypatch.setattr(rt.sp, "CELLS", 50)
+    assert listed() == found
+    monkeypatch.setattr(rt.sp, "weights", lambda *a, **k: None)
+    assert listed() == found
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    docs, asked = collections(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rt.bm25_topk(asked, docs.mapInArrow(seen, docs.schema), 6).collect()
+    assert read.value == docs.count()
+
+
 def test_bm25_scan_equals_joins_by_collection(spark, monkeypatch):
     docs, asked = collections(spark)
     scan = rounded(rt.bm25_topk(asked, docs.repartition(5), 6))
