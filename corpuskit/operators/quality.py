@@ -16,6 +16,7 @@ from corpuskit.functions import text as tx
 from corpuskit.functions import vectors as vx
 from corpuskit.operators.ordered import earlier_values, with_neighbour
 from corpuskit.operators.skew import join_copies
+from corpuskit.session import kept_table
 
 
 def _rows(df: DataFrame, keep: Sequence[Column], checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
@@ -212,10 +213,14 @@ def retrieval_findings(hits: DataFrame, strict: bool = False, queries: DataFrame
     """query_id, chunk_id, rank, check_name, severity for ranked hits (k rows per query).
 
     With ``queries`` (query_id) those without any hit are found too, with a null
-    chunk and rank.
+    chunk and rank; the hits are stored then, without their content, for two readers.
     """
     from pyspark.sql import Window
 
+    hits = hits.select("query_id", "chunk_id", "rank", "score", (F.coalesce("content", F.lit("")) == "").alias("_blank"))
+    if queries is not None:
+        hits = kept_table(hits, "hits")
+
     by_rank = Window.partitionBy("query_id").orderBy("rank")
     same_chunk = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
     seen = hits.withColumn("_before", F.lag("score").over(by_rank)).withColumn(
@@ -229,7 +234,7 @@ def retrieval_findings(hits: DataFrame, strict: bool = False, queries: DataFrame
         ("score_range", "warning", ~F.isnan(s) & ((s < 0) | (s > 1))),
         ("order", "error", s > F.col("_before") + 1e-9),
         ("empty_id", "warning", chunk == ""),
-        ("empty_content", "warning", F.coalesce("content", F.lit("")) == ""),
+        ("empty_content", "warning", F.col("_blank")),
     ])
     if queries is not None:
         kinds = dict(hits.dtypes)

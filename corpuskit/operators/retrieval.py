@@ -43,13 +43,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray,
     return flat.reshape(-1, dims), np.flatnonzero(good)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1.0)
+
+
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "dot":
         return q @ x.T
-    if metric == "cosine":
-        qn = np.linalg.norm(q, axis=1, keepdims=True)
-        xn = np.linalg.norm(x, axis=1, keepdims=True)
-        return (q / np.where(qn > 0, qn, 1.0)) @ (x / np.where(xn > 0, xn, 1.0)).T
     if metric == "l2":
         square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
         return 1.0 / (1.0 + np.sqrt(np.maximum(square, 0.0)))
@@ -174,7 +175,9 @@ def _scan(grid: DataFrame, k: int, metric: str, schema: T.StructType, per_collec
         [pa.field(f.name, t.type) for f, t in zip(schema, _arrow_types(grid.sparkSession, schema))])
 
     def matrix(block: dict) -> np.ndarray:
-        return np.frombuffer(block["vectors"]).reshape(-1, block["dims"])
+        found = np.frombuffer(block["vectors"]).reshape(-1, block["dims"])
+        # Once per block: the cosine is the product of unit vectors.
+        return _unit(found) if metric == "cosine" else found
 
     def results(ids: list, found: dict, targets: dict) -> Iterator[pa.RecordBatch]:
         for name, running in found.items():
@@ -209,9 +212,12 @@ def _scan(grid: DataFrame, k: int, metric: str, schema: T.StructType, per_collec
                     groups = [(c, np.flatnonzero(own == c)) for c in set(block["names"]) if c in targets]
                 for name, at in groups:
                     of = targets[name]
-                    running = found.setdefault(name, Running(len(of), k))
+                    if name not in found:
+                        found[name] = Running(len(of), k)
+                    some, own_ids = (mat, chunks) if name is None else (mat[at], chunks[at])
                     for first in range(0, len(of), step):
-                        running.add(_scores(q_mat[of[first:first + step]], mat[at], metric), chunks[at], first)
+                        found[name].add(
+                            _scores(q_mat[of[first:first + step]], some, "dot" if metric == "cosine" else metric), own_ids, first)
         yield from results(ids, found, targets)
 
     return grid.mapInArrow(scan, schema)

@@ -287,3 +287,40 @@ def test_multi_query_with_a_retriever(spark):
 
     hits = rt.multi_query_topk(q, None, 2, retrieve=retrieve).orderBy("rank").collect()
     assert [(h.query_id, h.chunk_id) for h in hits] == [(1, 0), (1, 1)] and len(asked) == 3
+
+
+@pytest.mark.parametrize("query", ["graded_by_citations", "retrieval_findings"])
+def test_a_search_with_several_readers_runs_once(spark, monkeypatch, query):
+    from corpuskit.workload.vectors import BOOK
+
+    rows, whole = spark.sparkContext.accumulator(0), rt.dense_topk
+
+    def counting(*args, **more):
+        def seen(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        hits = whole(*args, **more)
+        return hits.mapInArrow(seen, hits.schema)
+
+    monkeypatch.setattr(rt, "dense_topk", counting)
+    BOOK.queries[query](spark, "/root/testdata/sf0.001").collect()
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert rows.value == vectors * (25 if query == "graded_by_citations" else 10)
+
+
+def test_running_best_takes_only_candidates(monkeypatch):
+    import numpy as np
+
+    from corpuskit.operators import running
+
+    rounded, np_round = [], np.round
+    monkeypatch.setattr(running.np, "round", lambda x, n: (rounded.append(np.size(x)), np_round(x, n))[1])
+    scores = np.random.default_rng(0).random((20, 5000))
+    best, ids = running.Running(20, 3), np.arange(5000)
+    for at in range(0, 5000, 500):
+        best.add(scores[:, at:at + 500], ids[at:at + 500])
+    query, found, _ = best.rows()
+    assert sorted(zip(query, found)) == sorted((q, i) for q in range(20) for i in np.argsort(-scores[q])[:3])
+    assert sum(rounded[1:]) < 20 * 5000 / 50
