@@ -1,6 +1,6 @@
 """A stored inverted index by collection, in blocks whose best score is known before they are read.
 
-Chunks are numbered into cells of a fixed size as they are written.  A block
+A collection's chunks are cut into cells of at most a fixed size where they are read.  A block
 holds the postings of one term in one cell, beside its largest term frequency and
 its smallest length; these bound the score of anything in the block for any
 weights.  A search first adds up the bounds of a query's terms cell by cell,
@@ -11,18 +11,28 @@ only those whose bound reaches the k-th score found.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpuskit.functions import text as tx
 from corpuskit.operators import sparse as sp
 from corpuskit.operators.ordered import top_rows
 from corpuskit.operators.running import TIE_DIGITS
-from corpuskit.session import kept_table
+from corpuskit.session import bound_batches, fresh_path, kept_table
 
 BUCKETS = 64
 CELL_CHUNKS = 1024
+# Words that a task holds before it closes its cells, and blocks that it hands on at once.
+WORDS_AT_ONCE = 4_000_000
+BLOCKS_AT_ONCE = 20_000
 # Cells that a search scores before it knows a k-th score.
 FIRST_CELLS = 2
 # Bounds and scores add up the same numbers in another order.
@@ -51,23 +61,102 @@ class Postings:
         """
         segment = uuid.uuid4().hex
         # Written once, so that a chunk's cell is fixed.
-        counts = kept_table(sp.counted(corpus).withColumn(
-            "cell", F.floor(F.monotonically_increasing_id() / self.cell_chunks)), "counted")
-        rows = counts.select(
-            "collection", "cell", "chunk_id", "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("_t"))
-        blocks = rows.select("collection", "cell", "chunk_id", "doc_len", "_t.terms", "_t.tfs").groupBy(
-            "collection", F.col("terms").alias("term"), "cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tfs").alias("max_tf"), F.min("doc_len").alias("min_len"),
-            # At most as many as a cell has chunks.
-            F.collect_list(F.struct("chunk_id", F.col("tfs").alias("tf"), "doc_len")).alias("postings"))
-        blocks = blocks.withColumn("bucket", self._bucket()).withColumn("segment", F.lit(segment))
-        blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term").write.mode(
-            "append").partitionBy("bucket").parquet(f"{self.path}/blocks")
+        path = fresh_path(self.spark, "cells")
+        self._cells(corpus).write.option("compression", "zstd").parquet(path)
+        rows = self.spark.read.parquet(path)
+        blocks = rows.filter(F.col("term").isNotNull()).drop("n", "length").withColumn("bucket", self._bucket())
+        # What the postings say themselves is added behind the shuffle.
+        blocks = blocks.hint("rebalance", "bucket").withColumns({
+            "segment": F.lit(segment), "n": F.size("tfs").cast("long"),
+            "max_tf": F.array_max("tfs"), "min_len": F.array_min("lens")})
+        blocks.sortWithinPartitions("bucket", "collection", "term").write.mode("append").option("compression", "zstd").partitionBy(
+            "bucket").parquet(f"{self.path}/blocks")
         # Last: a segment without totals is not there yet.
-        counts.groupBy("collection").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("length")).withColumn(
+        rows.filter(F.col("term").isNull()).groupBy("collection").agg(
+            F.sum("n").alias("n_docs"), F.sum("length").alias("length")).withColumn(
             "segment", F.lit(segment)).coalesce(1).write.mode("append").parquet(f"{self.path}/totals")
 
+    def _cells(self, corpus: DataFrame) -> DataFrame:
+        """The blocks of each cell, and a row without a term that has the cell's ``n`` chunks and ``length`` in words.
+
+        A task takes chunks until it holds ``WORDS_AT_ONCE`` words and cuts each
+        collection's into cells, so a term's postings in a cell are gathered where
+        they are read and move as one row.
+        """
+        size = self.cell_chunks
+        bound_batches(self.spark)
+        df = corpus.select(sp.collection_of(corpus).alias("collection"), "chunk_id",
+                           tx.terms(F.coalesce("text", F.lit(""))).alias("words"))
+        chunk = df.schema["chunk_id"].dataType
+        schema = T.StructType([
+            df.schema["collection"], T.StructField("term", T.StringType()), T.StructField("cell", T.LongType()),
+            T.StructField("n", T.LongType()), T.StructField("length", T.LongType()),
+            T.StructField("chunk_ids", T.ArrayType(chunk)), T.StructField("tfs", T.ArrayType(T.IntegerType())),
+            T.StructField("lens", T.ArrayType(T.IntegerType()))])
+
+        def cut(held: list[pa.RecordBatch], first: int) -> tuple[list[pa.RecordBatch], int]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            names = table["collection"].chunk(0).dictionary_encode(null_encoding="encode")
+            ids, words = table["chunk_id"].chunk(0), table["words"].chunk(0)
+            codes = names.indices.to_numpy().astype(np.int64)
+            lens = pc.list_value_length(words).to_numpy().astype(np.int64)
+            # Chunks side by side by collection, cut into cells.
+            order = np.argsort(codes, kind="stable")
+            ordered = codes[order]
+            place = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+            starts = np.flatnonzero(place % size == 0)
+            number = np.cumsum(place % size == 0) - 1
+            cell_of, at = np.empty_like(number), np.empty_like(place)
+            cell_of[order], at[order] = number, place % size
+            cell_names = names.dictionary.take(pa.array(ordered[starts]))
+            cells = pa.array(first + np.arange(len(starts)))
+            out = [pa.RecordBatch.from_arrays([
+                cell_names, pa.nulls(len(starts), pa.string()), cells, pa.array(np.diff(np.r_[starts, len(order)])),
+                pa.array(np.add.reduceat(lens[order], starts)),
+                pa.nulls(len(starts), pa.list_(ids.type)), pa.nulls(len(starts), pa.list_(pa.int32())),
+                pa.nulls(len(starts), pa.list_(pa.int32()))], names=schema.names)]
+            terms = pc.list_flatten(words).dictionary_encode()
+            width = max(1, len(terms.dictionary))
+            of = pc.list_parent_indices(words).to_numpy()
+            found, tfs = np.unique(
+                (cell_of[of] * width + terms.indices.to_numpy()) * size + at[of], return_counts=True)
+            blocks, place = np.divmod(found, size)
+            edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.empty(0, np.int64)
+            cell, term = np.divmod(blocks[edges], width)
+            chunks = order[starts[blocks // width] + place]
+            edges = np.r_[edges, len(found)]
+            for low in range(0, len(cell), BLOCKS_AT_ONCE):
+                some = slice(low, min(low + BLOCKS_AT_ONCE, len(cell)))
+                begin, end = int(edges[some.start]), int(edges[some.stop])
+                inner = edges[some.start:some.stop] - begin
+                offsets = pa.array(np.r_[inner, end - begin], pa.int32())
+                own, tf = chunks[begin:end], tfs[begin:end]
+                out.append(pa.RecordBatch.from_arrays([
+                    cell_names.take(pa.array(cell[some])), terms.dictionary.take(pa.array(term[some])),
+                    pa.array(first + cell[some]), pa.nulls(len(inner), pa.int64()),
+                    pa.nulls(len(inner), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, ids.take(pa.array(own))),
+                    pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(lens[own], pa.int32()))], names=schema.names))
+            return out, first + len(starts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Numbers that no other task gives.
+            first = TaskContext.get().partitionId() << 33
+            held, waiting = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    waiting += len(batch.column("words").flatten())
+                if waiting >= WORDS_AT_ONCE:
+                    out, first = cut(held, first)
+                    held, waiting = [], 0
+                    yield from out
+            if held:
+                yield from cut(held, first)[0]
+
+        return df.mapInArrow(run, schema)
+
     def totals(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/totals")
 
@@ -108,10 +197,14 @@ class Postings:
     def _scores(self, cells: DataFrame, weighted: DataFrame, k1: float, b: float) -> DataFrame:
         """Exact scores of the chunks in (query, cell) rows."""
         wanted = cells.join(weighted, ["query_id", "collection"]).withColumn("bucket", self._bucket())
-        found = self.blocks().join(wanted, ["bucket", *BLOCK]).select(
-            "query_id", "collection", "idf", "avg_len", F.explode("postings").alias("_p"))
-        part = F.col("idf") * sp.saturation(F.col("_p.tf"), F.col("_p.doc_len"), F.col("avg_len"), k1, b)
-        return found.groupBy("query_id", "collection", F.col("_p.chunk_id").alias("chunk_id")).agg(
+        # Few blocks are of terms that are asked for; the others stay where they lie.
+        terms = weighted.select("collection", "term").distinct().withColumn("bucket", self._bucket())
+        few = terms.limit(sp.BROADCAST_TERMS + 1).count() <= sp.BROADCAST_TERMS
+        blocks = self.blocks().join(F.broadcast(terms) if few else terms, ["bucket", "collection", "term"], "left_semi")
+        found = blocks.join(wanted, ["bucket", *BLOCK]).select(
+            "query_id", "collection", "idf", "avg_len", F.explode(F.arrays_zip("chunk_ids", "tfs", "lens")).alias("_p"))
+        part = F.col("idf") * sp.saturation(F.col("_p.tfs"), F.col("_p.lens"), F.col("avg_len"), k1, b)
+        return found.groupBy("query_id", "collection", F.col("_p.chunk_ids").alias("chunk_id")).agg(
             F.sum(part).alias("score"))
 
     def plan(self, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75,

@@ -276,6 +276,29 @@ def test_stored_postings_in_later_segments_alone(spark, tmp_path):
     assert [r.chunk_id for r in store.topk(q, 2).orderBy("rank").collect()] == [2, 0]
 
 
+def test_stored_cells_belong_to_one_collection(spark, tmp_path, monkeypatch):
+    from corpuskit.operators import postings
+
+    monkeypatch.setattr(postings, "WORDS_AT_ONCE", 500)
+    docs = spark.createDataFrame(
+        [(i, None if i % 50 == 7 else " ".join(f"w{j % (i % 9 + 2)}" for j in range(i % 13)),
+          None if i % 31 == 0 else f"c{i % 3}") for i in range(300)], "chunk_id long, text string, collection string")
+    store = postings.Postings(spark, str(tmp_path / "index"), buckets=4, cell_chunks=16)
+    store.append(docs.coalesce(2))
+    cells = store.blocks().select("collection", "cell", F.explode("chunk_ids").alias("c")).groupBy("cell").agg(
+        F.count_distinct("collection").alias("names"), F.count_distinct("c").alias("chunks"))
+    most = cells.agg(F.max("names"), F.max("chunks")).first()
+    # A chunk without words has no postings.
+    assert most[0] == 1 and 8 < most[1] <= 16
+    got = store.blocks().select("collection", "term", F.explode(F.arrays_zip("chunk_ids", "tfs", "lens")).alias("p"))
+    want = rt.sp.counted(docs).select(
+        "collection", F.explode(F.arrays_zip("terms", "tfs")).alias("t"), "chunk_id", "doc_len").select(
+        "collection", "t.terms", "chunk_id", "t.tfs", "doc_len")
+    assert got.select("collection", "term", "p.*").exceptAll(want).isEmpty()
+    assert want.exceptAll(got.select("collection", "term", "p.*")).isEmpty()
+    assert store.totals().agg(F.sum("n_docs")).first()[0] == 300
+
+
 def test_multi_query_with_a_retriever(spark):
     q = spark.createDataFrame([(1, "find the cat now"), (2, " ")], "query_id long, text string")
     asked = []
