@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +54,13 @@ def stream_ingest(
         documents.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint), trigger)
 
 
+# Groups of keys that share one state.
+REPEAT_GROUPS = 1024
+
+
 def suppress_repeats(
     stream: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "1 hour", idle: str | None = None,
+    groups: int = REPEAT_GROUPS,
 ) -> DataFrame:
     """Pass a row of a key and hold back those less than ``ttl`` after the last one passed.
 
@@ -62,31 +68,58 @@ def suppress_repeats(
     then rows later than that by event time are dropped, as with any watermark,
     and a key without rows for so long is forgotten.  Otherwise no row is dropped
     for being late; one that lies before the last passed row counts as its repeat.
+    Keys are dealt by hash to ``groups`` states, so that a call of the function
+    serves many of them; the number is fixed with the checkpoint, and a batch
+    writes the states of the groups it touches.
     """
     gap = int(pd.Timedelta(ttl).total_seconds() * 1e6)
     rest = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     columns = stream.columns
 
-    def choose(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
-        last, kept = state.get[0] if state.exists else None, []
-        for at, value in zip(rows.index, rows[ts].astype("datetime64[us]").astype("int64")):
-            if last is None or value - last >= gap:
-                last = int(value)
-                kept.append(at)
-        state.update((last,))
+    def choose(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # Of each key the last row passed, and the time after which it is forgotten.
+        names, lasts, untils = state.get if state.exists else ([], [], [])
+        known = {name: (last, until) for name, last, until in zip(names, lasts, untils)}
+        watermark = 0 if rest is None else state.getCurrentWatermarkMs()
+        out, asked = None, set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            codes, fresh = pd.factorize(rows["_repeat_key"])
+            values = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
+            order, kept, before, last = np.lexsort((values, codes)), [], None, None
+            for at, code, value in zip(order.tolist(), codes[order].tolist(), values[order].tolist()):
+                if code != before:
+                    before, name = code, fresh[code]
+                    last = known[name][0] if name in known else None
+                if last is None or value - last >= gap:
+                    last = value
+                    kept.append(at)
+                    known[name] = (last, 0)
+            asked = set(fresh)
+            out = rows.loc[kept, columns]
         if rest is not None:
-            state.setTimeoutTimestamp(max(last // 1000 + rest, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[kept, columns]
+            for name in asked:
+                last = known[name][0]
+                known[name] = (last, max(last // 1000 + rest, watermark + 1))
+            known = {name: one for name, one in known.items() if name in asked or one[1] >= watermark}
+        if known:
+            state.update((list(known), [last for last, _ in known.values()], [until for _, until in known.values()]))
+            if rest is not None:
+                state.setTimeoutTimestamp(max(min(until for _, until in known.values()), watermark + 1))
+        else:
+            state.remove()
+        if out is not None:
+            yield out
 
     rows = stream.filter(F.col(ts).isNotNull())
     if idle is not None:
         rows = rows.withWatermark(ts, idle)
-    return rows.groupBy(*keys).applyInPandasWithState(
-        choose, stream.schema, "last long", "append", "NoTimeout" if idle is None else "EventTimeTimeout")
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = rows.withColumns({
+        "_repeat_key": name, "_repeat_group": F.pmod(F.xxhash64(name), F.lit(groups)).cast("int")})
+    return rows.groupBy("_repeat_group").applyInPandasWithState(
+        choose, stream.schema, "names array<string>, lasts array<long>, untils array<long>", "append",
+        "NoTimeout" if idle is None else "EventTimeTimeout")
 
 
 def trace_windows(stream: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:

@@ -70,3 +70,37 @@ def test_answering_plan(spark):
     out = rows.first()
     assert out.num_chunks == 3 and out.user_prompt.startswith("Query: topic3 text") and len(out.prompt_hash) == 16
     assert cited.count() == 3
+
+
+def test_repeats_by_groups_of_keys(spark, tmp_path):
+    rows = [(u, e, 60 * ((7 * i * (u + 1)) % 500)) for i in range(60) for u in range(4) for e in ("a", None)]
+    made = spark.createDataFrame(rows, "user_id long, event_type string, minute long").selectExpr(
+        "user_id", "event_type", "timestamp_seconds(minute) AS ts")
+    path, (early, late) = str(tmp_path / "in"), (made.filter("minute(ts) % 2 = 0"), made.filter("minute(ts) % 2 = 1"))
+    got, last = [], {}
+    for part in (early, late):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(made.schema).parquet(path)
+        passed = jobs.suppress_repeats(stream, ["user_id", "event_type"], groups=2)
+        jobs.write_rows(passed, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+        for u, e, at in sorted(map(tuple, part.collect()), key=lambda r: r[2]):
+            if (u, e) not in last or (at - last[u, e]).total_seconds() >= 3600:
+                last[u, e] = at
+                got.append((u, e, at))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: (r[0], r[1] or "", r[2])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(got, key=key)
+
+
+def test_repeats_of_idle_keys_are_forgotten(spark, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    for minutes in ([0, 10], [200], [400]):
+        df = spark.createDataFrame([(m // 100, 60 * m) for m in minutes], "k long, s long").selectExpr(
+            "k", "timestamp_seconds(s) AS ts")
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        passed = jobs.suppress_repeats(stream, ["k"], idle="30 minutes", groups=1)
+        query = jobs.write_rows(passed, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        query.awaitTermination()
+        seen.append(spark.read.parquet(str(tmp_path / "out")).count())
+    assert seen == [1, 2, 3]
