@@ -29,7 +29,7 @@ SIMILAR = 0.8
 # Hash functions, and k-mers kept by each.
 SKETCHES = 48
 KEPT = 3
-# 64-bit words that mark which classes of words a text has.
+# 64-bit words that mark which classes of words a text has an odd number of.
 MARKS = 32
 # Copies from which on a text or class is dealt out over tasks, and how many such keys there are at most.
 HOT_ROWS = 500
@@ -97,10 +97,10 @@ def sketch(words: np.ndarray, k: int = WORDS, functions: int = SKETCHES, kept: i
 
 
 def presence(words: np.ndarray) -> np.ndarray:
-    """Which of 64 * MARKS word classes occur.  An edit changes two of them at most."""
-    seen = np.zeros(64 * MARKS, np.uint8)
-    seen[words % np.uint64(64 * MARKS)] = 1
-    return np.packbits(seen).view(np.int64)
+    """Which of 64 * MARKS word classes hold an odd number of words.  An edit changes two of them at most."""
+    classes = (words % np.uint64(64 * MARKS)).astype(np.int64)
+    odd = (np.bincount(classes, minlength=64 * MARKS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
