@@ -10,7 +10,9 @@ holds are linked, and of each connected group the first occurrence stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,9 @@ KEPT = 3
 MOST_CHARS_WORDS = 12
 LONG_WORD = 12
 CHARS = 4
+# 64-bit words that mark which classes of character pairs a line has an odd number of, and lines marked at once.
+MARKS = 8
+MARKED_AT_ONCE = 2_000
 # Words, or characters, that are hashed at once in a worker.
 WORDS_AT_ONCE = 200_000
 
@@ -127,6 +132,24 @@ def sketch_lines(plain: list[str], cache: dict, least: float = SIMILAR) -> list[
     return [np.concatenate(rows).view(np.int32) if rows else np.empty(0, np.int32) for rows in found]
 
 
+def odd_classes(plain: list[str]) -> np.ndarray:
+    """Which of 64 * MARKS classes hold an odd number of a line's pairs of neighbouring characters, as MARKS numbers.
+
+    An edit takes out two pairs and puts in two at most, so it changes four marks at most.
+    """
+    width = 64 * MARKS
+    out = np.empty((len(plain), MARKS), np.int64)
+    for low in range(0, len(plain), MARKED_AT_ONCE):
+        some = plain[low:low + MARKED_AT_ONCE]
+        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        of = np.repeat(np.arange(len(some)), [len(line) for line in some])
+        inside = np.flatnonzero(of[1:] == of[:-1])
+        classes = _mixed(points[inside] * np.uint64(0x110000) + points[inside + 1]) % np.uint64(width)
+        odd = np.bincount(of[inside] * width + classes.astype(np.int64), minlength=len(some) * width) & 1
+        out[low:low + len(some)] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, MARKS)
+    return out
+
+
 def block_keys(fingerprint: str, radius: int, blocks: int) -> Column:
     """A key for every choice of ``blocks - radius`` blocks; fingerprints within the radius share one."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -235,13 +258,27 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             return sizes
         return sizes & (F.bit_count(F.col(f"{x}_print").bitwiseXOR(F.col(f"{y}_print"))) <= radius)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = kept_table(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def lines_of(wanted: DataFrame) -> DataFrame:
+        """(``id``, ``line``) of the given ids."""
         wanted = distinct.join(counted_hint(wanted), "id").select("id", "first.*")
-        some = texts.join(counted_hint(wanted), ["key", "version"]).select(
+        return texts.join(counted_hint(wanted), ["key", "version"]).select(
             "id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id"])
-        some = kept_table(some, "texts")
+
+    def marked(open_: DataFrame) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def mark(lines: pd.Series) -> pd.Series:
+            return pd.Series(list(odd_classes([normalised(line) for line in lines])))
+
+        rows = settle(lines_of(kept_table(open_, "open-ids")).select("id", mark("line").alias("marks")), "marks")
+        return rows.select("id", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS)])
+
+    def near(x: str, y: str) -> Column:
+        flips = reduce(add, [F.bit_count(F.col(f"{x}_m{i}").bitwiseXOR(F.col(f"{y}_m{i}"))) for i in range(MARKS)])
+        return flips <= 4 * F.floor((1 - least) * F.greatest(f"{x}_n_chars", f"{y}_n_chars") + 1e-9)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = kept_table(pairs, "pairs")
+        some = kept_table(lines_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
         both = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
             some.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
 
@@ -260,7 +297,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         return both.filter(alike("line_a", "line_b")).select("a", "b")
 
     traits = distinct.select("id", "n_chars") if radius is None else distinct.select("id", "print", "n_chars")
-    found = grouped(members, traits, compatible, verify)
+    found = grouped(members, traits, compatible, verify, late=(marked, near))
     # Only lines that stand twice or belong to a group touch the occurrences again.
     groups = distinct.join(found, "id", "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
     groups = kept_table(groups.select("high", "low", "first", F.coalesce("component", "id").alias("group")), "groups")

@@ -250,3 +250,25 @@ def test_short_lines_and_lines_without_blanks(spark):
     out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(
         table(spark, [(i, t, "a") for i, t in docs]), radius=None).collect()}
     assert out == {1: (docs[0][1], 0), 2: ("", 3), 3: ("menus\n \none too", 1)}
+
+
+def test_marks_refuse_nothing_within_the_edits():
+    from corpuskit.llm.alignment import edit_distance
+    from corpuskit.llm.line_dedup import odd_classes
+    from corpuskit.llm.order_minhash import presence
+
+    rng, flips = random.Random(5), lambda x, y: int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
+    for _ in range(200):
+        a = [rng.choice("abcde ") for _ in range(rng.randrange(2, 80))]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(2)] = rng.choice(["", "x", "b"])
+        x, y = (np.frombuffer("".join(s).encode("utf-32-le"), np.uint32) for s in (a, b))
+        marks = odd_classes(["".join(a), "".join(b)])
+        assert flips(marks[0], marks[1]) <= 4 * edit_distance(x, y)
+        assert flips(presence(x.astype(np.uint64)), presence(y.astype(np.uint64))) <= 2 * edit_distance(x, y)
+    # A word that stands elsewhere, too, is missed.
+    words = np.array([1, 2, 1, 2, 1, 2], np.uint64)
+    assert flips(presence(words), presence(np.array([1, 2, 1, 2, 1, 1], np.uint64))) == 2
+    assert flips(*odd_classes(["an open line with words", "one more thing to be seen"])) > 4 * 2
