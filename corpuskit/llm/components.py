@@ -47,9 +47,6 @@ def with_company(members: DataFrame) -> DataFrame:
 
 # Rounds in which every id meets one pivot, before what is left meets in pairs.
 PIVOT_ROUNDS = 2
-# Rounds at most while links are found and the open buckets hold more than so many possible pairs a row.
-MOST_ROUNDS = 6
-MANY_PAIRS = 32
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -69,12 +66,6 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(spans.filter("_low < _high").select("bucket"), "bucket").select("bucket", "id", "component")
 
 
-def _many_pairs(members: DataFrame) -> bool:
-    rows, pairs = members.groupBy("bucket").count().agg(
-        F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-    return rows is not None and pairs > MANY_PAIRS * rows
-
-
 def grouped(
     members: DataFrame, ids: DataFrame, compatible: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame], rounds: int = PIVOT_ROUNDS,
@@ -91,8 +82,7 @@ def grouped(
     traits, whose names have these prefixes; it decides inside the join, so what
     it refuses is never a row.  ``late`` gives for the ids that are still open
     at the end traits that cost too much for all, and a necessary condition over
-    these alone, which then holds beside the other.  While buckets are large and
-    links are found there, up to ``MOST_ROUNDS`` rounds go before.  ``verify`` keeps the pairs (a, b) that hold.  Every
+    these alone, which then holds beside the other.  ``verify`` keeps the pairs (a, b) that hold.  Every
     similar pair of a bucket therefore ends in one component, directly or through
     others.
     """
@@ -111,11 +101,9 @@ def grouped(
     first = kept_alone(spark, lambda: verify(compatible_pairs(stars)), "verified")
     found = kept_alone(spark, lambda: components(first), "found")
     members = kept_alone(spark, lambda: _open(members, found), "open")
-    for turn in range(max(rounds, MOST_ROUNDS) if rounds else 0):
+    for turn in range(rounds):
         if members.isEmpty():
             return found
-        if turn >= rounds and not _many_pairs(members):
-            break
         lots = members.groupBy("bucket").agg(
             F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("_p"), F.count("*").alias("_n"))
         # Of an id's pivots the one of its largest bucket: a large group soon is one component.
