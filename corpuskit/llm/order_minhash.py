@@ -29,7 +29,7 @@ SIMILAR = 0.8
 # Hash functions, and k-mers kept by each.
 SKETCHES = 48
 KEPT = 3
-# 64-bit words that mark which classes of words a text has an odd number of.
+# 64-bit words that mark which classes of numbered words a text has an odd number of.
 MARKS = 32
 # Copies from which on a text or class is dealt out over tasks, and how many such keys there are at most.
 HOT_ROWS = 500
@@ -55,6 +55,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def numbered(items: np.ndarray) -> np.ndarray:
+    """Hashes of the items, equal ones told apart by their number."""
+    order = np.argsort(items, kind="stable")
+    ordered = items[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(items)])
+    number = np.empty(len(items), np.uint64)
+    number[order] = np.arange(len(items)) - np.repeat(starts, np.diff(np.r_[starts, len(items)]))
+    return _mixed(items + number * np.uint64(0xD6E8FEB86659FD93))
+
+
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows, equal ones told apart by their number; a short text is one window."""
     if not len(words):
@@ -63,13 +73,7 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
         out = out * np.uint64(0x100000001B3) + _mixed(words[j:len(words) - k + 1 + j] + np.uint64(j))
-    order = np.argsort(out, kind="stable")
-    ordered = out[order]
-    fresh = np.r_[True, ordered[1:] != ordered[:-1]]
-    starts = np.flatnonzero(fresh)
-    number = np.empty(len(out), np.uint64)
-    number[order] = np.arange(len(out)) - np.repeat(starts, np.diff(np.r_[starts, len(out)]))
-    return _mixed(out + number * np.uint64(0xD6E8FEB86659FD93))
+    return numbered(out)
 
 
 def sketch(words: np.ndarray, k: int = WORDS, functions: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
@@ -97,8 +101,11 @@ def sketch(words: np.ndarray, k: int = WORDS, functions: int = SKETCHES, kept: i
 
 
 def presence(words: np.ndarray) -> np.ndarray:
-    """Which of 64 * MARKS word classes hold an odd number of words.  An edit changes two of them at most."""
-    classes = (words % np.uint64(64 * MARKS)).astype(np.int64)
+    """Which of 64 * MARKS classes hold an odd number of a text's numbered words.
+
+    An edit changes two marks at most, one that puts in or takes out a word only one.
+    """
+    classes = ((numbered(words) >> np.uint64(20)) % np.uint64(64 * MARKS)).astype(np.int64)
     odd = (np.bincount(classes, minlength=64 * MARKS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -151,7 +158,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         longest = F.greatest(f"{x}_n_words", f"{y}_n_words")
         edits = F.floor((1 - least) * longest + 1e-9)
         flips = reduce(add, [F.bit_count(F.col(f"{x}_m{i}").bitwiseXOR(F.col(f"{y}_m{i}"))) for i in range(MARKS)])
-        return (longest - F.least(f"{x}_n_words", f"{y}_n_words") <= edits) & (flips <= 2 * edits)
+        # Each word that one has more is an edit that changes one mark.
+        more = longest - F.least(f"{x}_n_words", f"{y}_n_words")
+        return (more <= edits) & (flips <= 2 * edits - more)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "pairs")

@@ -272,3 +272,21 @@ def test_marks_refuse_nothing_within_the_edits():
     words = np.array([1, 2, 1, 2, 1, 2], np.uint64)
     assert flips(presence(words), presence(np.array([1, 2, 1, 2, 1, 1], np.uint64))) == 2
     assert flips(*odd_classes(["an open line with words", "one more thing to be seen"])) > 4 * 2
+
+
+def test_marks_tell_repeated_words_apart():
+    """A word that stands twice in one text and not in the other changes marks, and so does a difference in length."""
+    from corpuskit.llm.order_minhash import presence
+
+    def flips(x, y):
+        marks = [presence(np.array(words, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint64) for words in (x, y)]
+        return int(np.bitwise_count(marks[0] ^ marks[1]).sum())
+
+    passage = [1, 2] * 60
+    x, y = [*range(10, 30)] * 2 + passage, [*range(40, 60)] * 2 + passage
+    assert plain_distance(x, y) == 40 and 70 <= flips(x, y) <= 80
+    rng = random.Random(13)
+    for _ in range(100):
+        a = [rng.randrange(9) for _ in range(rng.randrange(1, 60))]
+        b = [w for w in a if rng.random() > 0.2] + [rng.randrange(9) for _ in range(rng.randrange(6))]
+        assert flips(a, b) <= 2 * plain_distance(a, b) - abs(len(a) - len(b))
