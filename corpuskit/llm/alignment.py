@@ -67,6 +67,11 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     if longest - _common(a, b) > limit:
         return False
     band = min(FIRST_BAND, limit)
+    if longest <= MOST_BITS:
+        # Bit vectors say how wide a band is needed, or that none will do.
+        band = edit_distance(a, b)
+        if band > limit:
+            return False
     while True:
         if banded(a, b, band) <= band:
             return True

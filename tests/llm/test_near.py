@@ -290,3 +290,16 @@ def test_marks_tell_repeated_words_apart():
         a = [rng.randrange(9) for _ in range(rng.randrange(1, 60))]
         b = [w for w in a if rng.random() > 0.2] + [rng.randrange(9) for _ in range(rng.randrange(6))]
         assert flips(a, b) <= 2 * plain_distance(a, b) - abs(len(a) - len(b))
+
+
+def test_a_band_is_not_widened_for_texts_too_far_apart(monkeypatch):
+    """The same words in another order: the words agree, the alignment does not."""
+    from corpuskit.llm import alignment
+
+    rng, bands = random.Random(3), []
+    a = np.array([rng.randrange(40) for _ in range(300)], np.int64)
+    b = np.array(rng.sample(a.tolist(), 300), np.int64)
+    plain = alignment.banded
+    monkeypatch.setattr(alignment, "banded", lambda x, y, band: bands.append(band) or plain(x, y, band))
+    assert not within(a, b, 60) and bands == []
+    assert within(a, b, plain_distance(a, b)) and len(bands) == 1
