@@ -167,3 +167,129 @@ def within_limit(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
         return within(a, b, limit)
     return max(len(x), len(y)) <= limit or (
         len(x) == len(y) and int((x != y).sum()) <= limit) or edit_distance(x, y) <= limit
+
+
+# Longer sequences are asked one by one; at once at most so many cells of an anti-diagonal, and items of one side.
+MOST_TOGETHER = 2_500
+DIAGONAL_CELLS = 1 << 15
+ITEMS_TOGETHER = 1 << 20
+# Anti-diagonals after which pairs that cannot come within their limit leave.
+DIAGONALS = 32
+
+
+def within_each(first: list[np.ndarray], second: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """For many pairs, whether their edit distance is at most the limit: ``within_limit`` for pairs side by side."""
+    limits = np.asarray(limits, np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(first, second)], np.int64).reshape(-1, 2)
+    longest, apart = sizes.max(axis=1, initial=0), abs(sizes[:, 0] - sizes[:, 1])
+    out = longest <= limits
+    open_ = (apart <= limits) & ~out
+    alone = np.flatnonzero(open_ & (longest > MOST_TOGETHER))
+    near = maybe_within([first[i] for i in alone], [second[i] for i in alone], limits[alone])
+    for i in alone[near]:
+        out[i] = within_limit(first[i], second[i], int(limits[i]))
+    # Pairs of like limits and lengths in one slice.
+    todo = np.flatnonzero(open_ & (longest <= MOST_TOGETHER))
+    todo = todo[np.lexsort((longest[todo], limits[todo]))]
+    start = 0
+    while start < len(todo):
+        chosen = todo[start:start + max(16, DIAGONAL_CELLS // (int(limits[todo[start]]) // 2 + 2))]
+        items = np.maximum.accumulate(longest[chosen]) * np.arange(1, len(chosen) + 1)
+        fits = (items <= ITEMS_TOGETHER) & (limits[chosen] <= 2 * limits[chosen[0]] + 16) & (
+            longest[chosen] <= 2 * longest[chosen[0]] + 64)
+        chosen = chosen[:max(1, len(chosen) if fits.all() else int(fits.argmin()))]
+        start += len(chosen)
+        turned = sizes[chosen, 0] > sizes[chosen, 1]
+        out[chosen] = _cores_within(
+            [second[i] if t else first[i] for i, t in zip(chosen, turned)],
+            [first[i] if t else second[i] for i, t in zip(chosen, turned)], limits[chosen])
+    return out
+
+
+def _cores_within(x: list[np.ndarray], y: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """``within_each`` for a slice of pairs, no x longer than its y: common starts and ends go, diagonals decide."""
+    n, m = np.array([len(v) for v in x], np.int64), np.array([len(v) for v in y], np.int64)
+    items = np.concatenate([*x, *y])
+    if items.max(initial=0) > 65_000 or items.min(initial=0) < 0:
+        items = np.unique(items, return_inverse=True)[1]
+    # Two numbers stay free for what lies beyond the ends; one item more, so that any place can be read.
+    kind = np.uint8 if items.max(initial=0) < 254 else np.uint16 if items.max(initial=0) < 65_534 else np.uint32
+    items = np.append(items, 0).astype(kind)
+    x_at, y_at = np.cumsum(n) - n, n.sum() + np.cumsum(m) - m
+    place = np.arange(n.max(initial=0))
+
+    def same(x_place: np.ndarray, y_place: np.ndarray) -> np.ndarray:
+        differ = (items.take(x_place, mode="clip") != items.take(y_place, mode="clip")) | (place >= n[:, None])
+        return np.where(differ.any(axis=1), differ.argmax(axis=1), n) if len(place) else n
+
+    head = same(x_at[:, None] + place, y_at[:, None] + place)
+    tail = np.minimum(same((x_at + n)[:, None] - 1 - place, (y_at + m)[:, None] - 1 - place), n - head)
+    n, m, x_at, y_at = n - head - tail, m - head - tail, x_at + head, y_at + head
+    out = m <= limits
+    left = np.flatnonzero(~out)
+    if len(left):
+        out[left] = _diagonals(items, x_at[left], y_at[left], n[left], m[left], limits[left])
+    return out
+
+
+def _diagonals(items: np.ndarray, x_at: np.ndarray, y_at: np.ndarray, n: np.ndarray, m: np.ndarray,
+               limits: np.ndarray) -> np.ndarray:
+    """The tables of all pairs, one anti-diagonal after the other; a column is a pair.
+
+    An alignment within the limit leaves the diagonals between (0, 0) and (n, m)
+    by half of the edits that the difference in length does not need, so only
+    those are kept.  Cell (i, s - i) of anti-diagonal s stands in row i - first
+    + 1; what lies outside the table or these diagonals is ``far``.
+    """
+    gap, total = m - n, n + m
+    low, high, last = int(((limits - gap) // 2).max()), int(((limits + gap) // 2).max()), int(total.max())
+    reach, kind = (low + high) // 2 + 4, items.dtype
+    cell, far = (np.int16, 16_000) if last + high + 8 < 16_000 else (np.int32, 1 << 30)
+
+    def side(start: np.ndarray, size: np.ndarray, place: np.ndarray, beyond: int) -> np.ndarray:
+        inside = (place >= 0) & (place < size)
+        return np.where(inside, items.take(start + place, mode="clip"), np.array(np.iinfo(kind).max - beyond, kind))
+
+    # The second sequences from their end: along an anti-diagonal both are read upwards.
+    a = side(x_at, n, np.arange(-reach, int(n.max()) + reach)[:, None], 0)
+    back = int(m.max()) + reach
+    b = side(y_at, m, back - np.arange(back + reach)[:, None], 1)
+    old, now, new = (np.full((reach + 2, len(n)), far, cell) for _ in range(3))
+    flags = np.empty(now.shape, bool)
+    ids, out = np.arange(len(n)), np.zeros(len(n), dtype=bool)
+    before = (1 - high) // 2
+    now[1 - before] = 0
+    s, soon = 0, int(total.min())
+    while s < last:
+        s += 1
+        first = (s - high + 1) // 2
+        count, shift, at = (s + low) // 2 - first + 1, first - before, back - (s - first - 1)
+        mine, step, differ = new[1:count + 1], old[1:count + 1], flags[:count]
+        np.minimum(now[shift:shift + count], now[shift + 1:shift + 1 + count], out=mine)
+        mine += 1
+        np.not_equal(a[first - 1 + reach:first - 1 + reach + count], b[at:at + count], out=differ)
+        step += differ
+        np.minimum(mine, step, out=mine)
+        new[count + 1] = far
+        old, now, new = now, new, old
+        if s == soon:
+            done = np.flatnonzero(total == s)
+            out[ids[done]] = now[n[done] - first + 1, done] <= limits[done]
+            soon = int(total.min(where=total > s, initial=last + 1))
+        if s % DIAGONALS == 0 and s < last:
+            # Every way on passes one of the last two anti-diagonals, and must still reach the last diagonal.
+            least = np.full(len(ids), far)
+            for cells, t, lowest in ((now, s, first), (old, s - 1, before)):
+                size = (t + low) // 2 - lowest + 1
+                away = abs((t - 2 * np.arange(lowest, lowest + size))[:, None] - gap)
+                least = np.minimum(least, (cells[1:size + 1] + away).min(axis=0, initial=far))
+            left = np.flatnonzero((least <= limits) & (total > s))
+            if not len(left):
+                break
+            if 4 * len(left) < 3 * len(ids):
+                ids, n, total, limits, gap = ids[left], n[left], total[left], limits[left], gap[left]
+                a, b, old, now = (v.take(left, axis=1) for v in (a, b, old, now))
+                new, flags = np.full_like(now, far), np.empty(now.shape, bool)
+                last, soon = int(total.max()), int(total.min())
+        before = first
+    return out

@@ -70,15 +70,17 @@ def grouped(
     members: DataFrame, ids: DataFrame, compatible: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame], rounds: int = PIVOT_ROUNDS,
     late: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
+    central: bool = False,
 ) -> DataFrame:
     """(``id``, ``component``) of the ids with links: as if all pairs of all buckets had been verified.
 
-    ``members`` holds (``bucket``, ``id``), ``ids`` one row per ``id`` with its
-    traits.  First each id is tried against the leader of a bucket.  Then, for
+    ``members`` holds (``bucket``, ``id``), or a table of ``with_company``, ``ids`` one row
+    per ``id`` with its traits.  First each id is tried against the leader of a bucket.  Then, for
     some rounds, each bucket names one of its members by lot, and each id is tried
     against one of those from another component.  Ids that this joins need no
     further look at one another, so afterwards only pairs from different
-    components meet.  ``compatible(x, y)`` is a necessary condition over the
+    components meet.  With ``central`` the first and then every other round names
+    the member that shares most buckets with others.  ``compatible(x, y)`` is a necessary condition over the
     traits, whose names have these prefixes; it decides inside the join, so what
     it refuses is never a row.  ``late`` gives for the ids that are still open
     at the end traits that cost too much for all, and a necessary condition over
@@ -87,7 +89,8 @@ def grouped(
     others.
     """
     spark = members.sparkSession
-    members = kept_table(with_company(members), "buckets")
+    if "leader" not in members.columns:
+        members = kept_table(with_company(members), "buckets")
     traits = [c for c in ids.columns if c != "id"]
 
     def side(df: DataFrame, id_: str, name: str) -> DataFrame:
@@ -104,8 +107,15 @@ def grouped(
     for turn in range(rounds):
         if members.isEmpty():
             return found
-        lots = members.groupBy("bucket").agg(
-            F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("_p"), F.count("*").alias("_n"))
+        if central and turn % 2 == 0:
+            # The member that shares most buckets with others is near the middle of its group.
+            sizes = members.groupBy("bucket").agg(F.count("*").alias("_n"))
+            weights = members.join(sizes, "bucket").groupBy("id").agg(F.sum("_n").alias("_w"))
+            lot, among = F.struct(-F.col("_w"), F.xxhash64("id")), members.join(weights, "id")
+        else:
+            lot, among = F.xxhash64("id", F.lit(turn)), members
+        lots = among.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "component"), lot).alias("_p"), F.count("*").alias("_n"))
         # Of an id's pivots the one of its largest bucket: a large group soon is one component.
         asked = members.join(lots, "bucket").filter(F.col("component") != F.col("_p.component")).groupBy(
             F.col("id").alias("b")).agg(F.max_by("_p.id", F.struct("_n", F.xxhash64("bucket"))).alias("a"))

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.settle import settle
-from corpuskit.llm.alignment import maybe_within, within_limit
-from corpuskit.llm.components import grouped
+from corpuskit.llm.alignment import within_each
+from corpuskit.llm.components import grouped, with_company
+from corpuskit.llm.hashing import part_hashes
 from corpuskit.llm.order_minhash import _mixed, hash_cache
 from corpuskit.llm.rows import counted_hint, kept_table, packed, small_batches, unpacked, whole_text
 
@@ -105,31 +106,34 @@ def sketches(grams: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def sketch_lines(plain: list[str], cache: dict, least: float = SIMILAR) -> list[np.ndarray]:
+def sketch_lines(plain: list[str], least: float = SIMILAR) -> list[np.ndarray]:
     """The keys of normalised lines; none for a line so short that ``least`` allows no edit."""
     found: list[list] = [[] for _ in plain]
     by_words, by_chars, words, chars, word_sizes, char_sizes = [], [], [], [], [], []
     for i, line in enumerate(plain):
         if int((1 - least) * len(line) + 1e-9) < 1:
             continue
-        own = line.split(" ")
-        if len(own) >= MOST_CHARS_WORDS - 4:
+        n_words = line.count(" ") + 1
+        if n_words >= MOST_CHARS_WORDS - 4:
             by_words.append(i)
-            words += ["", *own, ""]
-            word_sizes.append(len(own) + 2)
-        if len(own) < MOST_CHARS_WORDS or len(line) > LONG_WORD * len(own):
+            # An empty word before the first and after the last.
+            words.append(f" {line} ")
+            word_sizes.append(n_words + 2)
+        if n_words < MOST_CHARS_WORDS or len(line) > LONG_WORD * n_words:
             by_chars.append(i)
             chars.append(f"\n\n\n{line}\n\n\n")
             char_sizes.append(len(line) + 6)
     if by_words:
-        hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        hashes = part_hashes("\n".join(words).encode("utf-8", "surrogatepass"))
         for i, row in zip(by_words, sketches(*_windows(hashes, np.r_[0, np.cumsum(word_sizes)[:-1]], 2), 0)):
             found[i].append(row)
     if by_chars:
         points = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         for i, row in zip(by_chars, sketches(*_windows(points, np.r_[0, np.cumsum(char_sizes)[:-1]], CHARS), 1)):
             found[i].append(row)
-    return [np.concatenate(rows).view(np.int32) if rows else np.empty(0, np.int32) for rows in found]
+    none = np.empty(0, np.int32)
+    return [np.concatenate(rows).view(np.int32) if len(rows) > 1 else rows[0].view(np.int32) if rows else none
+            for rows in found]
 
 
 def odd_classes(plain: list[str]) -> np.ndarray:
@@ -180,7 +184,7 @@ def _line_table(texts: DataFrame, kind: str, fewest: int, least: float, sketched
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             done["high"], done["low"], done["n_chars"] = halves[:, 0], halves[:, 1], sizes
             if sketched:
-                done["print"], done["keys"] = 0, sketch_lines(lines, cache, least)
+                done["print"], done["keys"] = 0, sketch_lines(lines, least)
             else:
                 hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
                 starts = np.r_[0, np.cumsum(counts)[:-1]]
@@ -258,16 +262,26 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             return sizes
         return sizes & (F.bit_count(F.col(f"{x}_print").bitwiseXOR(F.col(f"{y}_print"))) <= radius)
 
+    # Texts are read once, for the lines that share a bucket with another.
+    members = kept_table(with_company(members), "buckets")
+    wanted = distinct.join(counted_hint(members.select("id").distinct()), "id").select("id", "first.*")
+
+    @F.pandas_udf("string")
+    def plain(lines: pd.Series) -> pd.Series:
+        return lines.map(normalised)
+
+    shared = kept_table(texts.join(counted_hint(wanted), ["key", "version"]).select(
+        "id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id"]).select(
+        "id", plain("line").alias("line")), "shared")
+
     def lines_of(wanted: DataFrame) -> DataFrame:
-        """(``id``, ``line``) of the given ids."""
-        wanted = distinct.join(counted_hint(wanted), "id").select("id", "first.*")
-        return texts.join(counted_hint(wanted), ["key", "version"]).select(
-            "id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id"])
+        """(``id``, normalised ``line``) of the given ids."""
+        return shared.join(counted_hint(wanted), "id", "left_semi")
 
     def marked(open_: DataFrame) -> DataFrame:
         @F.pandas_udf("array<long>")
         def mark(lines: pd.Series) -> pd.Series:
-            return pd.Series(list(odd_classes([normalised(line) for line in lines])))
+            return pd.Series(list(odd_classes(list(lines))))
 
         rows = settle(lines_of(kept_table(open_, "open-ids")).select("id", mark("line").alias("marks")), "marks")
         return rows.select("id", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS)])
@@ -284,20 +298,16 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
         @F.pandas_udf("boolean")
         def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-            def points(lines: pd.Series) -> list[np.ndarray]:
-                return [np.frombuffer(normalised(line).encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
-
-            left, right = points(x), points(y)
+            # A line stands in many pairs.
+            points = {line: np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) for line in set(x) | set(y)}
+            left, right = [points[line] for line in x], [points[line] for line in y]
             longest = np.array([max(len(a), len(b)) for a, b in zip(left, right)], np.int64)
-            limits = ((1 - least) * longest + 1e-9).astype(np.int64)
-            near = maybe_within(left, right, limits)
-            return pd.Series([
-                bool(ok) and within_limit(a, b, int(limit)) for ok, a, b, limit in zip(near, left, right, limits)], dtype=bool)
+            return pd.Series(within_each(left, right, ((1 - least) * longest + 1e-9).astype(np.int64)), dtype=bool)
 
         return both.filter(alike("line_a", "line_b")).select("a", "b")
 
     traits = distinct.select("id", "n_chars") if radius is None else distinct.select("id", "print", "n_chars")
-    found = grouped(members, traits, compatible, verify, late=(marked, near))
+    found = grouped(members, traits, compatible, verify, late=(marked, near), central=True)
     # Only lines that stand twice or belong to a group touch the occurrences again.
     groups = distinct.join(found, "id", "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
     groups = kept_table(groups.select("high", "low", "first", F.coalesce("component", "id").alias("group")), "groups")

@@ -303,3 +303,88 @@ def test_a_band_is_not_widened_for_texts_too_far_apart(monkeypatch):
     monkeypatch.setattr(alignment, "banded", lambda x, y, band: bands.append(band) or plain(x, y, band))
     assert not within(a, b, 60) and bands == []
     assert within(a, b, plain_distance(a, b)) and len(bands) == 1
+
+
+def test_pairs_side_by_side_are_asked_as_one_by_one():
+    from corpuskit.llm import alignment
+
+    rng, first, second, limits, want = random.Random(21), [], [], [], []
+    for turn in range(3000):
+        letters = "abcdef" if turn % 3 else "abc\u6f22\U0001f600\U0001f601"
+        a = [rng.choice(letters) for _ in range(rng.choice((0, 1, 2, 5, 12, 40, 90)))]
+        b = list(a) if turn % 10 else [rng.choice(letters) for _ in range(rng.randrange(60))]
+        for _ in range(rng.choice((0, 0, 1, 2, 4, 9, 20))):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+        x, y = (np.frombuffer("".join(z).encode("utf-32-le"), np.uint32) for z in (a, b))
+        distance = edit_distance(x, y)
+        first.append(x), second.append(y), limits.append(max(0, distance + rng.randrange(-3, 4)))
+        want.append(distance <= limits[-1])
+    got = alignment.within_each(first, second, np.array(limits))
+    assert got.tolist() == want and 0.2 < np.mean(want) < 0.9
+    assert alignment.within_each([], [], np.array([], np.int64)).tolist() == []
+    # Longer ones, one by one, and the same rows in numbers beyond two bytes.
+    long = np.array([rng.randrange(5) for _ in range(4000)], np.uint32)
+    changed = np.delete(long, slice(7, 3500, 50)) + np.uint32(70_000)
+    assert alignment.within_each([long + np.uint32(70_000)] * 2, [changed] * 2, np.array([70, 69])).tolist() == [True, False]
+
+
+def test_pairs_side_by_side_take_less_time():
+    import time
+
+    from corpuskit.llm.alignment import within_each, within_limit
+
+    rng, first, second = random.Random(22), [], []
+    base = [rng.randrange(97, 123) for _ in range(400)]
+    for _ in range(1500):
+        for side in (first, second):
+            line = list(base)
+            for at in rng.sample(range(400), 36):
+                line[at] = rng.randrange(97, 123)
+            side.append(np.array(line, np.uint32))
+    limits = np.full(len(first), 40)
+    start = time.perf_counter()
+    one_by_one = [within_limit(x, y, 40) for x, y in zip(first, second)]
+    between = time.perf_counter()
+    assert within_each(first, second, limits).tolist() == one_by_one
+    assert time.perf_counter() - between < (between - start) / 2
+
+
+def test_hashes_of_many_words_are_those_of_single_ones():
+    import xxhash
+
+    from corpuskit.llm.hashing import part_hashes
+
+    rng = random.Random(23)
+    words = ["", "x"] + ["".join(rng.choice("ab1\u00e9\u6f22\U0001f600") for _ in range(n)) for n in range(41) for _ in range(30)]
+    raw = " ".join(words).replace(" x ", "\nx\n").encode()
+    assert part_hashes(raw).tolist() == [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    assert part_hashes(b"").tolist() == [xxhash.xxh3_64_intdigest(b"")]
+
+
+def test_texts_are_read_once_for_the_lines_that_are_compared(spark, monkeypatch):
+    """Not once more for each round of comparisons."""
+    from corpuskit.llm import line_dedup as module
+
+    labels, plain = [], module.kept_table
+    monkeypatch.setattr(module, "kept_table", lambda df, label: labels.append((label, df.inputFiles())) or plain(df, label))
+    rng = random.Random(24)
+    words = [f"w{i}" for i in range(900)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        line = list(base)
+        for at in rng.sample(range(60), rng.randrange(9)):
+            line[at] = rng.choice(words)
+        rows.append((i, " ".join(line), "a"))
+    docs = plain(table(spark, rows), "documents")
+    source = set(docs.inputFiles())
+    out = {r.doc_id: r.n_removed for r in line_dedup(docs, radius=None).collect()}
+    assert sum(name == "pairs" for name, _ in labels) >= 2
+    assert [name for name, files in labels if source & set(files)] == ["lines", "shared"]
+    # As comparing all pairs.
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, t, _ in rows]
+    links = [(a, b) for a, b in combinations(range(60), 2)
+             if within(points[a], points[b], int(0.1 * max(len(points[a]), len(points[b])) + 1e-9))]
+    want = groups_of(links, range(60))
+    assert out == {i: int(want[i] != i) for i in range(60)}
