@@ -103,6 +103,8 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 6, blocks:
     Both sides are reduced to distinct fingerprints (``fp_hi``, ``fp_lo``) before
     they meet, so a group of copies is one row.  With eight blocks and radius six
     a key has 32 bits and there are 28 tables; for more rows take more blocks.
+    The tables are sorted and merged: Spark sizes an exploded side by the rows
+    before it, and would broadcast 28 times what it takes for small.
     """
     def tables(df: DataFrame, side: str) -> DataFrame:
         one = df.select(F.col("fp_hi").alias(f"{side}_hi"), F.col("fp_lo").alias(f"{side}_lo")).distinct()
@@ -110,7 +112,7 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 6, blocks:
 
     apart = distance(F.col("q_hi"), F.col("q_lo"), F.col("t_hi"), F.col("t_lo"))
     q, t = tables(queries, "q"), tables(table, "t")
-    near = q.join(t, (q["_key"] == t["_key"]) & (apart <= radius))
+    near = q.join(t.hint("merge"), (q["_key"] == t["_key"]) & (apart <= radius))
     return near.select("q_hi", "q_lo", "t_hi", "t_lo", apart.alias("distance")).distinct()
 
 
@@ -190,7 +192,8 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
     following = fps.select(
         F.col("_block").alias("_next_block"), F.col("_at").cast("long").alias("_next_at"),
         F.col("fp_hi").alias("next_hi"), F.col("fp_lo").alias("next_lo"))
-    out = fps.join(following, ["_next_block", "_next_at"], "left")
+    # Merged as well: as a file the table is much smaller than its rows in memory.
+    out = fps.join(following.hint("merge"), ["_next_block", "_next_at"], "left")
 
     counts = fps.groupBy("fp_hi", "fp_lo").agg(F.count("*").alias("_rows"))
     near = within_radius(fps.filter(F.col(key) % every == 0), fps, radius, blocks)

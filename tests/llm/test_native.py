@@ -165,3 +165,14 @@ def test_ownership_within_one_source(spark):
     assert all(out[i] == ((0, 0, 1), [(1, 50)]) for i in range(50))
     assert out[60] == ((1, 0, 0), [(1, 1)]) and out[61] == ((1, 0, 0), [(1, 2)]) and out[62] == ((2, 0, 0), [(1, 2), (1, 1)])
     assert secret_scan(table(spark, rows)).count() == len(rows)
+
+
+def test_block_tables_are_not_broadcast(spark):
+    """28 keys for each fingerprint: Spark would take the exploded side for as small as the rows before it."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).select(F.xxhash64("id").alias("fp_hi"), F.xxhash64("id", F.lit(1)).alias("fp_lo"))
+    near = within_radius(df.filter("fp_hi > 0"), df)
+    assert near.filter("distance = 0").count() == df.filter("fp_hi > 0").count()
+    near.collect()
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
